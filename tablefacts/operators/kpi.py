@@ -139,6 +139,8 @@ class Plan:
         if not is_text(dtype_of(self.df, column)):
             raise NotComputable("not text")
         pattern = _field(spec, "filter_contains")
+        if not isinstance(pattern, str):
+            raise NotComputable("bad pattern")
         check_pattern(self.df.sparkSession, pattern)
         hit = _matches(col(column), pattern)
         if self.kind == "filtered_rate":
@@ -151,7 +153,10 @@ class Plan:
         dtype = dtype_of(self.df, value)
         if not is_addable(dtype):
             raise NotComputable("not numeric")
-        self.aggregates = [total(F.when(hit, col(value)), dtype).alias("sum")]
+        self.aggregates = [
+            total(F.when(hit, col(value)), dtype).alias("sum"),
+            F.count(F.lit(1)).alias("rows"),
+        ]
         self.value_type = T.DecimalType(30, 0) if not _floating(dtype) else T.DoubleType()
 
     def _plan_peak(self, spec: dict) -> None:
@@ -174,8 +179,9 @@ class Plan:
             text = F.concat(single_value_text(rate, T.DoubleType()), F.lit(PERCENT))
             return _result(None, rate, text)
         if self.kind == "filtered_sum":
-            text = single_value_text(agg["sum"], self.value_type)
-            return _result(None, agg["sum"].cast("double"), text)
+            amount = F.when(agg["rows"] > 0, agg["sum"])
+            text = single_value_text(amount, self.value_type)
+            return _result(None, amount.cast("double"), text)
         peak = agg["peak"]
         return _pair(peak["x"], self.x_type, peak["v"], self.value_type)
 
@@ -267,12 +273,14 @@ def kpi_rows(df: DataFrame, table: str, planned: list, cache: GroupCache) -> lis
         for e, r in reduced:
             if r is None:
                 v = groups.value(e[3].measure)
+                name = groups.names[e[3].measure]
                 best = groups.frame.where(v.isNotNull()).orderBy(v.desc(), KEY).limit(1)
-                frames.append(_stack(best, [(e, e[3].grouped_top(groups))], when_empty=True))
+                best = best.agg(F.first(KEY).alias(KEY), F.first(name).alias(name))
+                frames.append(_stack(best, [(e, e[3].grouped_top(groups))]))
     return frames
 
 
-def _stack(row: DataFrame, results: list, when_empty: bool = False) -> DataFrame:
+def _stack(row: DataFrame, results: list) -> DataFrame:
     """Turn the one-row result into one row per KPI."""
     parts = [
         F.struct(
@@ -302,15 +310,17 @@ def _stack(row: DataFrame, results: list, when_empty: bool = False) -> DataFrame
 
 
 def finish_kpis(frames: list[DataFrame], spark: SparkSession) -> DataFrame:
-    """All KPI rows; of equal labels in a spec the last computed one is kept."""
+    """All KPI rows; of equal labels in a spec the last computed one takes the first place."""
     if not frames:
         return spark.createDataFrame([], RESULT_SCHEMA)
     rows = frames[0]
     for frame in frames[1:]:
         rows = rows.unionByName(frame)
     whole = F.struct(*[F.col(c) for c in rows.columns])
-    done = F.when(F.col("status") == OK, F.col("kpi_idx")).otherwise(F.col("kpi_idx") - MOST_KPIS)
+    place = F.when(F.col("status") == OK, F.col("kpi_idx"))
     kept = rows.groupBy(F.col("spec_id").alias("s"), F.col("label").alias("l")).agg(
-        F.max_by(whole, done).alias("best")
+        F.max_by(whole, F.coalesce(place, F.col("kpi_idx") - MOST_KPIS)).alias("best"),
+        F.min(place).alias("place"),
     )
-    return kept.select("best.*")
+    first = F.coalesce(F.col("place"), F.col("best.kpi_idx"))
+    return kept.select(F.col("best").withField("kpi_idx", first).alias("best")).select("best.*")
