@@ -70,8 +70,12 @@ def group(df: DataFrame, category: str, measures: list[Measure]) -> Groups:
 
 @dataclass
 class GroupCache:
-    """Collects the measures wanted per (table, category) and groups each once."""
+    """Collects the measures wanted per (table, category) and groups each once.
 
+    With ``keep`` a grouping that several results use is persisted, not its source; lost
+    blocks are computed again from the source."""
+
+    keep: bool = False
     wanted: dict[tuple[str, str], list[Measure]] = field(default_factory=dict)
     made: dict[tuple[str, str], Groups] = field(default_factory=dict)
 
@@ -82,7 +86,7 @@ class GroupCache:
         key = (table, category)
         if key not in self.made:
             groups = group(df, category, self.wanted[key])
-            if len(self.wanted[key]) > 1:
+            if self.keep and len(self.wanted[key]) > 1:
                 groups.frame.persist(StorageLevel.MEMORY_AND_DISK)
             self.made[key] = groups
         return self.made[key]

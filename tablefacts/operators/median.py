@@ -69,7 +69,7 @@ def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
 def _narrow(df: DataFrame, brackets: dict[str, Bracket]) -> None:
     """Sketch what lies strictly inside each bracket and move its bounds inwards."""
     partial, merged, picked = [], [], []
-    ranks = F.array(*[F.lit(step / STEPS) for step in range(STEPS + 1)])
+    grid = [step / STEPS for step in range(STEPS + 1)]
     for i, (name, b) in enumerate(brackets.items()):
         v = col(name).cast("double")
         fresh = b.rows == 0
@@ -85,9 +85,10 @@ def _narrow(df: DataFrame, brackets: dict[str, Bracket]) -> None:
             F.sum(f"upto{i}").alias(f"upto{i}"),
             F.sum(f"in{i}").alias(f"in{i}"),
         ]
+        ranks = [max(0.5 - b.margin, 0.0), min(0.5 + b.margin, 1.0)] if fresh else grid
         sketch = F.when(F.col(f"in{i}") > 0, F.col(f"s{i}"))
         picked += [
-            F.kll_sketch_get_quantile_double(sketch, ranks).alias(f"q{i}"),
+            F.kll_sketch_get_quantile_double(sketch, F.array(*map(F.lit, ranks))).alias(f"q{i}"),
             F.col(f"upto{i}"),
             F.col(f"in{i}"),
         ]
@@ -95,10 +96,13 @@ def _narrow(df: DataFrame, brackets: dict[str, Bracket]) -> None:
     row = groups.agg(*merged).select(*picked).first()
     for i, b in enumerate(brackets.values()):
         within, quantiles = row[f"in{i}"] or 0, row[f"q{i}"]
-        b.rows = b.rows or within
         if not within:
             b.between = 0
             continue
+        if not b.rows:
+            b.rows, (b.low, b.high) = within, quantiles
+            b.between = within * 2 * b.margin
+            continue
         middle = ((b.rows - 1) / 2 - row[f"upto{i}"]) / within
         left = math.floor((middle - b.margin) * STEPS)
         right = math.ceil((middle + b.margin) * STEPS)
