@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 ROW = "_row"
 """Optional source-order column; any orderable type, never treated as data."""
 
+LARGEST_SPLIT = 1e38
+"""Larger doubles do not fit a float and are added as they are."""
+
 # The labels a column can be given.
 BOOLEAN = "boolean"
 FLOAT = "numeric (float)"
@@ -79,10 +82,32 @@ def number(c: Column, dtype: T.DataType) -> Column:
 def total(c: Column, dtype: T.DataType) -> Column:
     """Sum with 0 for an empty or all-null group.
 
-    Integers are added as decimals: a bigint sum overflows (and fails the job
-    under ANSI rules) once billions of rows are involved.
+    Integers are added as decimals: a bigint sum overflows (and fails the job under ANSI
+    rules) once billions of rows are involved.
     """
     if is_integer(dtype) or isinstance(dtype, T.BooleanType):
         zero = F.lit(0).cast("decimal(30,0)")
         return F.coalesce(F.sum(number(c, dtype).cast("decimal(20,0)")), zero)
-    return F.coalesce(F.sum(c.cast("double")), F.lit(0.0))
+    if isinstance(dtype, T.DecimalType):
+        return F.coalesce(F.sum(c), F.lit(0).cast(dtype))
+    return F.coalesce(float_sum(c), F.lit(0.0))
+
+
+def float_sum(c: Column) -> Column:
+    """Sum of doubles that does not depend on the order of the rows.
+
+    Each value is split into its leading 24 bits and the rest. A double adds hundreds of
+    millions of such leading parts exactly, and the rests are too small for their rounding
+    to show, so any partitioning gives the same, correctly rounded sum.
+    """
+    v = c.cast("double")
+    splits = F.abs(v) < LARGEST_SPLIT
+    lead = F.when(splits, v.cast("float").cast("double")).otherwise(v)
+    rest = F.when(splits, v - lead)
+    return F.sum(lead) + F.coalesce(F.sum(rest), F.lit(0.0))
+
+
+def mean(c: Column, dtype: T.DataType) -> Column:
+    """Mean of the non-null values, from the sum above; null without values."""
+    values = F.count(c)
+    return F.when(values > 0, total(c, dtype).cast("double") / values)

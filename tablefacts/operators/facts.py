@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import dtype_of, is_addable
+from ..functions.columns import dtype_of, is_addable, total
 from ..functions.formats import (
     NO_CATEGORY,
     NO_SHARE,
@@ -80,7 +80,7 @@ def fact_parts(groups: Groups, measure: Measure, spec_id: str) -> DataFrame:
         F.min(place).alias("first"), F.max(place).alias("next"), F.count(F.lit(1)).alias("n")
     )
     sums = ranked.agg(
-        F.max(place).alias("last"), F.sum(-F.col("down")).alias("total"), F.count(F.lit(1)).alias("n")
+        F.max(place).alias("last"), total(-F.col("down"), vtype).alias("total"), F.count(F.lit(1)).alias("n")
     )
 
     def key(field: str):

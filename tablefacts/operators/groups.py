@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import col, dtype_of, is_addable, is_datetime, is_text, number, total
+from ..functions.columns import col, dtype_of, is_addable, is_datetime, is_text, mean, total
 
 # The aggregates a spec may name.
 AGGREGATES = ("sum", "mean", "count", "max", "min")
@@ -38,7 +38,7 @@ def measure_expr(df: DataFrame, measure: Measure) -> Column:
         return F.max(c) if agg == "max" else F.min(c)
     if not is_addable(dtype):
         raise NotComputable("not numeric")
-    return total(c, dtype) if agg == "sum" else F.avg(number(c, dtype).cast("double"))
+    return total(c, dtype) if agg == "sum" else mean(c, dtype)
 
 
 @dataclass

@@ -14,6 +14,7 @@ from ..functions.columns import (
     is_datetime,
     is_integer,
     is_text,
+    mean,
     total,
 )
 from ..functions.formats import key_text, single_value_text
@@ -189,7 +190,7 @@ class Plan:
         """One aggregate over the groups; None where only a top-1 query can answer."""
         value, vtype = groups.value(self.measure), groups.value_type(self.measure)
         if self.kind == "avg_per_group":
-            return F.struct(F.avg(value.cast("double")).alias("mean"))
+            return F.struct(mean(value, vtype).alias("mean"))
         order = value if self.lowest else _descending(value, vtype)
         if order is None:
             return None

@@ -24,6 +24,7 @@ from ..functions.columns import (
     col,
     data_columns,
     dtype_of,
+    float_sum,
     label_of,
 )
 from ..functions.dates import LONGEST_DATE_TEXT, guess_format, parse_date
@@ -124,7 +125,7 @@ def _numeric_stats(c: Column, integer: bool) -> list[Column]:
     return [
         F.count(c).alias("non_null"),
         exact.alias("int_sum"),
-        F.sum(v).alias("sum"),
+        (F.lit(None).cast("double") if integer else float_sum(v)).alias("sum"),
         F.min(c.cast("bigint") if integer else v).alias("min"),
         F.max(c.cast("bigint") if integer else v).alias("max"),
         F.stddev_samp(v).alias("std_dev"),

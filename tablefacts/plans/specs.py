@@ -76,7 +76,8 @@ def _data_columns(spec: Column) -> Column:
     """A list as texts, a single value as a list of one."""
     listed = _get(spec, "$.data_columns", "array<variant>")
     texts = F.transform(listed, lambda v: _get(v, "$", "string"))
-    return F.coalesce(texts, F.array(_text(spec, "data_columns")))
+    single = _text(spec, "data_columns")
+    return F.coalesce(texts, F.when(single.isNotNull(), F.array(single)))
 
 
 def _spec(spec: Column) -> Column:

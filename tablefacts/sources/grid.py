@@ -127,10 +127,15 @@ def _typed(cell: Column, facts) -> Column:
     return cell
 
 
-def grid_to_table(grid: DataFrame, header_row: int, header: list[str | None]) -> DataFrame:
+def grid_to_table(
+    grid: DataFrame, header_row: int, header: list[str | None], repeated: bool = False
+) -> DataFrame:
     """The grid of one source as a clean table: no empty rows or columns, cleaned names,
-    numbers and truth values typed, rows numbered in source order."""
+    numbers and truth values typed, rows numbered in source order. ``repeated`` drops the
+    further header rows of a source that consists of several files."""
     body = grid.where(F.col("row_idx") > header_row)
+    if repeated:
+        body = body.where(~F.col("cells").eqNullSafe(F.array(*[F.lit(c) for c in header])))
     facts = {r["position"]: r for r in column_facts(body).collect()}  # one row per column
     width = max([len(header), *[p + 1 for p in facts]])
     kept = [i for i in range(width) if i in facts and facts[i]["filled"] > 0]

@@ -48,7 +48,8 @@ def load_table(
         header = detect_header(first_rows(grid, scan), scan).first()
         if header is None:
             return spark.createDataFrame([], f"{ROW} bigint")
-        table = grid_to_table(grid, header["header_row"], header["header"])
+        files = len(spark.read.text(path).inputFiles())
+        table = grid_to_table(grid, header["header_row"], header["header"], repeated=files > 1)
     else:
         table = spark.read.format(file_format).load(path)
         if keep_order and file_format == "parquet":
