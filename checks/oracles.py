@@ -41,7 +41,12 @@ def union(parts) -> str:
 
 
 def exact(x: str) -> str:
-    return f"coalesce(CAST(sum(CAST({x} AS DECIMAL(18,2))) AS DOUBLE), CAST(0 AS DOUBLE))"
+    return f"coalesce(fsum(CAST({x} AS DOUBLE)), CAST(0 AS DOUBLE))"
+
+
+def four(x: str) -> str:
+    """Four digits, rounded by the exact value of the double."""
+    return f"CAST(format('{{:.4f}}', CAST({x} AS DOUBLE)) AS DOUBLE)"
 
 
 def avg(x: str) -> str:
@@ -88,12 +93,12 @@ def missing_pct(x: str) -> str:
 
 
 def numeric(table: str, column: str, kind: str, name: str | None = None) -> str:
-    total = f"CAST(sum({column}) AS DOUBLE)" if kind == "i" else f"round_even({exact(column)}, 4)"
+    total = f"CAST(sum({column}) AS DOUBLE)" if kind == "i" else f"{four(exact(column))}"
     mean = f"CAST(sum({column}) AS DOUBLE) / count({column})" if kind == "i" else avg(column)
     return f"""SELECT '{name or column}' AS "column", count(*) AS count, count({column}) AS non_null,
-      {missing_pct(column)} AS missing_pct, {total} AS sum, round_even({mean}, 4) AS mean,
-      round_even(CAST(median({column}) AS DOUBLE), 4) AS median, CAST(min({column}) AS DOUBLE) AS min,
-      CAST(max({column}) AS DOUBLE) AS max, round_even(stddev_samp({column}), 4) AS std_dev FROM {table}"""
+      {missing_pct(column)} AS missing_pct, {total} AS sum, {four(mean)} AS mean,
+      {four(f'median({column})')} AS median, CAST(min({column}) AS DOUBLE) AS min,
+      CAST(max({column}) AS DOUBLE) AS max, {four(f'stddev_samp({column})')} AS std_dev FROM {table}"""
 
 
 def categorical(table: str, column: str) -> str:
@@ -170,9 +175,9 @@ def condensed(table: str) -> str:
         null = {"sum": "DOUBLE", "mean": "DOUBLE", "min_date": "VARCHAR", "max_date": "VARCHAR", "unique_values": "BIGINT", "top_values": "VARCHAR"}
         have = {}
         if kind == "i":
-            have = {"sum": f"CAST(sum({column}) AS DOUBLE)", "mean": f"round_even(CAST(sum({column}) AS DOUBLE) / count({column}), 4)"}
+            have = {"sum": f"CAST(sum({column}) AS DOUBLE)", "mean": four(f"CAST(sum({column}) AS DOUBLE) / count({column})")}
         elif kind == "f":
-            have = {"sum": f"round_even({exact(column)}, 4)", "mean": f"round_even({avg(column)}, 4)"}
+            have = {"sum": four(exact(column)), "mean": four(avg(column))}
         elif kind == "d":
             have = {"min_date": iso(f"min({column})"), "max_date": iso(f"max({column})")}
         else:
@@ -389,7 +394,7 @@ def run_facts(parts) -> str:
 
 
 STATUS_FACTS = facts("orders", "o_orderstatus", "count(*)", "sum(v)", plain, whole)
-DAY_FACTS = facts("orders", "o_orderdate", exact("o_totalprice"), EXACT_TOTAL, stamp, two)
+DAY_FACTS = facts("orders", "o_orderdate", "sum(o_custkey)", "sum(v)", stamp, whole)
 SUPPLIER_FACTS = facts("supplier", "s_name", exact("s_acctbal"), EXACT_TOTAL, plain, two)
 BRAND_FACTS = facts("part", "p_brand", "sum(p_size)", "sum(v)", plain, whole)
 
@@ -427,7 +432,7 @@ def run_series() -> str:
     parts = [
         (1, series("orders", "o_orderpriority", plain, [("o_totalprice", exact("o_totalprice"))])),
         (2, series("orders", "o_orderstatus", plain, [("Count", "count(*)")])),
-        (3, series("orders", "o_orderdate", stamp, [("o_totalprice", avg("o_totalprice"))])),
+        (3, series("orders", "o_orderdate", stamp, [("o_custkey", "CAST(sum(o_custkey) AS DOUBLE) / count(o_custkey)")])),
         (7, series("part", "p_brand", plain, [("p_size", "sum(p_size)"), ("p_name", "count(p_name)")])),
     ]
     return union(f"SELECT '{i}' AS spec_id, category, series, value FROM ({sql})" for i, sql in parts)
@@ -483,8 +488,9 @@ ORACLES = {
     "numeric_profile": union(numeric("lineitem", c, k) for c, k in schema("lineitem") if k in "if"),
     "medians": union(
         [
-            "SELECT 'l_extendedprice' AS \"column\", count(l_extendedprice) AS non_null, median(l_extendedprice) AS median FROM lineitem",
-            """SELECT 'returned' AS "column", count(l_quantity) AS non_null, median(l_quantity) AS median
+            f"""SELECT 'l_extendedprice' AS "column", count(l_extendedprice) AS non_null,
+            {four('median(l_extendedprice)')} AS median FROM lineitem""",
+            f"""SELECT 'returned' AS "column", count(l_quantity) AS non_null, {four('median(l_quantity)')} AS median
             FROM lineitem WHERE l_returnflag = 'R'""",
         ]
     ),
@@ -532,7 +538,7 @@ ORACLES = {
     "empty_table_profile": """SELECT 'nothing' AS "table", count(*) AS row_count, CAST(0 AS INTEGER) AS column_count,
       CAST(NULL AS VARCHAR) AS "column", 'table is empty or has no data rows' AS note FROM orders WHERE o_totalprice < 0""",
     "workspace_profile": workspace_profile(),
-    "value_texts": f"SELECT event_id, round_even(value / 7, 4) AS seventh, {iso('ts')} AS ts FROM events",
+    "value_texts": f"SELECT event_id, {four('value / 7')} AS seventh, {iso('ts')} AS ts FROM events",
     "condensed_profile": condensed("orders"),
     "json_profile": f"""SELECT 'customer' AS "table", CAST(count(*) AS VARCHAR) AS rows, '5' AS columns,
       CAST(sum(c_custkey) AS VARCHAR) AS key_sum, CASE WHEN {ratio_ok('c_name')} THEN 'true' ELSE 'false' END AS name_flag,
@@ -659,7 +665,10 @@ ORACLES = {
     "series_pie": series("orders", "o_orderpriority", plain, [("o_totalprice", exact("o_totalprice"))]),
     "series_counts": series("part", "p_type", plain, [("Count", "count(*)")]),
     "series_dates": series("orders", "o_orderdate", stamp, [("o_custkey", "sum(o_custkey)")]),
-    "series_line_mean": series("orders", "o_orderdate", stamp, [("o_totalprice", avg("o_totalprice"))]),
+    "series_line_mean": series(
+        "(SELECT o_orderdate, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)", "o_orderdate", stamp,
+        [("cents", "CAST(sum(cents) AS DOUBLE) / count(cents)")],
+    ),
     "series_line_rows": """WITH s AS (SELECT o_orderpriority AS category, count(*) AS orders, max(o_totalprice) AS largest
       FROM orders GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY category) - 1 AS ord FROM s)
       SELECT ord, category, 'orders' AS series, CAST(orders AS DOUBLE) AS value FROM n
@@ -681,3 +690,9 @@ ORACLES = {
     "run_series": run_series(),
     "run_tables": f"""SELECT '4' AS spec_id, 's_name|s_acctbal' AS names, s_name || '|' || {two('s_acctbal')} AS cells FROM supplier""",
 }
+
+ROUNDED = [n for n in ORACLES if n.startswith(("kpi_", "series_")) and n not in ("series_line_rows", "series_positions", "series_booleans", "series_line_mean")]
+for _name in [*ROUNDED, "run_series", "column_roles", "category_totals"]:
+    ORACLES[_name] = f"SELECT * REPLACE ({four('value')} AS value) FROM ({ORACLES[_name]})"
+_numbers = ", ".join(f"{four(n)} AS {n}" for n in ("top_number", "second_number", "bottom_number", "total_number"))
+ORACLES["facts_numbers"] = f"SELECT * REPLACE ({_numbers}) FROM ({ORACLES['facts_numbers']})"

@@ -21,6 +21,11 @@ def thousands(c: Column, digits: int) -> Column:
     return F.format_number(c, digits)
 
 
+def four_digits(c: Column) -> Column:
+    """A double rounded to four digits, halves to even by its exact binary value."""
+    return F.call_function("format_number", c, F.lit("0.0000")).cast("double")
+
+
 def share(part: Column, whole: Column) -> Column:
     """``part`` as a percentage of ``whole``; 0 when the whole is 0."""
     p, w = part.cast("double"), whole.cast("double")
