@@ -10,7 +10,6 @@ from ..functions.names import match_key
 # The vocabulary of a plan and the fences it may be wrapped in.
 CHART_TYPES = ["bar", "pie", "line", "table", "text"]
 REQUIRED_KEYS = ["title", "source_sheet", "chart_type", "data_columns", "insight_text"]
-KPI_KEYS = ["label", "type"]
 KPI_FIELDS = [
     "label",
     "type",
@@ -25,6 +24,8 @@ KPI_FIELDS = [
 OPENING_FENCE = r"^```(?:json)?\s*\n?"
 CLOSING_FENCE = r"\n?```\s*$"
 
+KPI_TYPE = "array<struct<" + ",".join(f"{f}:string" for f in KPI_FIELDS) + ">>"
+
 OK = "ok"
 BAD_JSON = "error: not JSON"
 NOT_A_LIST = "error: no list of specs"
@@ -34,8 +35,11 @@ BAD_CHART_TYPE = "error: unknown chart type"
 REJECTED = "error: another spec of the plan is invalid"
 
 
+WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def strip_fences(text: Column) -> Column:
@@ -44,62 +48,56 @@ def strip_fences(text: Column) -> Column:
     return strip(F.regexp_replace(opened, CLOSING_FENCE, ""))
 
 
-def _get(v: Column, path: str, as_type: str) -> Column:
-    return F.try_variant_get(v, path, as_type)
+def _get(v: Column, as_type: str) -> Column:
+    """The variant as a type, null where it is something else."""
+    return F.try_variant_get(v, "$", as_type)
 
 
-def _object(v: Column) -> Column:
-    """The variant as a map, null unless it is an object."""
-    return _get(v, "$", "map<string,variant>")
+def _members(v: Column, names: list[str]) -> Column:
+    """The members of an object in one cast. A missing one is null; one that is a JSON
+    null is not, so presence and value stay apart."""
+    return _get(v, "struct<" + ",".join(f"`{n}`:variant" for n in names) + ">")
 
 
-def _text(v: Column, key: str) -> Column:
-    return _get(v, f"$.{key}", "string")
+SPEC_KEYS = [*REQUIRED_KEYS, "kpis"]
 
 
-def _kpis(spec: Column) -> Column:
+def _kpis(kpis: Column) -> Column:
     """The well-formed KPI objects of a spec; anything but a list counts as none."""
-    listed = F.coalesce(_get(spec, "$.kpis", "array<variant>"), F.array().cast("array<variant>"))
-
-    def named(kpi: Column) -> Column:
-        keys = F.map_keys(_object(kpi))
-        has = [F.array_contains(keys, k) for k in KPI_KEYS]
-        return F.coalesce(has[0] & has[1], F.lit(False))
-
-    return F.transform(
-        F.filter(listed, named),
-        lambda kpi: F.struct(*[_text(kpi, f).alias(f) for f in KPI_FIELDS]),
+    objects = F.transform(_get(kpis, "array<variant>"), lambda v: _members(v, KPI_FIELDS))
+    named = F.filter(objects, lambda k: k["label"].isNotNull() & k["type"].isNotNull())
+    texts = F.transform(
+        named, lambda k: F.struct(*[_get(k[f], "string").alias(f) for f in KPI_FIELDS])
     )
+    return F.coalesce(texts, F.array().cast(KPI_TYPE))
 
 
-def _data_columns(spec: Column) -> Column:
+def _data_columns(columns: Column) -> Column:
     """A list as texts, a single value as a list of one."""
-    listed = _get(spec, "$.data_columns", "array<variant>")
-    texts = F.transform(listed, lambda v: _get(v, "$", "string"))
-    single = _text(spec, "data_columns")
+    texts = F.transform(_get(columns, "array<variant>"), lambda v: _get(v, "string"))
+    single = _get(columns, "string")
     return F.coalesce(texts, F.when(single.isNotNull(), F.array(single)))
 
 
-def _spec(spec: Column) -> Column:
-    keys = F.map_keys(_object(spec))
-    missing = F.array_sort(F.array_except(F.array(*[F.lit(k) for k in REQUIRED_KEYS]), keys))
-    chart_type = F.lower(strip(_text(spec, "chart_type")))
+def _chart_type(members: Column) -> Column:
+    return F.lower(strip(_get(members["chart_type"], "string")))
+
+
+def _status(members: Column, chart_type: Column) -> Column:
+    absent = [F.when(members[k].isNull(), F.lit(k)) for k in sorted(REQUIRED_KEYS)]
+    missing = F.concat_ws(", ", *absent)
     known = F.coalesce(chart_type.isin(CHART_TYPES), F.lit(False))
-    status = (
-        F.when(keys.isNull(), F.lit(NOT_AN_OBJECT))
-        .when(F.size(missing) > 0, F.concat(F.lit(MISSING_KEYS), F.array_join(missing, ", ")))
+    return (
+        F.when(members.isNull(), F.lit(NOT_AN_OBJECT))
+        .when(missing != "", F.concat(F.lit(MISSING_KEYS), missing))
         .when(~known, F.lit(BAD_CHART_TYPE))
         .otherwise(F.lit(OK))
     )
-    return F.struct(
-        status.alias("status"),
-        _text(spec, "title").alias("title"),
-        _text(spec, "source_sheet").alias("source_sheet"),
-        chart_type.alias("chart_type"),
-        _data_columns(spec).alias("data_columns"),
-        _text(spec, "insight_text").alias("insight_text"),
-        _kpis(spec).alias("kpis"),
-    )
+
+
+def _is_invalid(spec: Column) -> Column:
+    members = _members(spec, SPEC_KEYS)
+    return _status(members, _chart_type(members)) != OK
 
 
 def parse_specs(plans: DataFrame, id_col: str, text_col: str, strict: bool = False) -> DataFrame:
@@ -112,39 +110,39 @@ def parse_specs(plans: DataFrame, id_col: str, text_col: str, strict: bool = Fal
     """
     document = F.try_parse_json(strip_fences(F.col(text_col)))
     parsed = plans.select(F.col(id_col).alias("plan_id"), document.alias("doc"))
-    keys = F.map_keys(_object(F.col("doc")))
-    wrapped = F.coalesce(F.array_contains(keys, "slides"), F.lit(False))
-    listed = F.when(wrapped, _get(F.col("doc"), "$.slides", "array<variant>")).otherwise(
-        _get(F.col("doc"), "$", "array<variant>")
-    )
-    rows = parsed.select("plan_id", "doc", listed.alias("specs"))
-    problem = F.when(F.col("doc").isNull(), F.lit(BAD_JSON)).when(
-        F.col("specs").isNull(), F.lit(NOT_A_LIST)
+    slides = F.try_variant_get("doc", "$.slides", "variant")
+    rows = parsed.select("plan_id", "doc", slides.alias("slides"))
+    listed = F.when(F.col("slides").isNotNull(), _get(F.col("slides"), "array<variant>")).otherwise(
+        _get(F.col("doc"), "array<variant>")
     )
-    rows = rows.select(
-        "plan_id", problem.alias("problem"), F.transform("specs", _spec).alias("specs")
+    rows = rows.select("plan_id", F.col("doc").isNull().alias("bad"), listed.alias("specs"))
+    problem = F.when(F.col("bad"), F.lit(BAD_JSON)).when(F.col("specs").isNull(), F.lit(NOT_A_LIST))
+    rows = rows.select("plan_id", problem.alias("problem"), "specs")
+    rejected = F.exists("specs", _is_invalid) if strict else F.lit(False)
+    exploded = rows.select(
+        "plan_id", "problem", rejected.alias("rejected"), F.posexplode_outer("specs").alias("spec_idx", "spec")
     )
-    if strict:
-        invalid = F.exists("specs", lambda s: s["status"] != OK)
-        rows = rows.withColumn("invalid", F.coalesce(invalid, F.lit(False)))
-    else:
-        rows = rows.withColumn("invalid", F.lit(False))
     # An empty list is a valid plan without specs; only broken plans keep an empty row.
-    rows = rows.where(F.col("problem").isNotNull() | (F.size("specs") > 0))
-    exploded = rows.select("plan_id", "problem", "invalid", F.posexplode_outer("specs").alias("spec_idx", "s"))
-    status = F.coalesce("problem", "s.status")
-    if strict:
-        status = F.when((status == OK) & F.col("invalid"), F.lit(REJECTED)).otherwise(status)
-    return exploded.select(
+    # Asked after the explode, so that the test cannot move below the JSON parser and
+    # run it twice.
+    exploded = exploded.where(F.col("spec_idx").isNotNull() | F.col("problem").isNotNull())
+    members = exploded.select(
+        "plan_id", "problem", "rejected", "spec_idx", _members(F.col("spec"), SPEC_KEYS).alias("m")
+    )
+    m = F.col("m")
+    typed = members.select("*", _chart_type(m).alias("chart_type"))
+    status = F.coalesce("problem", _status(m, F.col("chart_type")))
+    status = F.when((status == OK) & F.col("rejected"), F.lit(REJECTED)).otherwise(status)
+    return typed.select(
         "plan_id",
         "spec_idx",
         status.alias("status"),
-        "s.title",
-        "s.source_sheet",
-        "s.chart_type",
-        "s.data_columns",
-        "s.insight_text",
-        "s.kpis",
+        _get(m["title"], "string").alias("title"),
+        _get(m["source_sheet"], "string").alias("source_sheet"),
+        "chart_type",
+        _data_columns(m["data_columns"]).alias("data_columns"),
+        _get(m["insight_text"], "string").alias("insight_text"),
+        F.when(F.col("spec_idx").isNotNull(), _kpis(m["kpis"])).alias("kpis"),
     )
 
 
