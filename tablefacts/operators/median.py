@@ -30,6 +30,8 @@ MERGE_GROUPS = 64
 MOST_LISTED = 1_000_000
 """Most values inside a bracket that are grouped and ranked."""
 
+COLUMNS_PER_JOB = 64
+
 INFINITY = float("inf")
 
 
@@ -47,6 +49,13 @@ class Bracket:
 
 def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
     """Median per numeric column; ``None`` for a column without values."""
+    medians: dict[str, float | None] = {}
+    for start in range(0, len(columns), COLUMNS_PER_JOB):
+        medians |= _medians(df, columns[start : start + COLUMNS_PER_JOB])
+    return medians
+
+
+def _medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
     medians: dict[str, float | None] = {}
     open_ = {c: Bracket() for c in columns}
     while open_:

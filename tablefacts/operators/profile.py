@@ -247,7 +247,8 @@ def suppressed_top_values(df: DataFrame, columns: list[str], n: int = TOP_VALUES
     frequencies = value_frequencies(df, columns)
     rolled = _rollup(frequencies)
     shown = F.broadcast(rolled.where(~F.col("identifier_like")).select("column"))  # one row a column
-    top = _top(frequencies.join(shown, "column", "left_semi"), n)
+    # Not a semi join: that one moves below the count, and the values are counted twice.
+    top = _top(frequencies.join(shown, "column"), n)
     both = rolled.select(
         "*", *[F.lit(None).cast(t).alias(c) for c, t in (("rank", "int"), ("value", "string"), ("count", "bigint"))]
     ).unionByName(
