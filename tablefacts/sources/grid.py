@@ -22,10 +22,16 @@ TABLES = {"bigint": "integers", "double": "numbers", "boolean": "truths"}
 def split_line(line: Column, separator: str = ",") -> Column:
     """Cells of one delimited line; quoted cells may hold separators and doubled quotes."""
     s = "\\" + separator
-    cell = f'(?:^|{s})("[^"]*+(?:""[^"]*+)*+"|[^{s}]*+)'
-    cells = F.regexp_extract_all(line, F.lit(cell), F.lit(1))
-    unquoted = lambda c: F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
-    return F.transform(cells, lambda c: F.when(c.startswith('"'), unquoted(c)).otherwise(c))
+    # Every match begins with a separator, so an empty cell is a match like any other.
+    cell = f'{s}("[^"]*+(?:""[^"]*+)*+"(?={s}|$)|[^{s}]*+)'
+    cells = F.regexp_extract_all(F.concat(F.lit(separator), line), F.lit(cell), F.lit(1))
+
+    def unquoted(c: Column) -> Column:
+        inner = F.substring(c, F.lit(2), F.length(c) - 2)
+        quoted = c.startswith('"') & c.endswith('"') & (F.length(c) > 1)
+        return F.when(quoted, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(c)
+
+    return F.transform(cells, unquoted)
 
 
 def load_grid(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
