@@ -7,13 +7,16 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Shapes of date texts and the Spark pattern each is read with.
+# Shapes of date texts, the Spark pattern each is read with, and the range
+# a time must lie in.
 DATE_SHAPES = [
     (r"\d{4}-\d{1,2}-\d{1,2}", "yyyy-M-d"),
     (r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"),
     (r"\d{8}", "yyyyMMdd"),
     (r"\d{4}-\d{1,2}", "yyyy-M"),
+    (r"\d{4}", "yyyy"),
     (r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy"),
+    (r"\d{1,2}/\d{1,2}/\d{2}", "M/d/yy"),
     (r"\d{1,2}-\d{1,2}-\d{4}", "M-d-yyyy"),
     (r"\d{1,2}\.\d{1,2}\.\d{4}", "M.d.yyyy"),
     (r"[A-Z][a-z]{2} \d{1,2}, \d{4}", "MMM d, yyyy"),
@@ -21,15 +24,21 @@ DATE_SHAPES = [
     (r"\d{1,2} [A-Z][a-z]{2} \d{4}", "d MMM yyyy"),
     (r"\d{1,2} [A-Z][a-z]{3,8} \d{4}", "d MMMM yyyy"),
     (r"\d{1,2}-[A-Z][a-z]{2}-\d{4}", "d-MMM-yyyy"),
+    (r"\d{1,2}-[A-Z][a-z]{2}-\d{2}", "d-MMM-yy"),
+    (r"[A-Z][a-z]{2} \d{4}", "MMM yyyy"),
 ]
 TIME_SHAPES = [
     (r"", ""),
     (r" \d{1,2}:\d{2}", " H:mm"),
+    (r" \d{1,2}:\d{2} [AP]M", " h:mm a"),
+    (r" \d{1,2}:\d{2}:\d{2} [AP]M", " h:mm:ss a"),
     (r" \d{1,2}:\d{2}:\d{2}", " H:mm:ss"),
     (r" \d{1,2}:\d{2}:\d{2}\.\d{1,6}", " H:mm:ss.SSSSSS"),
     (r"T\d{1,2}:\d{2}:\d{2}", "'T'H:mm:ss"),
     (r"T\d{1,2}:\d{2}:\d{2}\.\d{1,6}", "'T'H:mm:ss.SSSSSS"),
 ]
+FIRST_TIME, LAST_TIME = "1677-09-21 00:12:43.145225", "2262-04-11 23:47:16.854775"
+
 LONGEST_DATE_TEXT = 40
 
 
@@ -45,5 +54,7 @@ def guess_format(value: str) -> str | None:
 
 
 def parse_date(c: Column, pattern: str) -> Column:
-    """The text read with one pattern; anything else is missing."""
-    return F.try_to_timestamp(c, F.lit(pattern)).cast("timestamp_ntz")
+    """The text read with one pattern; anything else, or out of range, is missing."""
+    time = F.try_to_timestamp(c, F.lit(pattern)).cast("timestamp_ntz")
+    first, last = (F.lit(t).cast("timestamp_ntz") for t in (FIRST_TIME, LAST_TIME))
+    return F.when(time.between(first, last), time)

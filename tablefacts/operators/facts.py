@@ -16,7 +16,7 @@ from ..functions.formats import (
     share_text,
     thousands,
 )
-from .groups import KEY, ROWS, Groups, Measure, NotComputable, group
+from .groups import KEY, ROWS, Groups, Measure, NotComputable, check_category, group
 
 FACTS = [
     "top_category",
@@ -43,6 +43,7 @@ def pick_roles(df: DataFrame, columns: list[str]) -> tuple[str, str | None]:
 def fact_measure(df: DataFrame, columns: list[str], agg: str = "sum") -> tuple[str, Measure]:
     """Category and the measure ranked: a sum, a count of values, or a count of rows."""
     category, value = pick_roles(df, columns)
+    check_category(df, category)
     if value == category:
         raise NotComputable("duplicate column")
     if value is None:

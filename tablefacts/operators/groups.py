@@ -9,7 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import col, dtype_of, is_addable, is_datetime, is_text, mean, total
+from ..functions.columns import (
+    col,
+    dtype_of,
+    is_addable,
+    is_datetime,
+    is_text,
+    label_of,
+    mean,
+    total,
+)
 
 # The aggregates a spec may name.
 AGGREGATES = ("sum", "mean", "count", "max", "min")
@@ -59,6 +68,11 @@ class Groups:
         return self.frame.schema[self.names[measure]].dataType
 
 
+def check_category(df: DataFrame, name: str) -> None:
+    if label_of(dtype_of(df, name)) is None:
+        raise NotComputable("unsupported type")
+
+
 def group(df: DataFrame, category: str, measures: list[Measure]) -> Groups:
     """Group by the non-null categories; combined map-side, so hot keys stay small."""
     wanted = list(dict.fromkeys(measures))

@@ -19,7 +19,7 @@ from ..functions.columns import (
 )
 from ..functions.formats import key_text, single_value_text
 from ..functions.names import resolve_columns
-from .groups import AGGREGATES, KEY, GroupCache, Groups, NotComputable
+from .groups import AGGREGATES, KEY, GroupCache, Groups, NotComputable, check_category
 
 # The spec vocabulary and how many KPIs a spec may carry.
 TYPES = ("extreme_category", "avg_per_group", "filtered_rate", "filtered_sum", "peak_point")
@@ -124,6 +124,7 @@ class Plan:
         if agg not in AGGREGATES:
             raise NotComputable("unknown agg")
         self.category = _column(self.df, spec, "group_by")
+        check_category(self.df, self.category)
         value = _column(self.df, spec, "value_col")
         dtype = dtype_of(self.df, value)
         if agg in ("sum", "mean") and not is_addable(dtype):
@@ -162,6 +163,7 @@ class Plan:
 
     def _plan_peak(self, spec: dict) -> None:
         x, value = _column(self.df, spec, "x_col"), _column(self.df, spec, "value_col")
+        check_category(self.df, x)
         self.value_type, self.x_type = dtype_of(self.df, value), dtype_of(self.df, x)
         down = _descending(col(value), self.value_type)
         if down is None and not is_datetime(self.value_type):

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import ROW, col, data_columns, dtype_of, is_addable, number
+from ..functions.columns import ROW, col, dtype_of, is_addable, number
 from ..functions.formats import category_text, cell_text
-from .groups import KEY, ROWS, GroupCache, Groups, Measure, NotComputable, group
+from .groups import KEY, ROWS, GroupCache, Groups, Measure, NotComputable, check_category
 
 # The row count up to which a line keeps its rows, and a count's name.
 MOST_RAW_ROWS = 20
@@ -36,6 +36,7 @@ def line_measures(df: DataFrame, values: list[str]) -> list[tuple[str, Measure]]
 def check_roles(df: DataFrame, columns: list[str]) -> tuple[str, list[str]]:
     """Category and value columns of a chart, if its columns allow one."""
     category, values = columns[0], columns[1:]
+    check_category(df, category)
     if category in values:
         raise NotComputable("duplicate column")
     if not values and is_addable(dtype_of(df, category)) and ROW not in df.columns:
@@ -153,6 +154,3 @@ def table_rows(df: DataFrame, columns: list[str], spec_id: str = "0") -> DataFra
         F.array(*[F.lit(c) for c in columns]).alias("names"),
         F.array(*[col(c) for c in columns]).alias("cells"),
     )
-
-
-__all__ = ["chart_series", "table_extract", "table_cells", "table_rows", "group", "data_columns"]

@@ -142,13 +142,17 @@ def collect_specs(specs: DataFrame) -> list[dict]:
 
 
 def run_specs(
-    specs: DataFrame | list[dict], tables: dict[str, DataFrame], strict: bool = False
+    specs: DataFrame | list[dict],
+    tables: dict[str, DataFrame],
+    strict: bool = False,
+    keep_groups: bool = True,
 ) -> Run:
     """Compute KPIs, facts, filled texts, series and tables of all specs.
 
     Everything that can go wrong with a spec is decided from the schemas first, so one
     bad spec becomes a text with a reason and never stops the others. Results of the same
-    table that share a category share one group-by.
+    table that share a category share one group-by, persisted until ``release`` so that
+    the frames of the run share it too; without ``keep_groups`` only parts of one frame do.
     """
     listed = collect_specs(specs) if isinstance(specs, DataFrame) else specs
     if len(listed) > MOST_SPECS:
@@ -164,7 +168,7 @@ def run_specs(
         return known[name]
 
     planned = [_Spec(str(i), s, tables, is_empty) for i, s in enumerate(listed)]
-    cache = GroupCache(keep=True)
+    cache = GroupCache(keep=keep_groups)
     for p in planned:
         p.want(cache)
 

@@ -98,9 +98,9 @@ def test_every_date_shape_is_read(spark):
 
     days = [
         "2024-01-31", "2024/01/31", "20240131", "01/31/2024", "31/01/2024", "01-31-2024", "31-01-2024", "31.01.2024",
-        "Jan 31, 2024", "January 31, 2024", "31 Jan 2024", "31 January 2024", "31-Jan-2024",
+        "Jan 31, 2024", "January 31, 2024", "31 Jan 2024", "31 January 2024", "31-Jan-2024", "01/31/24", "31-Jan-24",
     ]
-    times = {"": (0, 0, 0, 0), " 10:20": (10, 20, 0, 0), " 9:20:30": (9, 20, 30, 0), " 10:20:30.25": (10, 20, 30, 250000),
+    times = {"": (0, 0, 0, 0), " 1:20 PM": (13, 20, 0, 0), " 1:20:30 AM": (1, 20, 30, 0), " 10:20": (10, 20, 0, 0), " 9:20:30": (9, 20, 30, 0), " 10:20:30.25": (10, 20, 30, 250000),
              "T10:20:30": (10, 20, 30, 0), "T10:20:30.125": (10, 20, 30, 125000)}
     for day in days:
         for time, clock in times.items():
@@ -110,3 +110,11 @@ def test_every_date_shape_is_read(spark):
             df = spark.createDataFrame([(value,)], "v string")
             got = df.select(parse_date(F.col("v"), pattern)).first()[0]
             assert got == datetime.datetime(2024, 1, 31, *clock), (value, pattern)
+
+
+def test_times_out_of_range_are_missing(spark):
+    from tablefacts.functions.dates import parse_date
+
+    df = spark.createDataFrame([("1001",), ("2024",), ("9999",)], "v string")
+    got = [r[0] for r in df.select(parse_date(F.col("v"), guess_format("2024"))).collect()]
+    assert got == [None, datetime.datetime(2024, 1, 1), None]

@@ -159,5 +159,15 @@ def test_bad_specs_fall_back_alone(spark, sales):
     texts = [r["insight_text"] for r in rows(run.status, "spec_id")]
     assert texts[7] == "North" and texts[6] == "12"
     run.release()
+    nested = sales.selectExpr("array(Region) AS Regions", "Revenue")
+    run = run_specs(
+        [spec("k", "N", "bar", ["Regions", "Revenue"], "{{COUNT}}"),
+         spec("l", "N", "bar", ["Revenue", "Regions"], "x", [top("T", "Regions", "Revenue")])],
+        {"N": nested},
+    )
+    assert [(r["rendered_as"], r["status"]) for r in rows(run.status, "spec_id")] == [("text", "unfilled"), ("bar", "ok")]
+    assert rows(run.kpis, "spec_id")[0]["status"] == "skipped: unsupported type"
+    assert [r["value"] for r in rows(run.series, "ord")] == [1.0] * 12
+    run.release()
     with pytest.raises(UnfilledTemplate):
         run_specs(specs[2:3], {"Sales": sales}, strict=True)
