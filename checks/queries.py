@@ -763,7 +763,8 @@ PLAN = [
 def _run(spark, sf_dir) -> Run:
     text = "```json\n" + json.dumps({"slides": PLAN}) + "\n```"
     plans = spark.createDataFrame([("plan", text)], "plan_id string, body string")
-    return run_specs(parse_specs(plans, "plan_id", "body"), workspace(spark, sf_dir), keep_groups=False)
+    tables = {n: read(spark, sf_dir, n) for n in ("orders", "supplier", "part")}
+    return run_specs(parse_specs(plans, "plan_id", "body"), tables, keep_groups=False)
 
 
 def run_status(spark, sf_dir):

@@ -49,7 +49,7 @@ def resolve_kpi(spec: dict, columns: list[str]) -> dict:
 def check_pattern(spark: SparkSession, pattern: str) -> None:
     """Reject a pattern Java cannot compile before it can fail a whole job."""
     try:
-        spark.range(1).select(_matches(F.lit(""), pattern)).first()
+        spark.sql("SELECT '' AS text").select(_matches(F.col("text"), pattern)).first()
     except Exception as error:
         raise NotComputable("bad pattern") from error
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,23 +40,75 @@ class UnfilledTemplate(ValueError):
     """A text still holds a placeholder, in strict mode."""
 
 
-@dataclass
 class Run:
-    """The results of a run, each a lazy frame keyed by ``spec_id``."""
+    """The results of a run, each a lazy frame keyed by ``spec_id`` and built when it is
+    first asked for."""
+
+    def __init__(self, spark: SparkSession, planned: list["_Spec"], tables: dict, cache: GroupCache):
+        self._spark, self._planned, self._tables, self._groups = spark, planned, tables, cache
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        """One row per spec with matched columns: the eleven facts and their numbers."""
+        parts = [
+            fact_parts(self._groups.get(p.df, p.sheet, p.fact[0]), p.fact[1], p.id)
+            for p in self._planned
+            if p.fact
+        ]
+        if parts:
+            return merge_facts(parts)
+        names = ["spec_id", *FACTS]
+        return self._spark.createDataFrame([], ", ".join(f"{n} string" for n in names))
+
+    @cached_property
+    def status(self) -> DataFrame:
+        """One row per spec: how it came out, why, and its filled text."""
+        static = self._spark.createDataFrame([p.row() for p in self._planned], STATUS_SCHEMA)
+        filled = fill_template(static, self.facts)
+        unfilled = is_unfilled(F.col("insight_text"))
+        return filled.withColumn("status", F.when(unfilled, F.lit(UNFILLED)).otherwise(F.col("status")))
+
+    @cached_property
+    def kpis(self) -> DataFrame:
+        by_table: dict[str, list] = {}
+        for p in self._planned:
+            by_table.setdefault(p.sheet, []).extend((p.id, *k) for k in p.kpis)
+        frames = [
+            frame
+            for sheet, entries in by_table.items()
+            if entries
+            for frame in kpi_rows(self._tables[sheet], sheet, entries, self._groups)
+        ]
+        return finish_kpis(frames, self._spark)
+
+    @cached_property
+    def series(self) -> DataFrame:
+        frames = [
+            p.series.rows(p.df, p.sheet, self._groups, p.id).select(*SERIES_COLUMNS)
+            for p in self._planned
+            if p.series
+        ]
+        return self._union(SERIES_SCHEMA, frames)
+
+    @cached_property
+    def tables(self) -> DataFrame:
+        frames = [table_rows(p.df, p.matched, p.id) for p in self._planned if p.rendered == TABLE]
+        return self._union(TABLE_SCHEMA, frames)
+
+    def _union(self, schema: str, frames: list[DataFrame]) -> DataFrame:
+        if not frames:
+            return self._spark.createDataFrame([], schema)
+        rows = frames[0]
+        for frame in frames[1:]:
+            rows = rows.unionByName(frame)
+        return rows
 
-    status: DataFrame
-    kpis: DataFrame
-    facts: DataFrame
-    series: DataFrame
-    tables: DataFrame
-    groups: GroupCache
+    def frames(self) -> dict[str, DataFrame]:
+        return {n: getattr(self, n) for n in ("status", "kpis", "facts", "series", "tables")}
 
     def release(self) -> None:
         """Drop the groupings kept for the results."""
-        self.groups.release()
-
-    def frames(self) -> dict[str, DataFrame]:
-        return {n: getattr(self, n) for n in ("status", "kpis", "facts", "series", "tables")}
+        self._groups.release()
 
 
 class _Spec:
@@ -172,56 +224,9 @@ def run_specs(
     for p in planned:
         p.want(cache)
 
-    facts = _facts(spark, planned, cache)
-    static = spark.createDataFrame([p.row() for p in planned], STATUS_SCHEMA)
-    status = fill_template(static, facts)
-    flagged = F.when(is_unfilled(F.col("insight_text")), F.lit(UNFILLED)).otherwise(F.col("status"))
-    status = status.withColumn("status", flagged)
-    run = Run(
-        status,
-        _kpis(spark, planned, tables, cache),
-        facts,
-        _union(spark, SERIES_SCHEMA, [_series(p, cache) for p in planned if p.series]),
-        _union(spark, TABLE_SCHEMA, [table_rows(p.df, p.matched, p.id) for p in planned if p.rendered == TABLE]),
-        cache,
-    )
+    run = Run(spark, planned, tables, cache)
     if strict:
-        left = [r["spec_id"] for r in status.where(F.col("status") == UNFILLED).collect()]
+        left = [r["spec_id"] for r in run.status.where(F.col("status") == UNFILLED).collect()]
         if left:
             raise UnfilledTemplate(f"unfilled placeholder in spec {', '.join(sorted(left))}")
     return run
-
-
-def _facts(spark: SparkSession, planned: list[_Spec], cache: GroupCache) -> DataFrame:
-    parts = [
-        fact_parts(cache.get(p.df, p.sheet, p.fact[0]), p.fact[1], p.id) for p in planned if p.fact
-    ]
-    if parts:
-        return merge_facts(parts)
-    return spark.createDataFrame([], ", ".join(f"{n} string" for n in ["spec_id", *FACTS]))
-
-
-def _kpis(spark: SparkSession, planned: list[_Spec], tables: dict, cache: GroupCache) -> DataFrame:
-    by_table: dict[str, list] = {}
-    for p in planned:
-        by_table.setdefault(p.sheet, []).extend((p.id, *k) for k in p.kpis)
-    frames = [
-        frame
-        for sheet, entries in by_table.items()
-        if entries
-        for frame in kpi_rows(tables[sheet], sheet, entries, cache)
-    ]
-    return finish_kpis(frames, spark)
-
-
-def _series(p: _Spec, cache: GroupCache) -> DataFrame:
-    return p.series.rows(p.df, p.sheet, cache, p.id).select(*SERIES_COLUMNS)
-
-
-def _union(spark: SparkSession, schema: str, frames: list[DataFrame]) -> DataFrame:
-    if not frames:
-        return spark.createDataFrame([], schema)
-    rows = frames[0]
-    for frame in frames[1:]:
-        rows = rows.unionByName(frame)
-    return rows

@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Looking up the calling line for every column expression triples the time it takes
+    # to put a large plan together.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
