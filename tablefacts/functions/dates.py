@@ -39,7 +39,7 @@ TIME_SHAPES = [
 ]
 FIRST_TIME, LAST_TIME = "1677-09-21 00:12:43.145225", "2262-04-11 23:47:16.854775"
 
-LONGEST_DATE_TEXT = 40
+SHORTEST_DATE_TEXT, LONGEST_DATE_TEXT = 4, 40
 
 
 def guess_format(value: str) -> str | None:
@@ -53,6 +53,14 @@ def guess_format(value: str) -> str | None:
     return None
 
 
+def looks_like_date(c: Column) -> Column:
+    """Whether a text has one of the known shapes; long texts are not looked into."""
+    dates = "|".join(shape for shape, _ in DATE_SHAPES)
+    times = "|".join(shape for shape, _ in TIME_SHAPES)
+    short = F.octet_length(c).between(SHORTEST_DATE_TEXT, LONGEST_DATE_TEXT)
+    return short & F.trim(c).rlike(f"^(?:{dates})(?:{times})$")
+
+
 def parse_date(c: Column, pattern: str) -> Column:
     """The text read with one pattern; anything else, or out of range, is missing."""
     time = F.try_to_timestamp(c, F.lit(pattern)).cast("timestamp_ntz")

@@ -27,7 +27,7 @@ from ..functions.columns import (
     float_sum,
     label_of,
 )
-from ..functions.dates import LONGEST_DATE_TEXT, guess_format, parse_date
+from ..functions.dates import LONGEST_DATE_TEXT, guess_format, looks_like_date, parse_date
 from ..functions.formats import iso_text
 from ..functions.names import match_key
 from .median import exact_medians
@@ -49,6 +49,9 @@ LONG_TEXT = 128
 COLUMNS_PER_JOB = 64
 HEAD_ROWS = 100
 
+SEARCH = ""
+"""In place of a date pattern: look for values that could be dates."""
+
 PROFILE_SCHEMA = (
     "table string, ordinal int, column string, label string, row_count bigint, "
     "column_count int, count bigint, non_null bigint, missing_pct double, sum double, "
@@ -64,8 +67,9 @@ PROFILE_SCHEMA = (
 
 
 def head_formats(df: DataFrame, columns: list[str]) -> tuple[dict[str, str], set[str]]:
-    """Date pattern per text column, from the first value that looks like a date, and
-    the columns whose first rows hold long texts. Only decides how to read a column."""
+    """Date pattern per text column, from the first of its leading values that looks like
+    a date, and the columns whose leading values are long. Only settles in which pattern a
+    column is read first: columns without one are searched as a whole later."""
     if not columns:
         return {}, set()
     parts = []
@@ -103,11 +107,32 @@ def datetime_ratio(df: DataFrame, formats: dict[str, str]) -> DataFrame:
     return row.select("*", ratio.alias("ratio"), inferred.alias("is_datetime"))
 
 
+def _date_samples(c: Column, times: Column | None = None) -> list[Column]:
+    """How many values look like dates, and the smallest of them."""
+    like = looks_like_date(c)
+    each = F.lit(1) if times is None else times
+    return [
+        F.coalesce(F.sum(F.when(like, each)), F.lit(0)).alias("date_like"),
+        F.min(F.when(like, c)).alias("date_sample"),
+    ]
+
+
+def _late_format(raw: dict, non_null: int) -> str | None:
+    """Pattern of a column whose leading values were no dates but half of all look so."""
+    enough = raw["date_like"] > 0 and raw["date_like"] >= DATE_MIN_RATIO * non_null
+    return guess_format(raw["date_sample"].strip()) if enough else None
+
+
 def infer_types(df: DataFrame) -> DataFrame:
-    """``column, label`` per column, in column order."""
+    """``ordinal, column, label`` per column."""
     names = data_columns(df)
     labels = {c: label_of(dtype_of(df, c)) for c in names}
-    formats, _ = head_formats(df, [c for c in names if labels[c] == TEXT])
+    text = [c for c in names if labels[c] == TEXT]
+    formats, _ = head_formats(df, text)
+    unknown = [c for c in text if c not in formats]
+    if unknown:
+        _, stats = _scan_stats(df, [(c, TEXT, SEARCH) for c in unknown])
+        formats |= {c: p for c in unknown if (p := _late_format(stats[c], stats[c]["non_null"]))}
     if formats:
         for row in datetime_ratio(df, formats).collect():
             if row["is_datetime"]:
@@ -158,9 +183,10 @@ def _column_stats(df: DataFrame, name: str, label: str | None, pattern: str | No
         return _boolean_stats(c)
     if label == TEXT:
         stats = [F.count(c).alias("non_null")]
-        if pattern:
-            parsed = _datetime_stats(parse_date(c, pattern))
-            stats.append(F.struct(*parsed).alias("dates"))
+        if pattern == SEARCH:
+            stats += _date_samples(c)
+        elif pattern:
+            stats.append(F.struct(*_datetime_stats(parse_date(c, pattern))).alias("dates"))
         return stats
     if label is None:
         return [F.count(c).alias("non_null")]
@@ -208,12 +234,15 @@ def value_frequencies(df: DataFrame, columns: list[str], digest: bool = False) -
     )
 
 
-def _rollup(frequencies: DataFrame) -> DataFrame:
+def _rollup(frequencies: DataFrame, *more: Column) -> DataFrame:
     distinct = F.count(F.lit(1))
     values = F.sum("count")
     flagged = (values >= IDENTIFIER_MIN_VALUES) & (distinct / values >= IDENTIFIER_MIN_RATIO)
     return frequencies.groupBy("column").agg(
-        values.alias("non_null"), distinct.alias("unique_values"), flagged.alias("identifier_like")
+        values.alias("non_null"),
+        distinct.alias("unique_values"),
+        flagged.alias("identifier_like"),
+        *more,
     )
 
 
@@ -242,25 +271,16 @@ def identifier_flags(df: DataFrame, columns: list[str]) -> DataFrame:
     return rolled.select(_named(df, columns), "non_null", "unique_values", "identifier_like")
 
 
-def suppressed_top_values(df: DataFrame, columns: list[str], n: int = TOP_VALUES) -> DataFrame:
-    """Rollup and top values from one frequency table; identifiers show no values."""
+def text_summary(df: DataFrame, columns: list[str], n: int = TOP_VALUES) -> DataFrame:
+    """Rollup and top values of short-text columns from one frequency table: a row per
+    column, then its top values by rank; identifiers show none. Values that look like
+    dates are searched among the distinct values only."""
     frequencies = value_frequencies(df, columns)
-    rolled = _rollup(frequencies)
+    rolled = _rollup(frequencies, *_date_samples(F.col("value"), F.col("count")))
     shown = F.broadcast(rolled.where(~F.col("identifier_like")).select("column"))  # one row a column
     # Not a semi join: that one moves below the count, and the values are counted twice.
-    top = _top(frequencies.join(shown, "column"), n)
-    both = rolled.select(
-        "*", *[F.lit(None).cast(t).alias(c) for c, t in (("rank", "int"), ("value", "string"), ("count", "bigint"))]
-    ).unionByName(
-        top.select(
-            "column",
-            *[F.lit(None).cast("bigint").alias(c) for c in ("non_null", "unique_values")],
-            F.lit(None).cast("boolean").alias("identifier_like"),
-            "rank",
-            "value",
-            "count",
-        )
-    )
+    top = _top(frequencies.join(shown, "column"), n).select("column", "rank", "value", "count")
+    both = rolled.unionByName(top, allowMissingColumns=True)
     return both.select(_named(df, columns), *both.columns[1:])
 
 
@@ -268,12 +288,10 @@ def _text_stats(df: DataFrame, short: list[str], long: list[str], n: int) -> dic
     stats: dict[str, dict] = {}
     if short:
         tops: dict[str, list] = {}
-        for r in suppressed_top_values(df, short, n).collect():
+        for r in text_summary(df, short, n).collect():
             if r["rank"] is None:
-                stats[r["column"]] = {
-                    "unique_values": r["unique_values"],
-                    "identifier_like": r["identifier_like"],
-                }
+                wanted = ("unique_values", "identifier_like", "date_like", "date_sample")
+                stats[r["column"]] = {f: r[f] for f in wanted}
             else:
                 tops.setdefault(r["column"], []).append((r["rank"], r["value"], r["count"]))
         for c, values in tops.items():
@@ -335,13 +353,20 @@ def _profile_rows(df: DataFrame, name: str, top_n: int) -> list[dict]:
     with ThreadPool(2) as pool:
         medians_job = pool.apply_async(exact_medians, (df, numeric))
         texts_job = pool.apply_async(_text_stats, (df, short, [c for c in text if c in long], top_n))
-        rows, stats = _scan_stats(df, [(c, labels[c], formats.get(c)) for c in columns])
+        searched = {c: SEARCH for c in text if c in long} | formats
+        rows, stats = _scan_stats(df, [(c, labels[c], searched.get(c)) for c in columns])
         medians, texts = medians_job.get(), texts_job.get()
     if rows == 0:
         return [{"table": name, "row_count": 0, "column_count": 0, "note": NOTE_EMPTY}]
 
+    unread = [c for c in text if c not in formats and stats[c]["non_null"] > 0]
+    samples = {c: texts[c] if c in short else stats[c] for c in unread}
+    found = {c: p for c, raw in samples.items() if (p := _late_format(raw, stats[c]["non_null"]))}
+    if found:
+        formats |= found
+        stats |= _scan_stats(df, [(c, TEXT, p) for c, p in found.items()])[1]
     dated = {c for c in formats if _is_dates(stats[c])}
-    late = [c for c in formats if c not in dated and c not in long]
+    late = [c for c in formats if c not in dated and c not in texts]
     if late:
         texts |= _text_stats(df, late, [], top_n)
     overflown = [
@@ -384,7 +409,7 @@ def _finish(label, rows: int, raw: dict, median, exact_sum, text: dict | None) -
         done |= {"true_count": raw["true_count"], "false_count": raw["false_count"]}
         done["true_pct"] = _one_digit(raw["true_count"] / n * 100)
     elif label == TEXT:
-        done |= text
+        done |= {k: text.get(k) for k in ("unique_values", "identifier_like", "top_values")}
         done["note"] = NOTE_IDENTIFIER if text["identifier_like"] else None
     else:
         done |= {k: raw[k] for k in ("min_date", "max_date", "date_range_days")}
@@ -489,7 +514,7 @@ def profile_to_json(profile: DataFrame) -> DataFrame:
     )
     return documents.select(
         "table",
-        F.to_json(F.struct(F.col("table"), *head, "note", ordered.alias("columns"))).alias("json"),
+        F.to_json(F.struct(F.col("table").alias("sheet_name"), *head, "note", ordered.alias("columns"))).alias("json"),
     )
 
 

@@ -81,6 +81,21 @@ def test_mostly_other_text_is_no_date(spark):
     assert (got["label"], got["unique_values"]) == ("categorical / text", 3)
 
 
+def test_dates_after_many_other_values(spark):
+    """The leading rows settle the pattern only where they have one."""
+    rows = [("TBD",)] * 150 + [(f"03/{i % 28 + 1:02d}/2024",) for i in range(200)] + [("2024-01-05",)]
+    df = spark.createDataFrame(rows, "s string").coalesce(1)
+    got = by_column(P.profile_table(df))["s"]
+    assert (got["label"], got["non_null"], got["max_date"]) == (
+        "datetime (inferred)", 200, "2024-03-28T00:00:00",
+    )
+    assert [r["label"] for r in P.infer_types(df).collect()] == ["datetime (inferred)"]
+    few = spark.createDataFrame([("TBD",)] * 150 + rows[150:200], "s string").coalesce(1)
+    got = by_column(P.profile_table(few))["s"]
+    assert (got["label"], got["top_values"][0]["count"]) == ("categorical / text", 150)
+    assert [r["label"] for r in P.infer_types(few).collect()] == ["categorical / text"]
+
+
 def test_long_texts_are_counted_whole(spark):
     base = "x" * 500
     df = spark.createDataFrame([(base + "1",)] * 3 + [(base + "2",)] * 2 + [(None,)], "s string")
