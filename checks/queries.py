@@ -284,7 +284,7 @@ def frequent_values(spark, sf_dir):
 
 def frequent_values_of_long_text(spark, sf_dir):
     """The whole documents that occur most often."""
-    top = P.top_values(read(spark, sf_dir, "documents"), ["text"], n=10)
+    top = P.top_long_values(read(spark, sf_dir, "documents"), ["text"], n=10)
     return top.select("column", "rank", F.md5("value").alias("digest"), "count")
 
 

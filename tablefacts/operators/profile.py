@@ -46,7 +46,12 @@ NOTE_UNSUPPORTED = "unsupported type"
 LONG_TEXT = 128
 """Texts above this length are counted by digest, so the shuffle does not carry them."""
 
+MOST_CANDIDATES = 1000
+"""Digests looked at for the top values of a long-text column: the widest rank filter that
+Spark still applies before the shuffle."""
+
 COLUMNS_PER_JOB = 64
+TEXT_COLUMNS_PER_JOB = 32
 HEAD_ROWS = 100
 
 SEARCH = ""
@@ -271,45 +276,85 @@ def identifier_flags(df: DataFrame, columns: list[str]) -> DataFrame:
     return rolled.select(_named(df, columns), "non_null", "unique_values", "identifier_like")
 
 
-def text_summary(df: DataFrame, columns: list[str], n: int = TOP_VALUES) -> DataFrame:
-    """Rollup and top values of short-text columns from one frequency table: a row per
-    column, then its top values by rank; identifiers show none. Values that look like
-    dates are searched among the distinct values only."""
-    frequencies = value_frequencies(df, columns)
-    rolled = _rollup(frequencies, *_date_samples(F.col("value"), F.col("count")))
+def _summary(frequencies: DataFrame, n: int, *more: Column) -> DataFrame:
+    """A row per column, then the ``n`` top values of each column that may show any."""
+    rolled = _rollup(frequencies, *more)
     shown = F.broadcast(rolled.where(~F.col("identifier_like")).select("column"))  # one row a column
     # Not a semi join: that one moves below the count, and the values are counted twice.
     top = _top(frequencies.join(shown, "column"), n).select("column", "rank", "value", "count")
-    both = rolled.unionByName(top, allowMissingColumns=True)
-    return both.select(_named(df, columns), *both.columns[1:])
+    return rolled.unionByName(top, allowMissingColumns=True)
+
+
+def _short_text_stats(df: DataFrame, columns: list[str], n: int) -> dict[str, dict]:
+    """Statistics of columns of short texts, all from one frequency table. Values that
+    look like dates are searched among the distinct values only."""
+    samples = _date_samples(F.col("value"), F.col("count"))
+    rows = _summary(value_frequencies(df, columns), n, *samples).collect()
+    stats = {columns[int(r["column"])]: r.asDict() for r in rows if r["rank"] is None}
+    for r in sorted((r for r in rows if r["rank"] is not None), key=lambda r: r["rank"]):
+        values = stats[columns[int(r["column"])]].setdefault("top_values", [])
+        values.append((r["value"], r["count"]))
+    return stats
+
+
+def _long_text_stats(df: DataFrame, columns: list[str], n: int) -> dict[str, dict]:
+    """Statistics of columns of long texts, counted by digest; a text is only read again
+    for the values shown."""
+    rows = _summary(value_frequencies(df, columns, digest=True), MOST_CANDIDATES).collect()
+    stats = {columns[int(r["column"])]: r.asDict() for r in rows if r["rank"] is None}
+    for c, values in _long_top_values(df, columns, rows, n).items():
+        stats[c]["top_values"] = values
+    return stats
+
+
+def _long_top_values(df: DataFrame, columns: list[str], rows: list, n: int) -> dict[str, list]:
+    """Top values given the most frequent digests of every column. A column with more
+    values tied for the last place than digests were looked at is grouped by whole text."""
+    ranked: dict[int, list] = {}
+    for r in sorted((r for r in rows if r["rank"] is not None), key=lambda r: r["rank"]):
+        ranked.setdefault(int(r["column"]), []).append((r["count"], r["value"]))
+    wanted, whole = [], []
+    for i, found in ranked.items():
+        least = found[min(n, len(found)) - 1][0]
+        if len(found) == MOST_CANDIDATES and found[-1][0] >= least:
+            whole.append(columns[i])
+        else:
+            wanted += [(str(i), digest) for count, digest in found if count >= least]
+    top: dict[str, list] = {}
+    if wanted:
+        digests = df.sparkSession.createDataFrame(wanted, "column string, digest binary")
+        ids = [str(i) for i in range(len(columns))]
+        texts = df.select(*[col(c).cast("string").alias(i) for i, c in zip(ids, columns)])
+        texts = texts.unpivot([], ids, "column", "value").where(F.col("value").isNotNull())
+        texts = texts.withColumn("digest", F.unhex(F.sha2("value", 256)))
+        # At most a thousand digests a column.
+        texts = texts.join(F.broadcast(digests), ["column", "digest"], "left_semi")
+        counted = texts.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+        for r in _top(counted, n).orderBy("rank").collect():
+            top.setdefault(columns[int(r["column"])], []).append((r["value"], r["count"]))
+    if whole:
+        for r in top_values(df, whole, n).orderBy("rank").collect():
+            top.setdefault(r["column"], []).append((r["value"], r["count"]))
+    return top
 
 
 def _text_stats(df: DataFrame, short: list[str], long: list[str], n: int) -> dict[str, dict]:
     stats: dict[str, dict] = {}
-    if short:
-        tops: dict[str, list] = {}
-        for r in text_summary(df, short, n).collect():
-            if r["rank"] is None:
-                wanted = ("unique_values", "identifier_like", "date_like", "date_sample")
-                stats[r["column"]] = {f: r[f] for f in wanted}
-            else:
-                tops.setdefault(r["column"], []).append((r["rank"], r["value"], r["count"]))
-        for c, values in tops.items():
-            stats[c]["top_values"] = [(v, k) for _, v, k in sorted(values)]
-    if long:
-        rolled = _rollup(value_frequencies(df, long, digest=True))
-        for r in rolled.select(_named(df, long), "unique_values", "identifier_like").collect():
-            stats[r["column"]] = {
-                "unique_values": r["unique_values"],
-                "identifier_like": r["identifier_like"],
-            }
-        shown = [c for c in long if c in stats and not stats[c]["identifier_like"]]
-        if shown:
-            for r in top_values(df, shown, n).orderBy("rank").collect():
-                stats[r["column"]].setdefault("top_values", []).append((r["value"], r["count"]))
+    for read, columns in ((_short_text_stats, short), (_long_text_stats, long)):
+        for start in range(0, len(columns), TEXT_COLUMNS_PER_JOB):
+            stats |= read(df, columns[start : start + TEXT_COLUMNS_PER_JOB], n)
     return stats
 
 
+def top_long_values(df: DataFrame, columns: list[str], n: int = TOP_VALUES) -> DataFrame:
+    """As :func:`top_values`, for columns of long texts: only digests are shuffled, and the
+    texts of the few leading ones."""
+    ids = _top(value_frequencies(df, columns, digest=True), MOST_CANDIDATES)
+    top = _long_top_values(df, columns, ids.select("column", "rank", "value", "count").collect(), n)
+    rows = [(c, i, v, k) for c, values in top.items() for i, (v, k) in enumerate(values, start=1)]
+    return df.sparkSession.createDataFrame(rows, "column string, rank int, value string, count bigint")
+
+
 # ---- profiles ------------------------------------------------------------------
 
 

@@ -104,6 +104,21 @@ def test_long_texts_are_counted_whole(spark):
     assert [(t["value"][-1], t["count"]) for t in got["top_values"]] == [("1", 3), ("2", 2)]
 
 
+@pytest.mark.parametrize("candidates", [1000, 8, 3])
+def test_top_long_values(spark, monkeypatch, candidates):
+    """The same with few digests looked at, where ties force the whole texts."""
+    monkeypatch.setattr(P, "MOST_CANDIDATES", candidates)
+    texts = [f"{i % 40:02d}" + "z" * 200 for i in range(300)] + ["07" + "z" * 200] * 2 + ["x"] * 50
+    df = spark.createDataFrame([(t, "a" * 300) for t in texts], "t string, same string")
+    expected = [(r["column"], r["rank"], r["value"], r["count"]) for r in P.top_values(df, ["t", "same"]).collect()]
+    got = [tuple(r) for r in P.top_long_values(df, ["t", "same"]).collect()]
+    assert sorted(got) == sorted(expected) and len(got) == 6
+    row = by_column(P.profile_table(df))["t"]
+    assert [(t["value"][:2], t["count"]) for t in row["top_values"]] == [
+        ("x", 50), ("07", 10), ("00", 8), ("01", 8), ("02", 8),
+    ]
+
+
 def test_short_first_rows_then_long_texts(spark):
     rows = [("a",)] * 200 + [("y" * 1000,)] * 300
     got = by_column(P.profile_table(spark.createDataFrame(rows, "s string").coalesce(1)))["s"]
