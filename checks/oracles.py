@@ -545,7 +545,8 @@ ORACLES = {
       CAST(NULL AS VARCHAR) AS name_values, CAST(NULL AS VARCHAR) AS promo, CAST(NULL AS VARCHAR) AS size_type FROM customer
       UNION ALL SELECT 'part', CAST(count(*) AS VARCHAR), '6', NULL, NULL, NULL, (
         SELECT CAST(count AS VARCHAR) FROM ({top('part', 'p_type', 5)}) WHERE value = 'PROMO'), 'numeric (integer)' FROM part""",
-    "identifier_guard": f"""SELECT c_custkey AS spec_id, CASE WHEN (SELECT {ratio_ok('c_name')} FROM customer) THEN '' ELSE 'C_Name ,' END
+    "identifier_guard": f"""SELECT c_custkey AS spec_id, CASE WHEN c_acctbal >= 0
+      AND (SELECT {ratio_ok('c_name')} FROM customer) THEN '' ELSE 'C_Name ,' END
       || c_mktsegment || ',c_mktsegment' AS data_columns FROM customer""",
     "fence_strip": "SELECT doc_id, md5('[' || text || ']') AS digest FROM documents",
     "spec_parse": parsed_plans(),

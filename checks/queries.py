@@ -389,7 +389,7 @@ def identifier_guard(spark, sf_dir):
     customers = read(spark, sf_dir, "customer")
     specs = customers.select(
         F.col("c_custkey").alias("spec_id"),
-        F.lit("customer").alias("source_sheet"),
+        F.when(F.col("c_acctbal") >= 0, F.lit("customer")).otherwise(F.lit("elsewhere")).alias("source_sheet"),
         F.array(F.lit("C_Name "), F.col("c_mktsegment"), F.lit("c_mktsegment")).alias("data_columns"),
     )
     kept = P.drop_identifier_columns(specs, P.profile_table(customers, "customer"))
