@@ -19,9 +19,16 @@ SETTINGS = {
 }
 
 
-def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
-    """Apply the settings the operators are written for."""
-    for key, value in SETTINGS.items():
+def configure(builder: SparkSession.Builder, cores: int | None = None) -> SparkSession.Builder:
+    """Apply the settings the operators are written for.
+
+    Given the cores of the cluster, shuffles start with three partitions per core, which
+    adaptive execution then merges to a useful size; groupings of billions of keys need
+    that many, and small ones end up with few."""
+    settings = dict(SETTINGS)
+    if cores:
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(3 * cores)
+    for key, value in settings.items():
         builder = builder.config(key, value)
     return builder
 

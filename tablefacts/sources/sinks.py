@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.profile import profile_to_json
+from ..session import shared_folder
+from .workspace import load_workspace
 
 
 def write_frames(frames: dict[str, DataFrame], folder: str, file_format: str = "parquet") -> None:
@@ -16,3 +18,11 @@ def write_frames(frames: dict[str, DataFrame], folder: str, file_format: str = "
 def write_profile_json(profile: DataFrame, folder: str) -> None:
     """One JSON document per table, one per line."""
     profile_to_json(profile).select("json").write.mode("errorifexists").text(folder)
+
+
+def land(spark: SparkSession, tables: dict[str, DataFrame], folder: str | None = None) -> dict[str, DataFrame]:
+    """Write the tables as parquet and return them read back, by default below the shared
+    folder of the session. Text grids are parsed again by every query until landed."""
+    folder = folder or shared_folder(spark)
+    write_frames({f"{name}.parquet": table for name, table in tables.items()}, folder)
+    return load_workspace(spark, folder)

@@ -102,14 +102,13 @@ def test_every_date_shape_is_read(spark):
     ]
     times = {"": (0, 0, 0, 0), " 1:20 PM": (13, 20, 0, 0), " 1:20:30 AM": (1, 20, 30, 0), " 10:20": (10, 20, 0, 0), " 9:20:30": (9, 20, 30, 0), " 10:20:30.25": (10, 20, 30, 250000),
              "T10:20:30": (10, 20, 30, 0), "T10:20:30.125": (10, 20, 30, 125000)}
-    for day in days:
-        for time, clock in times.items():
-            value = day + time
-            pattern = guess_format(value)
-            assert pattern, value
-            df = spark.createDataFrame([(value,)], "v string")
-            got = df.select(parse_date(F.col("v"), pattern)).first()[0]
-            assert got == datetime.datetime(2024, 1, 31, *clock), (value, pattern)
+    cases = [(day + time, clock) for day in days for time, clock in times.items()]
+    patterns = [guess_format(value) for value, _ in cases]
+    assert all(patterns)
+    read = [parse_date(F.lit(v), p).alias(str(i)) for i, ((v, _), p) in enumerate(zip(cases, patterns))]
+    got = spark.range(1).select(*read).first()
+    for (value, clock), pattern, time in zip(cases, patterns, got):
+        assert time == datetime.datetime(2024, 1, 31, *clock), (value, pattern)
 
 
 def test_times_out_of_range_are_missing(spark):

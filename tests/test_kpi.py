@@ -190,7 +190,7 @@ def test_facts_edges(spark, shop):
     assert (got["top_category"], got["top_value"], got["second_category"]) == ("True", "3", "False")
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(
     st.lists(
         st.tuples(st.sampled_from("abc"), st.one_of(st.none(), st.floats(-1e6, 1e6, allow_nan=False))), min_size=1, max_size=40

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tablefacts.operators.profile import profile_workspace
 from tablefacts.sources import cleanup as C
 from tablefacts.sources import grid as G
-from tablefacts.sources.sinks import write_frames, write_profile_json
+from tablefacts.sources.sinks import land, write_frames, write_profile_json
 from tablefacts.sources.workspace import list_tables, load_workspace
 
 MESSY = ''',,,
@@ -167,6 +167,15 @@ def test_sinks(spark, sales, tmp_path):
     assert doc["columns"]["Revenue"]["sum"] == 1294000
 
 
+def test_landing(spark, folder, tmp_path):
+    tables = load_workspace(spark, folder)
+    some = {n: tables[n] for n in ("Marketing Spend", "Names")}
+    landed = land(spark, some, str(tmp_path / "landed"))
+    for n in some:
+        assert landed[n].dtypes == some[n].dtypes
+        assert sorted(landed[n].collect(), key=str) == sorted(some[n].collect(), key=str)
+
+
 def test_typed_sources_keep_their_order(spark, sales, tmp_path):
     sales.coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
     sales.write.orc(str(tmp_path / "o.orc"))
