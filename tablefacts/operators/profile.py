@@ -122,9 +122,9 @@ def _date_samples(c: Column, times: Column | None = None) -> list[Column]:
     ]
 
 
-def _late_format(raw: dict, non_null: int) -> str | None:
+def _late_format(raw: dict) -> str | None:
     """Pattern of a column whose leading values were no dates but half of all look so."""
-    enough = raw["date_like"] > 0 and raw["date_like"] >= DATE_MIN_RATIO * non_null
+    enough = raw["date_like"] > 0 and raw["date_like"] >= DATE_MIN_RATIO * raw["non_null"]
     return guess_format(raw["date_sample"].strip()) if enough else None
 
 
@@ -137,7 +137,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     unknown = [c for c in text if c not in formats]
     if unknown:
         _, stats = _scan_stats(df, [(c, TEXT, SEARCH) for c in unknown])
-        formats |= {c: p for c in unknown if (p := _late_format(stats[c], stats[c]["non_null"]))}
+        formats |= {c: p for c in unknown if (p := _late_format(stats[c]))}
     if formats:
         for row in datetime_ratio(df, formats).collect():
             if row["is_datetime"]:
@@ -220,22 +220,33 @@ def _exact_sums(df: DataFrame, names: list[str]) -> dict[str, Decimal]:
 # ---- frequencies of text values ------------------------------------------------
 
 
-def value_frequencies(df: DataFrame, columns: list[str], digest: bool = False) -> DataFrame:
+def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, value`` of all non-null values; columns by number, to keep rows small."""
+    ids = [str(i) for i in range(len(columns))]
+    values = df.select(*[col(c).cast("string").alias(i) for i, c in zip(ids, columns)])
+    return values.unpivot([], ids, "column", "value").where(F.col("value").isNotNull())
+
+
+def _digest() -> Column:
+    return F.unhex(F.sha2("value", 256))
+
+
+def value_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
     """``column, value, count`` of all non-null values, for any number of columns.
 
-    Equal values are combined before the shuffle, so a frequent value costs nothing.
-    With ``digest`` the value is replaced by its SHA-256, for columns of long texts.
-    """
-    ids = [str(i) for i in range(len(columns))]
-    values = [col(c).cast("string") for c in columns]
-    if digest:
-        values = [F.unhex(F.sha2(v, 256)) for v in values]
-    return (
-        df.select(*[v.alias(i) for i, v in zip(ids, values)])
-        .unpivot([], ids, "column", "value")
-        .where(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("count"))
+    Equal values are combined before the shuffle, so a frequent value costs nothing."""
+    return _cells(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+
+
+def digest_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
+    """As :func:`value_frequencies` with the SHA-256 of each value in its place, for long
+    texts; ``date`` keeps the values that look like dates, which are short."""
+    like = looks_like_date(F.col("value"))
+    cells = _cells(df, columns).select(
+        "column", _digest().alias("value"), F.when(like, F.col("value")).alias("date")
+    )
+    return cells.groupBy("column", "value").agg(
+        F.count(F.lit(1)).alias("count"), F.min("date").alias("date")
     )
 
 
@@ -300,7 +311,11 @@ def _short_text_stats(df: DataFrame, columns: list[str], n: int) -> dict[str, di
 def _long_text_stats(df: DataFrame, columns: list[str], n: int) -> dict[str, dict]:
     """Statistics of columns of long texts, counted by digest; a text is only read again
     for the values shown."""
-    rows = _summary(value_frequencies(df, columns, digest=True), MOST_CANDIDATES).collect()
+    dates = [
+        F.coalesce(F.sum(F.when(F.col("date").isNotNull(), F.col("count"))), F.lit(0)).alias("date_like"),
+        F.min("date").alias("date_sample"),
+    ]
+    rows = _summary(digest_frequencies(df, columns), MOST_CANDIDATES, *dates).collect()
     stats = {columns[int(r["column"])]: r.asDict() for r in rows if r["rank"] is None}
     for c, values in _long_top_values(df, columns, rows, n).items():
         stats[c]["top_values"] = values
@@ -323,10 +338,7 @@ def _long_top_values(df: DataFrame, columns: list[str], rows: list, n: int) -> d
     top: dict[str, list] = {}
     if wanted:
         digests = df.sparkSession.createDataFrame(wanted, "column string, digest binary")
-        ids = [str(i) for i in range(len(columns))]
-        texts = df.select(*[col(c).cast("string").alias(i) for i, c in zip(ids, columns)])
-        texts = texts.unpivot([], ids, "column", "value").where(F.col("value").isNotNull())
-        texts = texts.withColumn("digest", F.unhex(F.sha2("value", 256)))
+        texts = _cells(df, columns).withColumn("digest", _digest())
         # At most a thousand digests a column.
         texts = texts.join(F.broadcast(digests), ["column", "digest"], "left_semi")
         counted = texts.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
@@ -338,9 +350,10 @@ def _long_top_values(df: DataFrame, columns: list[str], rows: list, n: int) -> d
     return top
 
 
-def _text_stats(df: DataFrame, short: list[str], long: list[str], n: int) -> dict[str, dict]:
+def _text_stats(df: DataFrame, columns: list[str], long: set[str], n: int) -> dict[str, dict]:
     stats: dict[str, dict] = {}
-    for read, columns in ((_short_text_stats, short), (_long_text_stats, long)):
+    short = [c for c in columns if c not in long]
+    for read, columns in ((_short_text_stats, short), (_long_text_stats, [c for c in columns if c in long])):
         for start in range(0, len(columns), TEXT_COLUMNS_PER_JOB):
             stats |= read(df, columns[start : start + TEXT_COLUMNS_PER_JOB], n)
     return stats
@@ -349,8 +362,8 @@ def _text_stats(df: DataFrame, short: list[str], long: list[str], n: int) -> dic
 def top_long_values(df: DataFrame, columns: list[str], n: int = TOP_VALUES) -> DataFrame:
     """As :func:`top_values`, for columns of long texts: only digests are shuffled, and the
     texts of the few leading ones."""
-    ids = _top(value_frequencies(df, columns, digest=True), MOST_CANDIDATES)
-    top = _long_top_values(df, columns, ids.select("column", "rank", "value", "count").collect(), n)
+    leading = _top(digest_frequencies(df, columns), MOST_CANDIDATES).drop("date")
+    top = _long_top_values(df, columns, leading.collect(), n)
     rows = [(c, i, v, k) for c, values in top.items() for i, (v, k) in enumerate(values, start=1)]
     return df.sparkSession.createDataFrame(rows, "column string, rank int, value string, count bigint")
 
@@ -394,26 +407,25 @@ def _profile_rows(df: DataFrame, name: str, top_n: int) -> list[dict]:
     formats, long = head_formats(df, text)
     numeric = [c for c in columns if labels[c] in (INTEGER, FLOAT)]
 
-    short = [c for c in text if c not in long and c not in formats]
+    # Texts without a date pattern are only read for their frequencies, which also count
+    # their values; all other columns share the scan.
+    listed = [c for c in text if c not in formats]
+    scanned = [(c, labels[c], formats.get(c)) for c in columns if c not in listed]
     with ThreadPool(2) as pool:
         medians_job = pool.apply_async(exact_medians, (df, numeric))
-        texts_job = pool.apply_async(_text_stats, (df, short, [c for c in text if c in long], top_n))
-        searched = {c: SEARCH for c in text if c in long} | formats
-        rows, stats = _scan_stats(df, [(c, labels[c], searched.get(c)) for c in columns])
+        texts_job = pool.apply_async(_text_stats, (df, listed, long, top_n))
+        rows, stats = _scan_stats(df, scanned)
         medians, texts = medians_job.get(), texts_job.get()
+    stats |= {c: texts.get(c, {"non_null": 0}) for c in listed}
     if rows == 0:
         return [{"table": name, "row_count": 0, "column_count": 0, "note": NOTE_EMPTY}]
 
-    unread = [c for c in text if c not in formats and stats[c]["non_null"] > 0]
-    samples = {c: texts[c] if c in short else stats[c] for c in unread}
-    found = {c: p for c, raw in samples.items() if (p := _late_format(raw, stats[c]["non_null"]))}
+    found = {c: p for c in listed if c in texts and (p := _late_format(texts[c]))}
     if found:
         formats |= found
         stats |= _scan_stats(df, [(c, TEXT, p) for c, p in found.items()])[1]
     dated = {c for c in formats if _is_dates(stats[c])}
-    late = [c for c in formats if c not in dated and c not in texts]
-    if late:
-        texts |= _text_stats(df, late, [], top_n)
+    texts |= _text_stats(df, [c for c in formats if c not in dated and c not in texts], long, top_n)
     overflown = [
         c for c in numeric if labels[c] == INTEGER and stats[c]["non_null"] and stats[c]["int_sum"] is None
     ]

@@ -104,6 +104,12 @@ def test_long_texts_are_counted_whole(spark):
     assert [(t["value"][-1], t["count"]) for t in got["top_values"]] == [("1", 3), ("2", 2)]
 
 
+def test_dates_after_long_texts(spark):
+    rows = [("w" * 400,)] * 120 + [(f"2024-03-{i % 28 + 1:02d}",) for i in range(200)]
+    got = by_column(P.profile_table(spark.createDataFrame(rows, "s string").coalesce(1)))["s"]
+    assert (got["label"], got["non_null"], got["date_range_days"], got["top_values"]) == ("datetime (inferred)", 200, 27, None)
+
+
 @pytest.mark.parametrize("candidates", [1000, 8, 3])
 def test_top_long_values(spark, monkeypatch, candidates):
     """The same with few digests looked at, where ties force the whole texts."""
