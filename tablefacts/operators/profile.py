@@ -112,20 +112,18 @@ def datetime_ratio(df: DataFrame, formats: dict[str, str]) -> DataFrame:
     return row.select("*", ratio.alias("ratio"), inferred.alias("is_datetime"))
 
 
-def _date_samples(c: Column, times: Column | None = None) -> list[Column]:
-    """How many values look like dates, and the smallest of them."""
-    like = looks_like_date(c)
-    each = F.lit(1) if times is None else times
-    return [
-        F.coalesce(F.sum(F.when(like, each)), F.lit(0)).alias("date_like"),
-        F.min(F.when(like, c)).alias("date_sample"),
-    ]
+def _late_formats(df: DataFrame, candidates: list[str]) -> dict[str, str]:
+    """Patterns of columns whose leading values are no dates though half of all values
+    look so: those of their smallest such values."""
+    if not candidates:
+        return {}
+    least = [F.min(F.when(looks_like_date(col(c)), col(c))).alias(c) for c in candidates]
+    row = df.agg(*least).first()
+    return {c: p for c in candidates if (p := guess_format(row[c].strip()))}
 
 
-def _late_format(raw: dict) -> str | None:
-    """Pattern of a column whose leading values were no dates but half of all look so."""
-    enough = raw["date_like"] > 0 and raw["date_like"] >= DATE_MIN_RATIO * raw["non_null"]
-    return guess_format(raw["date_sample"].strip()) if enough else None
+def _maybe_dates(raw: dict) -> bool:
+    return raw["date_like"] > 0 and raw["date_like"] >= DATE_MIN_RATIO * raw["non_null"]
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -137,7 +135,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     unknown = [c for c in text if c not in formats]
     if unknown:
         _, stats = _scan_stats(df, [(c, TEXT, SEARCH) for c in unknown])
-        formats |= {c: p for c in unknown if (p := _late_format(stats[c]))}
+        formats |= _late_formats(df, [c for c in unknown if _maybe_dates(stats[c])])
     if formats:
         for row in datetime_ratio(df, formats).collect():
             if row["is_datetime"]:
@@ -189,7 +187,7 @@ def _column_stats(df: DataFrame, name: str, label: str | None, pattern: str | No
     if label == TEXT:
         stats = [F.count(c).alias("non_null")]
         if pattern == SEARCH:
-            stats += _date_samples(c)
+            stats.append(F.count_if(looks_like_date(c)).alias("date_like"))
         elif pattern:
             stats.append(F.struct(*_datetime_stats(parse_date(c, pattern))).alias("dates"))
         return stats
@@ -240,14 +238,11 @@ def value_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def digest_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
     """As :func:`value_frequencies` with the SHA-256 of each value in its place, for long
-    texts; ``date`` keeps the values that look like dates, which are short."""
-    like = looks_like_date(F.col("value"))
+    texts; ``like`` tells whether the value looks like a date."""
     cells = _cells(df, columns).select(
-        "column", _digest().alias("value"), F.when(like, F.col("value")).alias("date")
-    )
-    return cells.groupBy("column", "value").agg(
-        F.count(F.lit(1)).alias("count"), F.min("date").alias("date")
+        "column", _digest().alias("value"), looks_like_date(F.col("value")).alias("like")
     )
+    return cells.groupBy("column", "value", "like").agg(F.count(F.lit(1)).alias("count"))
 
 
 def _rollup(frequencies: DataFrame, *more: Column) -> DataFrame:
@@ -287,9 +282,13 @@ def identifier_flags(df: DataFrame, columns: list[str]) -> DataFrame:
     return rolled.select(_named(df, columns), "non_null", "unique_values", "identifier_like")
 
 
-def _summary(frequencies: DataFrame, n: int, *more: Column) -> DataFrame:
-    """A row per column, then the ``n`` top values of each column that may show any."""
-    rolled = _rollup(frequencies, *more)
+def _summary(frequencies: DataFrame, n: int, like: Column) -> DataFrame:
+    """A row per column, then the ``n`` top values of each column that may show any.
+
+    Of the values that look like dates only the number is taken: a smallest text would
+    make Spark sort all frequencies to roll them up."""
+    dates = F.coalesce(F.sum(F.when(like, F.col("count"))), F.lit(0))
+    rolled = _rollup(frequencies, dates.alias("date_like"))
     shown = F.broadcast(rolled.where(~F.col("identifier_like")).select("column"))  # one row a column
     # Not a semi join: that one moves below the count, and the values are counted twice.
     top = _top(frequencies.join(shown, "column"), n).select("column", "rank", "value", "count")
@@ -299,8 +298,7 @@ def _summary(frequencies: DataFrame, n: int, *more: Column) -> DataFrame:
 def _short_text_stats(df: DataFrame, columns: list[str], n: int) -> dict[str, dict]:
     """Statistics of columns of short texts, all from one frequency table. Values that
     look like dates are searched among the distinct values only."""
-    samples = _date_samples(F.col("value"), F.col("count"))
-    rows = _summary(value_frequencies(df, columns), n, *samples).collect()
+    rows = _summary(value_frequencies(df, columns), n, looks_like_date(F.col("value"))).collect()
     stats = {columns[int(r["column"])]: r.asDict() for r in rows if r["rank"] is None}
     for r in sorted((r for r in rows if r["rank"] is not None), key=lambda r: r["rank"]):
         values = stats[columns[int(r["column"])]].setdefault("top_values", [])
@@ -311,11 +309,7 @@ def _short_text_stats(df: DataFrame, columns: list[str], n: int) -> dict[str, di
 def _long_text_stats(df: DataFrame, columns: list[str], n: int) -> dict[str, dict]:
     """Statistics of columns of long texts, counted by digest; a text is only read again
     for the values shown."""
-    dates = [
-        F.coalesce(F.sum(F.when(F.col("date").isNotNull(), F.col("count"))), F.lit(0)).alias("date_like"),
-        F.min("date").alias("date_sample"),
-    ]
-    rows = _summary(digest_frequencies(df, columns), MOST_CANDIDATES, *dates).collect()
+    rows = _summary(digest_frequencies(df, columns), MOST_CANDIDATES, F.col("like")).collect()
     stats = {columns[int(r["column"])]: r.asDict() for r in rows if r["rank"] is None}
     for c, values in _long_top_values(df, columns, rows, n).items():
         stats[c]["top_values"] = values
@@ -362,7 +356,7 @@ def _text_stats(df: DataFrame, columns: list[str], long: set[str], n: int) -> di
 def top_long_values(df: DataFrame, columns: list[str], n: int = TOP_VALUES) -> DataFrame:
     """As :func:`top_values`, for columns of long texts: only digests are shuffled, and the
     texts of the few leading ones."""
-    leading = _top(digest_frequencies(df, columns), MOST_CANDIDATES).drop("date")
+    leading = _top(digest_frequencies(df, columns), MOST_CANDIDATES).drop("like")
     top = _long_top_values(df, columns, leading.collect(), n)
     rows = [(c, i, v, k) for c, values in top.items() for i, (v, k) in enumerate(values, start=1)]
     return df.sparkSession.createDataFrame(rows, "column string, rank int, value string, count bigint")
@@ -420,7 +414,7 @@ def _profile_rows(df: DataFrame, name: str, top_n: int) -> list[dict]:
     if rows == 0:
         return [{"table": name, "row_count": 0, "column_count": 0, "note": NOTE_EMPTY}]
 
-    found = {c: p for c in listed if c in texts and (p := _late_format(texts[c]))}
+    found = _late_formats(df, [c for c in listed if c in texts and _maybe_dates(texts[c])])
     if found:
         formats |= found
         stats |= _scan_stats(df, [(c, TEXT, p) for c, p in found.items()])[1]
