@@ -41,6 +41,8 @@ def resolve_kpi(spec: dict, columns: list[str]) -> dict:
     resolved = dict(spec)
     for name in COLUMN_FIELDS:
         if spec.get(name):
+            if not isinstance(spec[name], str):
+                raise NotComputable(f"{name} is no name")
             found, _ = resolve_columns([spec[name]], columns)
             resolved[name] = found[0] if found else spec[name]
     return resolved
@@ -84,14 +86,10 @@ def _result(key: Column | None, value: Column, text: Column) -> Column:
 def _pair(key: Column, ktype: T.DataType, value: Column, vtype: T.DataType) -> Column:
     written = key_text(key, ktype)
     text = F.concat(written, F.lit(" ("), single_value_text(value, vtype), F.lit(")"))
-    amount = value.cast("double") if is_addable(vtype) or _is_decimal(vtype) else F.lit(None)
+    amount = value.cast("double") if is_addable(vtype) else F.lit(None)
     return _result(written, amount.cast("double"), text)
 
 
-def _is_decimal(dtype: T.DataType) -> bool:
-    return isinstance(dtype, T.DecimalType)
-
-
 def _descending(value: Column, dtype: T.DataType) -> Column | None:
     """An expression that sorts the other way round, without overflow; None if there is none."""
     if isinstance(dtype, T.BooleanType):
@@ -222,6 +220,7 @@ def plan_kpis(df: DataFrame, specs: list[dict]) -> list[tuple[int, dict, Plan |
     for i, spec in enumerate(specs[:MOST_KPIS]):
         if not spec.get("label"):
             continue
+        spec = {**spec, "label": str(spec["label"])}
         try:
             planned.append((i, spec, Plan(df, resolve_kpi(spec, columns))))
         except NotComputable as reason:
@@ -256,7 +255,10 @@ def kpi_rows(df: DataFrame, table: str, planned: list, cache: GroupCache) -> lis
             grouped.setdefault(plan.category, []).append(entry)
 
     if skipped:
-        rows = [(s, i, k["label"], k.get("type"), None, None, None, why) for s, i, k, why in skipped]
+        rows = [
+            (s, i, k["label"], str(k["type"]) if k.get("type") else None, None, None, None, why)
+            for s, i, k, why in skipped
+        ]
         frames.append(df.sparkSession.createDataFrame(rows, RESULT_SCHEMA))
     if scalars:
         aggs = [F.struct(*e[3].aggregates).alias(f"a{n}") for n, e in enumerate(scalars)]

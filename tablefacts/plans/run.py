@@ -137,7 +137,9 @@ class _Spec:
         elif is_empty(self.sheet):
             self.status = "fallback: empty table"
         else:
-            requested = [c for c in self.spec.get("data_columns") or [] if c is not None]
+            requested = self.spec.get("data_columns") or []
+            requested = [requested] if isinstance(requested, str) else requested
+            requested = [str(c) for c in requested if c is not None]
             self.matched, self.unmatched = resolve_columns(requested, data_columns(df))
             self.df = df
             if not self.matched:

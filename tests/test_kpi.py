@@ -124,9 +124,15 @@ def test_failures_stay_alone(shop):
         extreme("agg", "k", "i", "median"),
         extreme("text sum", "k", "s"),
         {"label": "which", "type": "extreme_category", "group_by": "k", "value_col": "i", "agg": "sum"},
+        rate("pattern type", "s", 5),
+        {"label": "name", "type": "peak_point", "x_col": 3, "value_col": "i"},
+        {"label": 7, "type": ["x"]},
         matching("good", "s", "ok", "i"),
     )
     assert got.pop("good") == ("104", "ok")
+    assert got.pop("pattern type") == (None, "skipped: bad pattern")
+    assert got.pop("name") == (None, "skipped: x_col is no name")
+    assert got.pop("7") == (None, "skipped: unknown type")
     assert got == {
         "no type": (None, "skipped: no type"),
         "type": (None, "skipped: unknown type"),

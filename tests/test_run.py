@@ -140,7 +140,7 @@ def test_bad_specs_fall_back_alone(spark, sales):
         spec("g", "Sales", "pie", ["Revenue"], "{{COUNT}}"),
         spec("h", "Sales", "text", ["Region", "Revenue"], "{{TOP_CATEGORY}}"),
         spec("i", "NONE", "text", [], "{{TOP_CATEGORY}}"),
-        spec("j", "Sales", "bar", ["Region", "Revenue"], "ok"),
+        spec("j", "Sales", "bar", "Region", "ok"),
     ]
     run = run_specs(specs, {"Sales": sales, "Empty": empty})
     got = [(r["rendered_as"], r["status"]) for r in rows(run.status, "spec_id")]
