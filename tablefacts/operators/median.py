@@ -40,11 +40,11 @@ class Bracket:
     """Closed bounds around the median of ``rows`` values, and how many of them are
     expected strictly between the bounds; unknown before the first sketch."""
 
+    margin: float
     rows: int = 0
     between: float = INFINITY
     low: float = -INFINITY
     high: float = INFINITY
-    margin: float = MARGIN
 
 
 def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
@@ -57,7 +57,7 @@ def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
 
 def _medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
     medians: dict[str, float | None] = {}
-    open_ = {c: Bracket() for c in columns}
+    open_ = {c: Bracket(MARGIN) for c in columns}
     while open_:
         wide = {c: b for c, b in open_.items() if b.between > MOST_LISTED}
         if wide:
@@ -68,7 +68,7 @@ def _medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
             continue
         for name, median in _count_inside(df, open_).items():
             if median is None:
-                open_[name] = Bracket(margin=min(0.5, open_[name].margin * 4))
+                open_[name] = Bracket(min(0.5, open_[name].margin * 4))
             else:
                 medians[name] = median
                 del open_[name]
@@ -113,8 +113,8 @@ def _narrow(df: DataFrame, brackets: dict[str, Bracket]) -> None:
             b.between = within * 2 * b.margin
             continue
         middle = ((b.rows - 1) / 2 - row[f"upto{i}"]) / within
-        left = math.floor((middle - b.margin) * STEPS)
-        right = math.ceil((middle + b.margin) * STEPS)
+        left = math.floor((middle - MARGIN) * STEPS)
+        right = math.ceil((middle + MARGIN) * STEPS)
         b.low = quantiles[min(left, STEPS)] if left > 0 else b.low
         b.high = quantiles[max(right, 0)] if right < STEPS else b.high
         b.between = within * (min(right, STEPS) - max(left, 0)) / STEPS

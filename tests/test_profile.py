@@ -182,8 +182,10 @@ def test_even_medians_and_a_missed_bracket(spark, monkeypatch):
     df = spark.createDataFrame([(v,) for v in (1, 2, 10, 20)], "v int")
     assert M.exact_medians(df, ["v"]) == {"v": 6.0}
     monkeypatch.setattr(M, "MARGIN", 1e-9)
-    wide = spark.range(10001).select((F.col("id") * 2).alias("v"))
-    assert M.exact_medians(wide, ["v"]) == {"v": 10000.0}
+    wide = spark.range(200001).select((F.col("id") * 2).alias("v"))
+    assert M.exact_medians(wide, ["v"]) == {"v": 200000.0}
+    monkeypatch.setattr(M, "MOST_LISTED", 100)
+    assert M.exact_medians(wide, ["v"]) == {"v": 200000.0}
 
 
 def test_condense_and_json(spark, sales):

@@ -171,3 +171,28 @@ def test_bad_specs_fall_back_alone(spark, sales):
     run.release()
     with pytest.raises(UnfilledTemplate):
         run_specs(specs[2:3], {"Sales": sales}, strict=True)
+
+
+def test_awkward_column_names(spark):
+    """Dots, backticks, percent signs and letters of any script in column names."""
+    from tablefacts.operators.profile import infer_types, profile_table
+
+    df = spark.createDataFrame(
+        [("a", 1.5, 2, "2024-01-01"), ("b", 2.5, 3, "2024-01-02"), ("a", None, 4, None)],
+        "`k.1` string, `v``%` double, `名 前` int, `d:ay` string",
+    )
+    profile = {r["column"]: r for r in profile_table(df).collect()}
+    assert list(profile) == df.columns and profile["d:ay"]["label"] == "datetime (inferred)"
+    assert (profile["v`%"]["median"], profile["名 前"]["sum"], profile["k.1"]["unique_values"]) == (2.0, 9.0, 2)
+    assert [r["label"] for r in infer_types(df).collect()][3] == "datetime (inferred)"
+    specs = [
+        spec("a", "T", "bar", ["K.1", "V`%", "名前"], "{{TOP_CATEGORY}} {{TOTAL_VALUE}}",
+             [top("t", "k.1", "名前"), {"label": "p", "type": "peak_point", "x_col": "d:ay", "value_col": "v`%"}]),
+        spec("b", "T", "table", ["d:ay", "v`%"], "x"),
+        spec("c", "T", "line", ["k.1", "v`%"], "x"),
+    ]
+    run = run_specs(specs, {"T": df})
+    assert [(r["status"], r["insight_text"]) for r in rows(run.status, "spec_id")][0] == ("ok", "b 4.00")
+    assert {r["label"]: r["formatted"] for r in run.kpis.collect()} == {"t": "a (6)", "p": "2024-01-02 (2.5)"}
+    assert len(run.series.collect()) == 7 and len(run.tables.collect()) == 3
+    run.release()
