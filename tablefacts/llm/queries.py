@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .near_dedup import near_dedup
 from .sharding import assign_shards, even_tree
+from .suffixes import without_repeats
 from .warc import archive_and_read
 
 
@@ -29,6 +30,12 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    """What stays of every document without the strings of 200 bytes that repeat."""
+    rows = without_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_near_dedup(spark, sf_dir):
     """Components of documents with similar sets of shingles."""
     return near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
@@ -56,5 +63,5 @@ def op10_sharding(spark, sf_dir):
     return assign_shards(rows, even_tree(40)).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op7_near_dedup, op8_chat, op9_warc, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op6_suffix_dedup, op7_near_dedup, op8_chat, op9_warc, op10_sharding)}
 ORACLES: dict[str, str] = {}
