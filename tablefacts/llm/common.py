@@ -33,7 +33,7 @@ def materialize(frame: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: a cut in the lineage that
     survives lost executors and is computed once."""
     path = shared_folder(frame.sparkSession)
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

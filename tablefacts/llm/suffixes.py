@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,9 @@ from .common import as_bytes, bounded_batches, in_batches, materialize, mix, row
 LENGTH, GRAM = 200, 32
 #: Window starts that are worked on at once.
 STEP = 1 << 20
+#: Contexts of one name that are compared in one task; those of other names are compared as
+#: rows, one for each window, with partial aggregates.
+MANY = 4096
 
 _random = np.random.default_rng(607)
 BYTES = _random.integers(0, 2**64, (2, 256), dtype=np.uint64)
@@ -141,25 +145,78 @@ def _anchor_batch(parts: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=ANCHORS)
 
 
-WINDOWS = pa.schema([("name", pa.int64()), ("window", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("open", pa.bool_())])
+TEXTS = pa.schema(
+    [("doc", pa.int64()), ("data", pa.binary()), ("name", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())]
+    + [("shift", pa.int32()), ("open", pa.bool_()), ("many", pa.bool_())]
+)
+TEXTS_SQL = "doc long, data binary, name long, start int, windows int, shift int, open boolean, many boolean"
+
+
+def _cut_contexts(length: int):
+    """Every text, and after it the bytes of each context that stands for its class."""
+
+    def run(batches):
+        def rows():
+            for doc, data, listed in rows_of(batches):
+                yield doc, data, None, None, None, None, None, None
+                for a in listed or []:
+                    context = data[a["start"] : a["start"] + a["windows"] - 1 + length]
+                    yield doc, context, a["name"], a["start"], a["windows"], a["shift"], a["open"], a["many"]
+
+        return in_batches(rows(), TEXTS, size=1000)
+
+    return run
+
+
+def window_names(context: bytes, windows: int, shift: int, length: int) -> np.ndarray:
+    """The rank of each window of a context together with its place about the anchor."""
+    sums, down = prefix_hashes(np.frombuffer(context, np.uint8), 1)
+    rank = mix((sums[length:] - sums[:windows]) * down[:windows])
+    return mix(rank + (np.uint64(shift + 1) - np.arange(windows, dtype=np.uint64)))
+
+
+HITS = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+
+
+def _compare_names(length: int):
+    """The repeated windows of the contexts of each name; names come as runs of rows."""
+
+    def run(batches):
+        def rows():
+            for _, group in groupby(rows_of(batches), key=lambda r: r[2]):
+                group = list(group)
+                named = [window_names(r[1], r[4], r[5], length) for r in group]
+                values, inverse, counts = np.unique(np.concatenate(named), return_inverse=True, return_counts=True)
+                twice, at = counts[inverse] > 1, 0
+                for r in group:
+                    hits = np.flatnonzero(twice[at : at + r[4]])
+                    at += r[4]
+                    if r[6] and len(hits):
+                        # Windows in a row are one span.
+                        cuts = np.flatnonzero(np.diff(hits) > 1)
+                        for first, last in zip(hits[np.append(0, cuts + 1)], hits[np.append(cuts, len(hits) - 1)]):
+                            yield r[0], r[3] + int(first), r[3] + int(last) + length
+
+        return in_batches(rows(), HITS)
+
+    return run
+
+
+WINDOWS = pa.schema([("name", pa.int64()), ("window", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("open", pa.bool_())])
 
 
 def _name_windows(length: int):
-    """Every window of the given anchors with its name."""
+    """Every window of the given contexts as a row."""
 
     def run(batches):
         for batch in batches:
-            for doc, data, listed in rows_of([batch]):
-                array, parts = np.frombuffer(data, np.uint8), []
-                for a in listed:
-                    start, n = a["start"], a["windows"]
-                    sums, down = prefix_hashes(array[start : start + n - 1 + length], 1)
-                    rank = mix((sums[length:] - sums[:n]) * down[:n])
-                    window = mix(rank + (np.uint64(a["shift"] + 1) - np.arange(n, dtype=np.uint64)))
-                    parts.append((np.full(n, a["name"]), signed(window), np.full(n, doc), np.arange(start, start + n, dtype=np.int32), np.full(n, a["open"])))
-                if parts:
-                    arrays = [pa.array(np.concatenate(c)).cast(f.type) for c, f in zip(zip(*parts), WINDOWS)]
-                    yield pa.RecordBatch.from_arrays(arrays, schema=WINDOWS)
+            parts = []
+            for doc, context, name, start, n, shift, is_open, _ in rows_of([batch]):
+                names = signed(window_names(context, n, shift, length))
+                parts.append((np.full(n, name), names, np.full(n, doc), np.arange(start, start + n), np.full(n, is_open)))
+            if parts:
+                arrays = [pa.array(np.concatenate(c)).cast(f.type) for c, f in zip(zip(*parts), WINDOWS)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=WINDOWS)
 
     return run
 
@@ -203,7 +260,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     points = found.where("sha is null").select("doc", "start", "windows", "shift", "name", "context", "anchor")
 
     contexts = points.groupBy("name", "context").agg(F.count(F.lit(1)).alias("members"), F.min("anchor").alias("first"))
-    contexts = materialize(contexts)
     names = contexts.groupBy("name").agg(F.count(F.lit(1)).alias("contexts"), F.sum("members").alias("total")).where("total > 1")
     ranked = contexts.join(names.select("name", "contexts"), "name")
     joined = materialize(
@@ -211,20 +267,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
             "doc", "start", "windows", "shift", "name",
             (F.col("members") > 1).alias("repeats"),
             ((F.col("contexts") > 1) & (F.col("first") == F.col("anchor"))).alias("stands"),
+            (F.col("contexts") > MANY).alias("many"),
         ).where("repeats or stands")
     )
-    needed = joined.select("doc").distinct().join(rows.select("doc", "rf", "ri"), "doc")
-    texts = materialize(keyed.select(*row_parts(), data).join(needed, ["rf", "ri"]).select("doc", "data"))
-
-    listed = joined.where("stands").groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "shift", "name", (~F.col("repeats")).alias("open"))).alias("listed"))
-    windows = materialize(
-        texts.join(listed, "doc").select("doc", "data", "listed").mapInArrow(_name_windows(length), "name long, window long, doc long, start int, open boolean")
+    context = F.struct("start", "windows", "shift", "name", (~F.col("repeats")).alias("open"), "many")
+    listed = joined.groupBy("doc").agg(F.collect_list(F.when(F.col("stands"), context)).alias("listed"))
+    needed = listed.join(rows.select("doc", "rf", "ri"), "doc")
+    texts = materialize(
+        keyed.select(*row_parts(), data).join(needed, ["rf", "ri"]).select("doc", "data", "listed").mapInArrow(_cut_contexts(length), TEXTS_SQL)
     )
+
+    standing = texts.where("name is not null")
+    few = standing.where("not many").repartition("name").sortWithinPartitions("name")
+    hits = few.mapInArrow(_compare_names(length), "doc long, start long, end long")
+    windows = standing.where("many").mapInArrow(_name_windows(length), "name long, window long, doc long, start long, open boolean")
     twice = windows.groupBy("name", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name", "window")
-    single = windows.where("open").join(twice, ["name", "window"]).select("doc", F.col("start").cast("long").alias("start"), (F.col("start") + length).cast("long").alias("end"))
+    single = windows.where("open").join(twice, ["name", "window"]).select("doc", "start", (F.col("start") + length).alias("end")).unionByName(hits)
     whole = joined.where("repeats").select("doc", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("windows") - 1 + length).cast("long").alias("end"))
     spans = whole.unionByName(single).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("listed"))
-    cut = texts.join(spans, "doc").select("doc", "data", "listed").mapInArrow(_cut, "doc long, spans array<struct<start:long,end:long>>, kept binary")
+    cut = texts.where("name is null").join(spans, "doc").select("doc", "data", "listed").mapInArrow(_cut, "doc long, spans array<struct<start:long,end:long>>, kept binary")
     return rows, cut
 
 
