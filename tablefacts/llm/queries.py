@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from .chat import chat_windows, conversation_digests
 from .common import with_row_key
+from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .near_dedup import near_dedup
+from .quality import score_quality
 from .sharding import assign_shards, even_tree
 from .suffixes import without_repeats
+from .toxicity import score_toxicity
 from .warc import archive_and_read
 
 
@@ -30,6 +33,21 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_toxicity(spark, sf_dir):
+    """The toxicity score of every document."""
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_decontaminate(spark, sf_dir):
+    """The benchmark items that each document contains."""
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_quality(spark, sf_dir):
+    """The quality score of every document, with its source and language as host and path."""
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_suffix_dedup(spark, sf_dir):
     """What stays of every document without the strings of 200 bytes that repeat."""
     rows = without_repeats(table(spark, sf_dir, "documents"))
@@ -63,5 +81,18 @@ def op10_sharding(spark, sf_dir):
     return assign_shards(rows, even_tree(40)).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op6_suffix_dedup, op7_near_dedup, op8_chat, op9_warc, op10_sharding)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mixing,
+        op2_exact_dedup,
+        op3_toxicity,
+        op4_decontaminate,
+        op5_quality,
+        op6_suffix_dedup,
+        op7_near_dedup,
+        op8_chat,
+        op9_warc,
+        op10_sharding,
+    )
+}
