@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, in_batches, materialize, rows_of
+from .common import WordHashes, as_bytes, bounded_batches, in_batches, materialize, mix, rows_of, signed, window_hashes
 from .linear import fit, held_out, linear, probability, sigmoid, training_labels
 
 #: Fixed seed list of insults.
@@ -66,15 +66,47 @@ def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from in_batches(((k, a, b, n) for k, (a, b, n) in counts.items()), schema)
 
 
+#: Minima of shingles by which copies among the training documents are found.
+KEYS, SHARED = 8, 2
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Training documents with a few minima of their shingles."""
+    hashes = WordHashes()
+    salts = mix(np.arange(1, KEYS + 1, dtype=np.uint64))
+
+    def rows():
+        for doc_id, label, text in rows_of(batches):
+            found = window_hashes(hashes.all(text.lower().split()), 3)
+            keys = signed(mix(found[None, :] ^ salts[:, None]).min(axis=1)).tolist() if len(found) else []
+            yield doc_id, label, text, keys
+
+    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("text", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    return in_batches(rows(), schema, size=500)
+
+
+def different_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
+    """(text, label) of the training documents, of copies of each other only the first.
+
+    Copies of one toxic document would make all of its rare words look like insults."""
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes("text").alias("text"))
+    sample = sample.join(F.broadcast(training), "doc_id").select("doc_id", "label", "text")
+    sample = materialize(sample.mapInArrow(_keyed, "doc_id long, label int, text binary, keys array<long>"))
+    keys = sample.select("doc_id", F.posexplode("keys").alias("k", "key")).distinct()
+    first = keys.groupBy("k", "key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = keys.join(first, ["k", "key"]).where("doc_id > first").groupBy("doc_id", "first").agg(F.count(F.lit(1)).alias("n"))
+    copies = shared.where(F.col("n") >= SHARED).select("doc_id").distinct()
+    return sample.join(copies, "doc_id", "left_anti").select("text", "label")
+
+
 def mine_lexicon(docs: DataFrame, training: DataFrame) -> list[str]:
-    """Word beginnings that mark toxic documents, the shortest of each family.
+    """Word beginnings that mark toxic documents, one for each family.
 
     An entry must be in so many toxic documents, and so much more often used than once in
-    each, that less than one entry of its kind would be there by chance."""
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes("text").alias("text"))
-    sample = sample.join(F.broadcast(training), "doc_id").select("text", "label")
-    totals = training.groupBy("label").count().collect()
-    n = {r["label"]: r["count"] for r in totals}
+    each, that less than one entry of its kind would be there by chance; of a family of
+    beginnings the shortest such one counts, at its full common length."""
+    sample = materialize(different_documents(docs, training))
+    n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
         return []
@@ -86,13 +118,19 @@ def mine_lexicon(docs: DataFrame, training: DataFrame) -> list[str]:
     evidence = (F.col("toxic") + (F.col("uses") - F.col("toxic")) / 2) * float(-np.log(base))
     precise = F.col("toxic") / toxic > 25 * F.col("clean") / clean
     chosen = counts.where(precise & (evidence > float(np.log(kinds)))).orderBy(F.desc("toxic"), F.length("entry"), "entry").limit(MOST_ENTRIES)
-    rows = [(r["entry"], r["toxic"], r["clean"]) for r in chosen.collect()]
-    kept: dict[str, tuple[int, int]] = {}
-    for entry, t, c in sorted(rows, key=lambda r: (len(r[0]), r[0])):
-        # A longer entry says nothing new.
-        if not any(entry.startswith(k) for k in kept):
-            kept[entry] = (t, c)
-    return sorted(kept)
+    toxic_of = {r["entry"]: r["toxic"] for r in chosen.collect()}
+    kept: set[str] = set()
+    for entry in sorted(toxic_of, key=lambda e: (len(e), e)):
+        if any(entry[:k] in kept for k in range(SHORTEST, len(entry))):
+            continue  # a longer entry says nothing new
+        kept.add(entry)
+    # Of a family, the longest beginning that is in as many toxic documents.
+    longest = set()
+    for entry in kept:
+        while same := [e for e in toxic_of if len(e) == len(entry) + 1 and e.startswith(entry) and toxic_of[e] >= 0.95 * toxic_of[entry]]:
+            entry = same[0]
+        longest.add(entry)
+    return sorted(longest)
 
 
 class Lexicon:
