@@ -127,3 +127,54 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+#: Bits of a bitmap of hashes (a power of two): a size that does not grow with the data.
+BITMAP_BITS = 1 << 24
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(BITMAP_BITS, dtype=bool)
+    for batch in batches:
+        bits[(batch.column(0).to_numpy().view(np.uint64) % np.uint64(BITMAP_BITS)).astype(np.int64)] = True
+    packed, step = np.packbits(bits, bitorder="little"), 1 << 16
+    parts = [(k, packed[k : k + step]) for k in range(0, len(packed), step)]
+    schema = pa.schema([("part", pa.int64()), ("bits", pa.binary())])
+    yield from in_batches(((k, p.tobytes()) for k, p in parts if p.any()), schema)
+
+
+def _merged_bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for part, bits in rows_of(batches):
+        own = np.frombuffer(bits, np.uint8)
+        held[part] = held[part] | own if part in held else own
+    yield from in_batches(((k, v.tobytes()) for k, v in held.items()), pa.schema([("part", pa.int64()), ("bits", pa.binary())]))
+
+
+def bitmap_of(hashes: DataFrame) -> bytes:
+    """Which hashes (the one column, longs) there are, as a bitmap of a fixed size.
+
+    With more hashes than bits it lets everything pass; it only saves work for others."""
+    parts = hashes.coalesce(32).mapInArrow(_bitmaps, "part long, bits binary")
+    whole = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
+    for part, bits in parts.repartition(8, "part").mapInArrow(_merged_bitmaps, "part long, bits binary").collect():
+        whole[part : part + len(bits)] = np.frombuffer(bits, np.uint8)
+    return whole.tobytes()
+
+
+def in_bitmap(bitmap: bytes, hashes: np.ndarray) -> np.ndarray:
+    """Whether 64-bit hashes are in a bitmap."""
+    bits = np.frombuffer(bitmap, np.uint8)
+    slot = (hashes % np.uint64(BITMAP_BITS)).astype(np.int64)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
+def where_in_bitmap(frame: DataFrame, bitmap: bytes) -> DataFrame:
+    """The rows whose column ``h`` (a long, the first) is in the bitmap, without it."""
+
+    def run(batches):
+        for batch in batches:
+            passed = in_bitmap(bitmap, batch.column(0).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:]).filter(pa.array(passed))
+
+    return frame.mapInArrow(run, frame.drop("h").schema)

@@ -26,11 +26,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, bounded_batches, in_batches, materialize, row_parts, rows_of, signed, window_hashes, with_row_key
+from .common import (
+    WordHashes,
+    as_bytes,
+    bitmap_of,
+    bounded_batches,
+    in_batches,
+    in_bitmap,
+    materialize,
+    row_parts,
+    rows_of,
+    signed,
+    window_hashes,
+    with_row_key,
+)
 
 WINDOW, SHARE = 5, 0.8
-#: Bits of the bitmap of benchmark windows (a power of two).
-BITMAP_BITS = 1 << 24
 NUMBER, UNIT, NAME = b"\x01number", b"\x01unit", b"\x01name"
 #: Fixed list of units.
 UNITS = set(
@@ -89,14 +100,12 @@ def _windows(bitmap: bytes | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        bits = None if bitmap is None else np.frombuffer(bitmap, np.uint8)
 
         def rows():
             for f, i, data in rows_of(batches):
                 found, at, values = windows_of(data.decode("utf-8", "replace"), hashes)
-                if bits is not None and len(found):
-                    slot = (found % np.uint64(BITMAP_BITS)).astype(np.int64)
-                    passed = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+                if bitmap is not None and len(found):
+                    passed = in_bitmap(bitmap, found)
                     found, at = found[passed], at[passed]
                 for h, p in zip(signed(found).tolist(), at.tolist()):
                     yield f, i, p, h, values[p : p + WINDOW]
@@ -106,33 +115,6 @@ def _windows(bitmap: bytes | None):
     return run
 
 
-def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(BITMAP_BITS, dtype=bool)
-    for batch in batches:
-        bits[(batch.column(0).to_numpy().view(np.uint64) % np.uint64(BITMAP_BITS)).astype(np.int64)] = True
-    packed = np.packbits(bits, bitorder="little")
-    step = 1 << 16
-    yield pa.RecordBatch.from_pydict({"part": list(range(0, len(packed), step)), "bits": [packed[k : k + step].tobytes() for k in range(0, len(packed), step)]})
-
-
-def benchmark_bitmap(windows: DataFrame) -> bytes:
-    """The bitmap of all hashes, of a fixed size whatever the benchmark's."""
-    spread = windows.select("hash").distinct().coalesce(64)
-    parts = spread.mapInArrow(_bitmaps, "part long, bits binary")
-
-    def merge(batches):
-        held: dict[int, np.ndarray] = {}
-        for part, bits in rows_of(batches):
-            own = np.frombuffer(bits, np.uint8)
-            held[part] = held[part] | own if part in held else own
-        yield from in_batches(((k, v.tobytes()) for k, v in held.items()), pa.schema([("part", pa.int64()), ("bits", pa.binary())]))
-
-    whole = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
-    for part, bits in parts.repartition(16, "part").mapInArrow(merge, "part long, bits binary").collect():
-        whole[part : part + len(bits)] = np.frombuffer(bits, np.uint8)
-    return whole.tobytes()
-
-
 def matches(keyed: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """(rf, ri, item_id, hits, windows, agree) for every document (with a row key) and item
     that has at least ``share`` of the item's windows."""
@@ -142,7 +124,7 @@ def matches(keyed: DataFrame, benchmark: DataFrame, share: float = SHARE) -> Dat
     item_windows = items.select("item", F.lit(0).cast("long").alias("z"), text).mapInArrow(_windows(None), WINDOWS_SQL)
     item_windows = materialize(item_windows.select(F.col("f").alias("item"), F.col("place").alias("at"), "hash", F.col("slots").alias("own")))
     sizes = item_windows.groupBy("item").agg(F.count(F.lit(1)).alias("windows"))
-    bitmap = benchmark_bitmap(item_windows)
+    bitmap = bitmap_of(item_windows.select("hash"))
     found = keyed.select(*row_parts(), text).mapInArrow(_windows(bitmap), WINDOWS_SQL)
     found = found.select(F.col("f").alias("rf"), F.col("i").alias("ri"), "place", "hash", "slots")
     pairs = materialize(found.join(item_windows, "hash"))

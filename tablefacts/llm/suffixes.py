@@ -17,8 +17,10 @@ at equal offsets, so a string of 200 bytes can only repeat where its anchor does
   window that has its pair alone is unique, past the threshold nothing is compared.
 
 Names are 64-bit hashes in place of dense ranks (equality is all that is needed), and every
-comparison is of two of them together. Ranks are made by Spark's grouping, with partial
-aggregates, so that a passage that a third of the documents share meets as counts.
+comparison is of two of them together. Spark shuffles the anchors once, by name, and ranks
+them in windows. Names that very many anchors have are told by the tasks' own counts and
+take another way, partial aggregates and a join, so that a passage that a third of the
+documents share meets as counts.
 
 Null texts are empty. Texts shorter than 200 bytes keep all. Long texts go in blocks of
 1 MB. Ids may be null or repeat; every row gets a result. Other columns are not read.
@@ -32,10 +34,24 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, in_batches, materialize, mix, row_parts, rows_of, signed, task_number, with_row_key
+from .common import (
+    ROW,
+    as_bytes,
+    bitmap_of,
+    bounded_batches,
+    in_batches,
+    materialize,
+    mix,
+    row_parts,
+    rows_of,
+    signed,
+    task_number,
+    where_in_bitmap,
+    with_row_key,
+)
 
 LENGTH, GRAM = 200, 32
 #: Window starts that are worked on at once.
@@ -43,6 +59,9 @@ STEP = 1 << 20
 #: Contexts of one name that are compared in one task; those of other names are compared as
 #: rows, one for each window, with partial aggregates.
 MANY = 4096
+#: A name is hot if so many anchors have it, and one in HOT_SHARE of all (so there are never
+#: more hot names than that). A task reports a name that has LOCAL anchors in one batch.
+HOT, HOT_SHARE, LOCAL = 20_000, 100_000, 64
 
 _random = np.random.default_rng(607)
 BYTES = _random.integers(0, 2**64, (2, 256), dtype=np.uint64)
@@ -107,7 +126,7 @@ ANCHORS = pa.schema(
 )
 
 
-def _find_anchors(length: int):
+def _find_anchors(length: int, local: int):
     """Rows of anchors, and a row for each document, from documents."""
 
     def run(batches):
@@ -125,10 +144,10 @@ def _find_anchors(length: int):
                     count += len(first)
                     parts.append((np.full(len(first), doc), first + at, windows, shift, signed(name), signed(context), ids))
                 if sum(len(p[0]) for p in parts) > 100_000:
-                    yield _anchor_batch(parts)
+                    yield from _anchor_batches(parts, local)
                     parts = []
             if parts:
-                yield _anchor_batch(parts)
+                yield from _anchor_batches(parts, local)
             if docs:
                 none = [None] * len(docs)
                 doc, rf, ri, doc_id, n, sha = zip(*docs)
@@ -138,32 +157,37 @@ def _find_anchors(length: int):
     return run
 
 
-def _anchor_batch(parts: list[tuple]) -> pa.RecordBatch:
+def _anchor_batches(parts: list[tuple], local: int) -> Iterator[pa.RecordBatch]:
+    """The anchors, and a row without document for each name that is common among them."""
     columns = [np.concatenate(c) for c in zip(*parts)]
     arrays = [pa.array(c).cast(f.type) for c, f in zip(columns, ANCHORS)]
     arrays += [pa.nulls(len(columns[0]), f.type) for f in list(ANCHORS)[len(columns) :]]
-    return pa.RecordBatch.from_arrays(arrays, schema=ANCHORS)
+    yield pa.RecordBatch.from_arrays(arrays, schema=ANCHORS)
+    names, counts = np.unique(columns[4], return_counts=True)
+    names, counts = names[counts >= local], counts[counts >= local]
+    if len(names):
+        told = {"name": pa.array(names), "anchor": pa.array(counts.astype(np.int64))}
+        yield pa.RecordBatch.from_arrays([told.get(f.name, pa.nulls(len(names), f.type)) for f in ANCHORS], schema=ANCHORS)
 
 
-TEXTS = pa.schema(
-    [("doc", pa.int64()), ("data", pa.binary()), ("name", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())]
-    + [("shift", pa.int32()), ("open", pa.bool_()), ("many", pa.bool_())]
+CONTEXTS = pa.schema(
+    [("doc", pa.int64()), ("context", pa.binary()), ("name", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())]
+    + [("shift", pa.int32()), ("open", pa.bool_())]
 )
-TEXTS_SQL = "doc long, data binary, name long, start int, windows int, shift int, open boolean, many boolean"
+CONTEXTS_SQL = "doc long, context binary, name long, start int, windows int, shift int, open boolean"
 
 
 def _cut_contexts(length: int):
-    """Every text, and after it the bytes of each context that stands for its class."""
+    """The bytes of each context that stands for its class."""
 
     def run(batches):
         def rows():
             for doc, data, listed in rows_of(batches):
-                yield doc, data, None, None, None, None, None, None
-                for a in listed or []:
+                for a in listed:
                     context = data[a["start"] : a["start"] + a["windows"] - 1 + length]
-                    yield doc, context, a["name"], a["start"], a["windows"], a["shift"], a["open"], a["many"]
+                    yield doc, context, a["name"], a["start"], a["windows"], a["shift"], a["open"]
 
-        return in_batches(rows(), TEXTS, size=1000)
+        return in_batches(rows(), CONTEXTS, size=1000)
 
     return run
 
@@ -211,7 +235,7 @@ def _name_windows(length: int):
     def run(batches):
         for batch in batches:
             parts = []
-            for doc, context, name, start, n, shift, is_open, _ in rows_of([batch]):
+            for doc, context, name, start, n, shift, is_open in rows_of([batch]):
                 names = signed(window_names(context, n, shift, length))
                 parts.append((np.full(n, name), names, np.full(n, doc), np.arange(start, start + n), np.full(n, is_open)))
             if parts:
@@ -246,7 +270,31 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return in_batches(rows(), CUT, size=200)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+def _ranked(points: DataFrame) -> DataFrame:
+    """Anchors whose context repeats or that stand for their class among several, by one
+    shuffle on the name."""
+    same, named = Window.partitionBy("name", "context"), Window.partitionBy("name")
+    rows = points.repartition("name").select(
+        "*",
+        F.row_number().over(same.orderBy("anchor")).alias("place"),
+        (F.count(F.lit(1)).over(same) > 1).alias("repeats"),
+        (F.min("context").over(named) != F.max("context").over(named)).alias("several"),
+    )
+    stands = F.col("several") & (F.col("place") == 1)
+    return rows.select("doc", "start", "windows", "shift", "name", "repeats", stands.alias("stands")).where("repeats or stands")
+
+
+def _ranked_hot(points: DataFrame) -> DataFrame:
+    """The same for hot names, by partial aggregates and a join."""
+    contexts = points.groupBy("name", "context").agg(F.count(F.lit(1)).alias("members"), F.min("anchor").alias("first"))
+    names = contexts.groupBy("name").agg((F.count(F.lit(1)) > 1).alias("several"))
+    known = contexts.join(names, "name")
+    stands = F.col("several") & (F.col("first") == F.col("anchor"))
+    rows = points.join(known, ["name", "context"])
+    return rows.select("doc", "start", "windows", "shift", "name", (F.col("members") > 1).alias("repeats"), stands.alias("stands")).where("repeats or stands")
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, many: int = MANY, local: int = LOCAL) -> tuple[DataFrame, DataFrame]:
     """(rows, cut): a row (doc, rf, ri, doc_id, n_bytes, sha) for every row of ``docs``
     (doc_id, text), and for those with repeats (doc, spans, kept): what goes, as merged byte
     ranges, and the bytes that stay."""
@@ -254,44 +302,56 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     keyed = with_row_key(docs.select("doc_id", "text"))
     data = as_bytes("text").alias("data")
     found = materialize(
-        keyed.select(*row_parts(), F.col("doc_id").cast("long").alias("doc_id"), data).mapInArrow(_find_anchors(length), ANCHORS_SQL)
+        keyed.select(*row_parts(), F.col("doc_id").cast("long").alias("doc_id"), data).mapInArrow(_find_anchors(length, local), ANCHORS_SQL)
     )
     rows = found.where("sha is not null").select("doc", "rf", "ri", "doc_id", "n_bytes", "sha")
-    points = found.where("sha is null").select("doc", "start", "windows", "shift", "name", "context", "anchor")
-
-    contexts = points.groupBy("name", "context").agg(F.count(F.lit(1)).alias("members"), F.min("anchor").alias("first"))
-    names = contexts.groupBy("name").agg(F.count(F.lit(1)).alias("contexts"), F.sum("members").alias("total")).where("total > 1")
-    ranked = contexts.join(names.select("name", "contexts"), "name")
-    joined = materialize(
-        points.join(ranked, ["name", "context"]).select(
-            "doc", "start", "windows", "shift", "name",
-            (F.col("members") > 1).alias("repeats"),
-            ((F.col("contexts") > 1) & (F.col("first") == F.col("anchor"))).alias("stands"),
-            (F.col("contexts") > MANY).alias("many"),
-        ).where("repeats or stands")
-    )
-    context = F.struct("start", "windows", "shift", "name", (~F.col("repeats")).alias("open"), "many")
-    listed = joined.groupBy("doc").agg(F.collect_list(F.when(F.col("stands"), context)).alias("listed"))
-    needed = listed.join(rows.select("doc", "rf", "ri"), "doc")
-    texts = materialize(
-        keyed.select(*row_parts(), data).join(needed, ["rf", "ri"]).select("doc", "data", "listed").mapInArrow(_cut_contexts(length), TEXTS_SQL)
+    points = found.where("sha is null and doc is not null").select("doc", "start", "windows", "shift", "name", "context", "anchor")
+    limit = max(hot, points.count() // HOT_SHARE)
+    told = found.where("sha is null and doc is null").groupBy("name").agg(F.sum("anchor").alias("n"))
+    common = materialize(told.where(F.col("n") >= limit).select("name"))
+    if common.isEmpty():
+        ranked = _ranked(points)
+    else:
+        # HOT_SHARE names at most.
+        ranked = _ranked(points.join(F.broadcast(common), "name", "left_anti")).unionByName(_ranked_hot(points.join(F.broadcast(common), "name", "left_semi")))
+    ranked = materialize(ranked)
+
+    # Documents of which every window repeats go whole, and need no text.
+    standing = F.struct("start", "windows", "shift", "name", (~F.col("repeats")).alias("open"))
+    listed = ranked.groupBy("doc").agg(
+        F.sum(F.when(F.col("repeats"), F.col("windows")).otherwise(0)).alias("gone"),
+        F.collect_list(F.when(F.col("stands"), standing)).alias("listed"),
+        F.collect_list(F.when(F.col("repeats"), F.struct(F.col("start").cast("long").alias("start"), (F.col("start") + F.col("windows") - 1 + length).cast("long").alias("end")))).alias("spans"),
     )
-
-    standing = texts.where("name is not null")
-    few = standing.where("not many").repartition("name").sortWithinPartitions("name")
-    hits = few.mapInArrow(_compare_names(length), "doc long, start long, end long")
-    windows = standing.where("many").mapInArrow(_name_windows(length), "name long, window long, doc long, start long, open boolean")
-    twice = windows.groupBy("name", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name", "window")
-    single = windows.where("open").join(twice, ["name", "window"]).select("doc", "start", (F.col("start") + length).alias("end")).unionByName(hits)
-    whole = joined.where("repeats").select("doc", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("windows") - 1 + length).cast("long").alias("end"))
-    spans = whole.unionByName(single).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("listed"))
-    cut = texts.where("name is null").join(spans, "doc").select("doc", "data", "listed").mapInArrow(_cut, "doc long, spans array<struct<start:long,end:long>>, kept binary")
-    return rows, cut
+    listed = materialize(listed.join(rows, "doc").withColumn("whole", F.col("gone") == F.col("n_bytes") - (length - 1)))
+    texts = keyed.select(F.xxhash64(f"{ROW}.f", f"{ROW}.i").alias("h"), *row_parts(), data)
+    asked = listed.where("size(listed) > 0").select("doc", "rf", "ri", "listed")
+    texts_of = lambda frame: where_in_bitmap(texts, bitmap_of(frame.select(F.xxhash64("rf", "ri").alias("h")))).join(frame, ["rf", "ri"])
+    contexts = materialize(texts_of(asked).select("doc", "data", "listed").mapInArrow(_cut_contexts(length), CONTEXTS_SQL))
+
+    wide = materialize(contexts.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > many).select("name"))
+    narrow = contexts if wide.isEmpty() else contexts.join(wide, "name", "left_anti")
+    hits = narrow.repartition("name").sortWithinPartitions("name").mapInArrow(_compare_names(length), "doc long, start long, end long")
+    if not wide.isEmpty():
+        windows = contexts.join(wide, "name", "left_semi").select("doc", "context", "name", "start", "windows", "shift", "open")
+        windows = materialize(windows.mapInArrow(_name_windows(length), "name long, window long, doc long, start long, open boolean"))
+        twice = windows.groupBy("name", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name", "window")
+        single = windows.where("open").join(twice, ["name", "window"])
+        hits = hits.unionByName(single.select("doc", "start", (F.col("start") + length).alias("end")))
+    more = hits.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("more"))
+    partly = listed.where("not whole").select("doc", "rf", "ri", "spans").join(more, "doc", "left")
+    spans = F.concat("spans", F.coalesce("more", F.array().cast("array<struct<start:long,end:long>>")))
+    partly = materialize(partly.select("doc", "rf", "ri", spans.alias("listed")).where("size(listed) > 0"))
+    cut = texts_of(partly).select("doc", "data", "listed").mapInArrow(_cut, "doc long, spans array<struct<start:long,end:long>>, kept binary")
+    whole = listed.where("whole").select(
+        "doc", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))).alias("spans"), F.lit(b"").alias("kept")
+    )
+    return rows, cut.unionByName(whole)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, spans, kept_sha256, rf, ri."""
-    rows, cut = repeated_spans(docs, length)
+    rows, cut = repeated_spans(docs, length, **options)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     cut = cut.select("doc", "spans", removed.alias("gone"), F.sha2("kept", 256).alias("kept_sha"))
     return rows.join(cut, "doc", "left").select(
