@@ -2,9 +2,9 @@
 
 1. Every text becomes its set of five-word shingles (A-Z lower-cased). Equal sets are one
    class from here on, so copies cost nothing below.
-2. Of each class, minima under 252 hash functions: 36 band keys of 7 minima each, and the
-   low 4 bits of every minimum packed into 126 bytes. A pair at the threshold shares a
-   band but for one case in a million.
+2. Of each class, minima under 252 hash functions make 36 band keys of 7 minima each. A pair
+   at the threshold shares a band but for one case in a million. Of the classes that share
+   a band with another, 1008 minima are kept by their low 4 bits, packed into 504 bytes.
 3. Classes that share a band key are candidates. First only those with the class that
    shares most (a star, never all pairs of a bucket); links so found make components.
    Then, in each bucket that still has several components, members outside the component
@@ -33,7 +33,8 @@ from .components import components
 
 SHINGLE, THRESHOLD = 5, 85
 BANDS, ROWS = 36, 7
-HASHES, BITS = BANDS * ROWS, 4
+#: Minima of a packed signature, and the bits kept of each.
+HASHES, BITS = 1008, 4
 #: Standard errors that an estimate may lie below the threshold.
 ERRORS = 4.0
 #: Members of a bucket that are compared as one block.
@@ -49,13 +50,13 @@ def shingles(data: bytes, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray
     return np.unique(window_hashes(hashes.all(data.lower().split()), size))
 
 
-def minima(found: np.ndarray, step: int = 2048) -> np.ndarray:
-    """The least value under each hash function; a long text in steps."""
+def minima(found: np.ndarray, hashes: int, step: int = 1024) -> np.ndarray:
+    """The least value under each of the first hash functions; a long text in steps."""
     low = mix(found).astype(np.uint32)
-    least = np.full(HASHES, 2**32 - 1, dtype=np.uint32)
+    least = np.full(hashes, 2**32 - 1, dtype=np.uint32)
     for at in range(0, len(low), step):
         part = low[at : at + step]
-        values = part[None, :] * FACTORS[:, None] + SHIFTS[:, None]
+        values = part[None, :] * FACTORS[:hashes, None] + SHIFTS[:hashes, None]
         values ^= values >> np.uint32(15)
         values *= np.uint32(0x2C1B3C6D)
         values ^= values >> np.uint32(13)
@@ -96,9 +97,9 @@ def least_estimate(threshold: int = THRESHOLD) -> float:
 
 SIGNED = pa.schema(
     [("rf", pa.int64()), ("ri", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64())]
-    + [("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())]
+    + [("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))]
 )
-SIGNED_SQL = "rf long, ri long, doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, signature binary"
+SIGNED_SQL = "rf long, ri long, doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,15 +109,22 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rf, ri, doc_id, data in rows_of(batches):
             found = shingles(data, hashes)
             if not len(found):
-                yield rf, ri, doc_id, 0, None, None, None, None
+                yield rf, ri, doc_id, 0, None, None, None
                 continue
-            least = minima(found)
             s1, s2 = (signed(np.array([mix(found ^ np.uint64(k)).sum(dtype=np.uint64)])) for k in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
-            yield rf, ri, doc_id, len(found), int(s1[0]), int(s2[0]), signed(band_keys(least)).tolist(), packed(least)
+            yield rf, ri, doc_id, len(found), int(s1[0]), int(s2[0]), signed(band_keys(minima(found, BANDS * ROWS))).tolist()
 
     return in_batches(rows(), SIGNED, size=1000)
 
 
+MEMBERS = pa.schema([("rep", pa.int64()), ("data", pa.binary()), ("signature", pa.binary())])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    return in_batches(((rep, data, packed(minima(shingles(data, hashes), HASHES))) for rep, data in rows_of(batches)), MEMBERS, size=1000)
+
+
 def _signature_matrix(values: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
 
@@ -151,14 +159,18 @@ def _compared(limit: float):
                     right = left if first == second else [r for r in cell if r[5] == second]
                 if not left or not right:
                     continue
-                sig, rep, comp = _signature_matrix([r[8] for r in right]), np.array([r[6] for r in right]), np.array([r[7] for r in right])
+                sig, comp = _signature_matrix([r[8] for r in right]), np.array([r[7] for r in right])
+                rep = np.array([r[6] for r in right])
                 for r in left:
                     near = agreement(np.frombuffer(r[8], np.uint8)[None, :], sig) >= limit
                     near &= comp != r[7]
                     if left is right:
                         near &= rep > r[6]
-                    for other in rep[near]:
-                        yield min(r[6], int(other)), max(r[6], int(other))
+                    for k in np.flatnonzero(near):
+                        other = right[k]
+                        # The least key that both have is the one that tells.
+                        if min(set(r[9]).intersection(other[9])) == r[0]:
+                            yield min(r[6], other[6]), max(r[6], other[6])
 
         return in_batches(rows(), PAIRS)
 
@@ -221,6 +233,13 @@ def _cells(members: DataFrame) -> DataFrame:
     return sided.select("key", F.explode(to).alias("c"), "side", "block", "rep", "comp").select("key", "c.kind", "c.i", "c.j", "side", "block", "rep", "comp")
 
 
+def _dealt(cells: DataFrame, signatures: DataFrame, buckets: DataFrame) -> DataFrame:
+    """The cells' members with what the comparison needs, the rows of a cell together."""
+    rows = cells.join(signatures, "rep").join(buckets.select("rep", "keys"), "rep")
+    rows = rows.select("key", "kind", "i", "j", "side", "block", "rep", "comp", "signature", "keys")
+    return rows.repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j")
+
+
 def near_dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_shingles, component_id, kept, and the
     row key (rf, ri)."""
@@ -236,16 +255,18 @@ def near_dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     classes = with_set.groupBy("s1", "s2", "n_shingles").agg(F.min(rank).alias("first"))
     classes = materialize(classes.select("s1", "s2", "n_shingles", "first", F.monotonically_increasing_id().alias("rep")))
     first = classes.select("rep", F.col("first.rf").alias("rf"), F.col("first.ri").alias("ri"))
-    signatures = materialize(with_set.select("rf", "ri", "bands", "signature").join(first, ["rf", "ri"]))
+    bands = materialize(with_set.select("rf", "ri", "bands").join(first, ["rf", "ri"]).select("rep", "bands"))
 
-    keys = signatures.select("rep", F.explode("bands").alias("key"))
+    keys = bands.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(keys.join(shared, "key"))
-    degrees = members.groupBy("rep").agg(F.sum("n").alias("degree"))
-    members = members.select("key", "rep").join(degrees, "rep")
-    texts = materialize(
-        keyed.select(*row_parts(), as_bytes("text").alias("data")).join(first.join(degrees.select("rep"), "rep"), ["rf", "ri"]).select("rep", "data")
-    )
+    # A class is in 36 buckets at most.
+    buckets = members.groupBy("rep").agg(F.sum("n").alias("degree"), F.collect_list("key").alias("keys"))
+    members = members.select("key", "rep").join(buckets.select("rep", "degree"), "rep")
+    data = keyed.select(*row_parts(), as_bytes("text").alias("data"))
+    texts = data.join(first.join(buckets.select("rep"), "rep"), ["rf", "ri"]).select("rep", "data")
+    texts = materialize(texts.mapInArrow(_pack, "rep long, data binary, signature binary"))
+    signatures = texts.select("rep", "signature")
     sig = lambda name: signatures.select(F.col("rep").alias(name), F.col("signature").alias(f"sig_{name}"))
 
     stars = _star_pairs(members).join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b")
@@ -254,9 +275,8 @@ def near_dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     found = components(links)
 
     named = members.join(found.withColumnRenamed("u", "rep"), "rep", "left").select("key", "rep", "degree", F.coalesce("v", "rep").alias("comp"))
-    cells = _cells(named).join(signatures.select("rep", "signature"), "rep").select("key", "kind", "i", "j", "side", "block", "rep", "comp", "signature")
-    dealt = cells.repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j")
-    more = dealt.mapInArrow(_compared(limit), "a long, b long").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    dealt = _dealt(_cells(named), signatures, buckets)
+    more = dealt.mapInArrow(_compared(limit), "a long, b long").join(tried.select("a", "b"), ["a", "b"], "left_anti")
     tried_more = confirmed(more, texts, threshold)
     links = links.unionByName(tried_more.where("linked").select(F.col("b").alias("u"), F.col("a").alias("v")))
     found = components(links)
