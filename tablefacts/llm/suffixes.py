@@ -330,10 +330,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, many:
     contexts = materialize(texts_of(asked).select("doc", "data", "listed").mapInArrow(_cut_contexts(length), CONTEXTS_SQL))
 
     wide = materialize(contexts.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > many).select("name"))
-    narrow = contexts if wide.isEmpty() else contexts.join(wide, "name", "left_anti")
+    narrow = contexts if wide.isEmpty() else contexts.join(wide, "name", "left_anti").select(contexts.columns)
     hits = narrow.repartition("name").sortWithinPartitions("name").mapInArrow(_compare_names(length), "doc long, start long, end long")
     if not wide.isEmpty():
-        windows = contexts.join(wide, "name", "left_semi").select("doc", "context", "name", "start", "windows", "shift", "open")
+        windows = contexts.join(wide, "name", "left_semi").select(contexts.columns)
         windows = materialize(windows.mapInArrow(_name_windows(length), "name long, window long, doc long, start long, open boolean"))
         twice = windows.groupBy("name", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name", "window")
         single = windows.where("open").join(twice, ["name", "window"])
