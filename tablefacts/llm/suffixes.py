@@ -17,10 +17,8 @@ at equal offsets, so a string of 200 bytes can only repeat where its anchor does
   window that has its pair alone is unique, past the threshold nothing is compared.
 
 Names are 64-bit hashes in place of dense ranks (equality is all that is needed), and every
-comparison is of two of them together. Spark shuffles the anchors once, by name, and ranks
-them in windows. Names that very many anchors have are told by the tasks' own counts and
-take another way, partial aggregates and a join, so that a passage that a third of the
-documents share meets as counts.
+comparison is of two of them together. Ranks are made by Spark's grouping, with partial
+aggregates, so that a passage that a third of the documents share meets as counts.
 
 Null texts are empty. Texts shorter than 200 bytes keep all. Long texts go in blocks of
 1 MB. Ids may be null or repeat; every row gets a result. Other columns are not read.
@@ -34,7 +32,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
@@ -59,9 +57,6 @@ STEP = 1 << 20
 #: Contexts of one name that are compared in one task; those of other names are compared as
 #: rows, one for each window, with partial aggregates.
 MANY = 4096
-#: A name is hot if so many anchors have it, and one in HOT_SHARE of all (so there are never
-#: more hot names than that). A task reports a name that has LOCAL anchors in one batch.
-HOT, HOT_SHARE, LOCAL = 20_000, 100_000, 64
 
 _random = np.random.default_rng(607)
 BYTES = _random.integers(0, 2**64, (2, 256), dtype=np.uint64)
@@ -126,7 +121,7 @@ ANCHORS = pa.schema(
 )
 
 
-def _find_anchors(length: int, local: int):
+def _find_anchors(length: int):
     """Rows of anchors, and a row for each document, from documents."""
 
     def run(batches):
@@ -144,10 +139,10 @@ def _find_anchors(length: int, local: int):
                     count += len(first)
                     parts.append((np.full(len(first), doc), first + at, windows, shift, signed(name), signed(context), ids))
                 if sum(len(p[0]) for p in parts) > 100_000:
-                    yield from _anchor_batches(parts, local)
+                    yield _anchor_batch(parts)
                     parts = []
             if parts:
-                yield from _anchor_batches(parts, local)
+                yield _anchor_batch(parts)
             if docs:
                 none = [None] * len(docs)
                 doc, rf, ri, doc_id, n, sha = zip(*docs)
@@ -157,17 +152,11 @@ def _find_anchors(length: int, local: int):
     return run
 
 
-def _anchor_batches(parts: list[tuple], local: int) -> Iterator[pa.RecordBatch]:
-    """The anchors, and a row without document for each name that is common among them."""
+def _anchor_batch(parts: list[tuple]) -> pa.RecordBatch:
     columns = [np.concatenate(c) for c in zip(*parts)]
     arrays = [pa.array(c).cast(f.type) for c, f in zip(columns, ANCHORS)]
     arrays += [pa.nulls(len(columns[0]), f.type) for f in list(ANCHORS)[len(columns) :]]
-    yield pa.RecordBatch.from_arrays(arrays, schema=ANCHORS)
-    names, counts = np.unique(columns[4], return_counts=True)
-    names, counts = names[counts >= local], counts[counts >= local]
-    if len(names):
-        told = {"name": pa.array(names), "anchor": pa.array(counts.astype(np.int64))}
-        yield pa.RecordBatch.from_arrays([told.get(f.name, pa.nulls(len(names), f.type)) for f in ANCHORS], schema=ANCHORS)
+    return pa.RecordBatch.from_arrays(arrays, schema=ANCHORS)
 
 
 CONTEXTS = pa.schema(
@@ -271,30 +260,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ranked(points: DataFrame) -> DataFrame:
-    """Anchors whose context repeats or that stand for their class among several, by one
-    shuffle on the name."""
-    same, named = Window.partitionBy("name", "context"), Window.partitionBy("name")
-    rows = points.repartition("name").select(
-        "*",
-        F.row_number().over(same.orderBy("anchor")).alias("place"),
-        (F.count(F.lit(1)).over(same) > 1).alias("repeats"),
-        (F.min("context").over(named) != F.max("context").over(named)).alias("several"),
-    )
-    stands = F.col("several") & (F.col("place") == 1)
-    return rows.select("doc", "start", "windows", "shift", "name", "repeats", stands.alias("stands")).where("repeats or stands")
-
-
-def _ranked_hot(points: DataFrame) -> DataFrame:
-    """The same for hot names, by partial aggregates and a join."""
+    """Anchors whose context repeats or that stand for their class among several."""
     contexts = points.groupBy("name", "context").agg(F.count(F.lit(1)).alias("members"), F.min("anchor").alias("first"))
-    names = contexts.groupBy("name").agg((F.count(F.lit(1)) > 1).alias("several"))
+    names = contexts.groupBy("name").agg(F.count(F.lit(1)).alias("contexts"), F.sum("members").alias("total")).where("total > 1")
     known = contexts.join(names, "name")
-    stands = F.col("several") & (F.col("first") == F.col("anchor"))
     rows = points.join(known, ["name", "context"])
-    return rows.select("doc", "start", "windows", "shift", "name", (F.col("members") > 1).alias("repeats"), stands.alias("stands")).where("repeats or stands")
+    repeats, stands = F.col("members") > 1, (F.col("contexts") > 1) & (F.col("first") == F.col("anchor"))
+    return rows.select("doc", "start", "windows", "shift", "name", repeats.alias("repeats"), stands.alias("stands")).where("repeats or stands")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, many: int = MANY, local: int = LOCAL) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> tuple[DataFrame, DataFrame]:
     """(rows, cut): a row (doc, rf, ri, doc_id, n_bytes, sha) for every row of ``docs``
     (doc_id, text), and for those with repeats (doc, spans, kept): what goes, as merged byte
     ranges, and the bytes that stay."""
@@ -302,19 +277,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, many:
     keyed = with_row_key(docs.select("doc_id", "text"))
     data = as_bytes("text").alias("data")
     found = materialize(
-        keyed.select(*row_parts(), F.col("doc_id").cast("long").alias("doc_id"), data).mapInArrow(_find_anchors(length, local), ANCHORS_SQL)
+        keyed.select(*row_parts(), F.col("doc_id").cast("long").alias("doc_id"), data).mapInArrow(_find_anchors(length), ANCHORS_SQL)
     )
     rows = found.where("sha is not null").select("doc", "rf", "ri", "doc_id", "n_bytes", "sha")
-    points = found.where("sha is null and doc is not null").select("doc", "start", "windows", "shift", "name", "context", "anchor")
-    limit = max(hot, points.count() // HOT_SHARE)
-    told = found.where("sha is null and doc is null").groupBy("name").agg(F.sum("anchor").alias("n"))
-    common = materialize(told.where(F.col("n") >= limit).select("name"))
-    if common.isEmpty():
-        ranked = _ranked(points)
-    else:
-        # HOT_SHARE names at most.
-        ranked = _ranked(points.join(F.broadcast(common), "name", "left_anti")).unionByName(_ranked_hot(points.join(F.broadcast(common), "name", "left_semi")))
-    ranked = materialize(ranked)
+    points = found.where("sha is null").select("doc", "start", "windows", "shift", "name", "context", "anchor")
+    ranked = materialize(_ranked(points))
 
     # Documents of which every window repeats go whole, and need no text.
     standing = F.struct("start", "windows", "shift", "name", (~F.col("repeats")).alias("open"))
