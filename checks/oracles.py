@@ -626,6 +626,7 @@ ORACLES = {
         [
             matching_sum("Urgent", "orders", "o_orderpriority", "urgent", "o_totalprice"),
             skipped("Broken", "'extreme_category'", "unknown column in value_col"),
+            skipped("Fourth", "'filtered_rate'", "beyond the first 3"),
         ]
     ),
     "kpi_failures": union(
@@ -679,6 +680,11 @@ ORACLES = {
     "series_booleans": """SELECT CASE WHEN large THEN 'True' ELSE 'False' END AS category, series, CAST(value AS DOUBLE) AS value FROM (
       SELECT l_quantity > 25 AS large, 'returned' AS series, count(*) FILTER (WHERE l_returnflag = 'R') AS value FROM lineitem GROUP BY 1
       UNION ALL SELECT l_quantity > 25, 'l_shipdate', count(l_shipdate) FROM lineitem GROUP BY 1)""",
+    "datetime_any_order": """SELECT s.sorted, 'datetime (inferred)' AS label, count(*) FILTER (o_orderkey % 10 > 0) AS non_null,
+      strftime(min(date_trunc('day', o_orderdate)) FILTER (o_orderkey % 10 > 0), '%Y-%m-%dT%H:%M:%S') AS min_date
+      FROM orders, (VALUES ('up'), ('down')) s(sorted) GROUP BY s.sorted""",
+    "datetime_zones": """SELECT 'datetime (inferred)' AS label, count(*) AS non_null,
+      strftime(max(date_trunc('second', ts)), '%Y-%m-%dT%H:%M:%S') AS max_date FROM events""",
     "series_positions": "SELECT CAST(o_orderkey AS VARCHAR) AS category, 'o_totalprice' AS series, o_totalprice AS value FROM orders",
     "table_extract": "SELECT s_name, s_acctbal, s_nationkey FROM supplier",
     "table_cells": f"""SELECT CAST(event_id AS VARCHAR) AS event_id, {stamp('ts')} AS ts,

@@ -576,6 +576,25 @@ KPI_FAILURES = [
 ]
 
 
+def datetime_any_order(spark, sf_dir):
+    """Dates in two formats, profiled in either order of the rows: one answer."""
+    day = F.col("o_orderdate")
+    text = F.when(F.col("o_orderkey") % 10 == 0, F.date_format(day, "yyyy-MM-dd")).otherwise(F.date_format(day, "MM/dd/yyyy"))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", text.alias("day"))
+    frames = []
+    for name, order in (("up", F.col("o_orderkey") % 10), ("down", -(F.col("o_orderkey") % 10))):
+        profile = P.profile_table(rows.orderBy(order).select("day"))
+        frames.append(profile.select(F.lit(name).alias("sorted"), "label", "non_null", "min_date"))
+    return union(frames)
+
+
+def datetime_zones(spark, sf_dir):
+    """Times of events written with their zone."""
+    text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    profile = P.profile_table(read(spark, sf_dir, "events").select(text.alias("time")))
+    return profile.select("label", "non_null", "max_date")
+
+
 def missing_kpis(spark, sf_dir):
     """KPIs over columns with missing values: null keys, and groups that are all null."""
     events = read(spark, sf_dir, "events").select(
@@ -844,6 +863,8 @@ QUERIES = {
     "kpi_filtered_sum": kpis("orders", matching_sum("Urgent or high", "o_orderpriority", "Urgent|High", "o_totalprice"), matching_sum("Keys", "o_orderstatus", "[fo]", "o_custkey"), matching_sum("None", "o_orderstatus", "x", "o_totalprice")),
     "kpi_filtered_text": kpis("documents", rate("Words", "text", "the [a-z]+ing"), matching_sum("Characters", "text", "license", "n_chars")),
     "kpi_peak_point": kpis("orders", peak("Peak", "o_orderdate", "o_totalprice"), peak("Key", "o_orderpriority", "o_orderkey"), peak("Last day", "o_orderkey", "o_orderdate")),
+    "datetime_any_order": datetime_any_order,
+    "datetime_zones": datetime_zones,
     "kpi_rules": kpis("orders", *KPI_RULES),
     "kpi_failures": kpis("orders", *KPI_FAILURES),
     "kpi_missing": missing_kpis,

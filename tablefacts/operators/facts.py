@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import dtype_of, is_addable, total
 from ..functions.formats import (
@@ -16,8 +17,9 @@ from ..functions.formats import (
     share_text,
     thousands,
 )
-from .groups import KEY, ROWS, Groups, Measure, NotComputable, check_category, group
+from .groups import AGGREGATES, KEY, ROWS, Groups, Measure, NotComputable, check_category, group
 
+# The names of the facts.
 FACTS = [
     "top_category",
     "top_value",
@@ -46,6 +48,8 @@ def fact_measure(df: DataFrame, columns: list[str], agg: str = "sum") -> tuple[s
     check_category(df, category)
     if value == category:
         raise NotComputable("duplicate column")
+    if agg not in AGGREGATES:
+        raise NotComputable("unknown aggregate")
     if value is None:
         return category, ROWS
     return category, (agg if is_addable(dtype_of(df, value)) else "count", value)
@@ -72,23 +76,26 @@ def fact_parts(groups: Groups, measure: Measure, spec_id: str) -> DataFrame:
     Equal values rank by category ascending. The leaders are a top-2 and the rest
     one aggregate, so no group list is ever sorted or gathered as a whole.
     """
-    vtype, ktype = groups.value_type(measure), groups.key_type
-    ranked = groups.frame.where(groups.value(measure).isNotNull()).select(
-        (-groups.value(measure)).alias("down"), F.col(KEY).alias("key")
-    )
+    vtype, ktype, amount = groups.value_type(measure), groups.key_type, groups.value(measure)
+    if isinstance(vtype, T.BooleanType):
+        vtype, amount = T.LongType(), amount.cast("bigint")
+    # Negated as a decimal, which holds the negative of the least bigint too.
+    negative = -amount.cast("decimal(20,0)") if isinstance(vtype, T.LongType) else -amount
+    ranked = groups.frame.where(amount.isNotNull()).select(negative.alias("down"), F.col(KEY).alias("key"))
+    back = "bigint" if isinstance(vtype, T.LongType) else vtype
     place = F.struct("down", "key")
     leaders = ranked.orderBy("down", "key").limit(2).agg(
         F.min(place).alias("first"), F.max(place).alias("next"), F.count(F.lit(1)).alias("n")
     )
     sums = ranked.agg(
-        F.max(place).alias("last"), total(-F.col("down"), vtype).alias("total"), F.count(F.lit(1)).alias("n")
+        F.max(place).alias("last"), total((-F.col("down")).cast(back), vtype).alias("total"), F.count(F.lit(1)).alias("n")
     )
 
     def key(field: str):
         return plain_text(F.col(f"{field}.key"), ktype)
 
     def value(field: str):
-        return -F.col(f"{field}.down")
+        return (-F.col(f"{field}.down")).cast(back)
 
     two = F.col("n") > 1
     leaders = leaders.select(

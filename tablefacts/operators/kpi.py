@@ -25,6 +25,7 @@ from .groups import AGGREGATES, KEY, GroupCache, Groups, NotComputable, check_ca
 TYPES = ("extreme_category", "avg_per_group", "filtered_rate", "filtered_sum", "peak_point")
 COLUMN_FIELDS = ("group_by", "value_col", "filter_col", "x_col")
 MOST_KPIS = 3
+FAR = 1 << 30
 PERCENT = "%"
 
 OK = "ok"
@@ -213,14 +214,18 @@ def _floating(dtype: T.DataType) -> bool:
     return not (is_integer(dtype) or isinstance(dtype, T.BooleanType))
 
 
-def plan_kpis(df: DataFrame, specs: list[dict]) -> list[tuple[int, dict, Plan | str]]:
-    """The first three specs that carry a label, each with its plan or the reason it has none."""
+def plan_kpis(df: DataFrame, specs: list[dict], most: int = MOST_KPIS) -> list[tuple[int, dict, Plan | str]]:
+    """The specs that carry a label, each with its plan or the reason it has none: those
+    after the first ``most`` are named and not computed."""
     columns = [c for c in df.columns if c != ROW]
     planned = []
-    for i, spec in enumerate(specs[:MOST_KPIS]):
+    for i, spec in enumerate(specs):
         if not spec.get("label"):
             continue
         spec = {**spec, "label": str(spec["label"])}
+        if i >= most:
+            planned.append((i, spec, f"skipped: beyond the first {most}"))
+            continue
         try:
             planned.append((i, spec, Plan(df, resolve_kpi(spec, columns))))
         except NotComputable as reason:
@@ -234,9 +239,9 @@ def want_groups(cache: GroupCache, table: str, planned: list) -> None:
             cache.want(table, plan.category, plan.measure)
 
 
-def compute_kpis(df: DataFrame, specs: list[dict], spec_id: str = "0") -> DataFrame:
+def compute_kpis(df: DataFrame, specs: list[dict], spec_id: str = "0", most: int = MOST_KPIS) -> DataFrame:
     """KPI rows of one spec: KPIs that share a group-by or a scan are computed together."""
-    planned = [(spec_id, *p) for p in plan_kpis(df, specs)]
+    planned = [(spec_id, *p) for p in plan_kpis(df, specs, most)]
     cache = GroupCache()
     want_groups(cache, "", [p[1:] for p in planned])
     return finish_kpis(kpi_rows(df, "", planned, cache), df.sparkSession)
@@ -324,7 +329,7 @@ def finish_kpis(frames: list[DataFrame], spark: SparkSession) -> DataFrame:
     whole = F.struct(*[F.col(c) for c in rows.columns])
     place = F.when(F.col("status") == OK, F.col("kpi_idx"))
     kept = rows.groupBy(F.col("spec_id").alias("s"), F.col("label").alias("l")).agg(
-        F.max_by(whole, F.coalesce(place, F.col("kpi_idx") - MOST_KPIS)).alias("best"),
+        F.max_by(whole, F.coalesce(place, F.col("kpi_idx") - FAR)).alias("best"),
         F.min(place).alias("place"),
     )
     first = F.coalesce(F.col("place"), F.col("best.kpi_idx"))

@@ -1,8 +1,8 @@
 """Aggregate-only profiles of tables: one row per column, never a source row.
 
-A table is read three times, each time only the columns concerned: one aggregate over
-all columns, one frequency table of the text columns, and the median passes. The
-three are submitted together. Only their results, a few numbers per column, reach the
+A table is read a few times, each time only the columns concerned: text columns for the
+shapes of their values, then one aggregate over all columns, one frequency table of the
+text columns, and the median passes. These three are submitted together. Only their results, a few numbers per column, reach the
 driver.
 """
 
@@ -27,7 +27,7 @@ from ..functions.columns import (
     float_sum,
     label_of,
 )
-from ..functions.dates import LONGEST_DATE_TEXT, guess_format, looks_like_date, parse_date
+from ..functions.dates import parse_date, pattern_of, pattern_order
 from ..functions.formats import iso_text
 from ..functions.names import match_key
 from .median import exact_medians
@@ -52,10 +52,6 @@ Spark still applies before the shuffle."""
 
 COLUMNS_PER_JOB = 64
 TEXT_COLUMNS_PER_JOB = 32
-HEAD_ROWS = 100
-
-SEARCH = ""
-"""In place of a date pattern: look for values that could be dates."""
 
 PROFILE_SCHEMA = (
     "table string, ordinal int, column string, label string, row_count bigint, "
@@ -71,27 +67,23 @@ PROFILE_SCHEMA = (
 # ---- type labels ---------------------------------------------------------------
 
 
-def head_formats(df: DataFrame, columns: list[str]) -> tuple[dict[str, str], set[str]]:
-    """Date pattern per text column, from the first of its leading values that looks like
-    a date, and the columns whose leading values are long. Only settles in which pattern a
-    column is read first: columns without one are searched as a whole later."""
-    if not columns:
-        return {}, set()
-    parts = []
-    for c in columns:
-        short = F.when(F.length(col(c)) <= LONGEST_DATE_TEXT, col(c))
-        parts.append(F.struct(F.length(col(c)).alias("n"), short.alias("v")).alias(c))
-    some = F.coalesce(*[col(c).cast("string") for c in columns])
-    rows = df.where(some.isNotNull()).select(*parts).limit(HEAD_ROWS).collect()
+def text_shapes(df: DataFrame, columns: list[str]) -> tuple[dict[str, str], set[str]]:
+    """Date pattern per text column, and the columns that hold long texts, from all values.
+
+    The pattern is that of most values (the first in the list of shapes if several are as
+    common), for columns of which half of the values look like dates."""
     formats, long = {}, set()
-    for i, c in enumerate(columns):
-        seen = [r[i] for r in rows if r[i]["n"] is not None]
-        patterns = (guess_format(r["v"].strip()) for r in seen if r["v"] is not None)
-        pattern = next((p for p in patterns if p), None)
-        if pattern:
-            formats[c] = pattern
-        if any(r["n"] > LONG_TEXT for r in seen):
-            long.add(c)
+    for start in range(0, len(columns), TEXT_COLUMNS_PER_JOB):
+        chunk = columns[start : start + TEXT_COLUMNS_PER_JOB]
+        cells = _cells(df, chunk).select("column", pattern_of(F.col("value")).alias("pattern"), F.length("value").alias("n"))
+        counts = cells.groupBy("column", "pattern").agg(F.count(F.lit(1)).alias("values"), F.max("n").alias("longest")).collect()
+        for i, c in enumerate(chunk):
+            own = [r for r in counts if r["column"] == str(i)]
+            dates = sorted((r for r in own if r["pattern"]), key=lambda r: (-r["values"], pattern_order(r["pattern"])))
+            if dates and sum(r["values"] for r in dates) >= DATE_MIN_RATIO * sum(r["values"] for r in own):
+                formats[c] = dates[0]["pattern"]
+            if any(r["longest"] > LONG_TEXT for r in own):
+                long.add(c)
     return formats, long
 
 
@@ -112,30 +104,12 @@ def datetime_ratio(df: DataFrame, formats: dict[str, str]) -> DataFrame:
     return row.select("*", ratio.alias("ratio"), inferred.alias("is_datetime"))
 
 
-def _late_formats(df: DataFrame, candidates: list[str]) -> dict[str, str]:
-    """Patterns of columns whose leading values are no dates though half of all values
-    look so: those of their smallest such values."""
-    if not candidates:
-        return {}
-    least = [F.min(F.when(looks_like_date(col(c)), col(c))).alias(c) for c in candidates]
-    row = df.agg(*least).first()
-    return {c: p for c in candidates if (p := guess_format(row[c].strip()))}
-
-
-def _maybe_dates(raw: dict) -> bool:
-    return raw["date_like"] > 0 and raw["date_like"] >= DATE_MIN_RATIO * raw["non_null"]
-
-
 def infer_types(df: DataFrame) -> DataFrame:
     """``ordinal, column, label`` per column."""
     names = data_columns(df)
     labels = {c: label_of(dtype_of(df, c)) for c in names}
     text = [c for c in names if labels[c] == TEXT]
-    formats, _ = head_formats(df, text)
-    unknown = [c for c in text if c not in formats]
-    if unknown:
-        _, stats = _scan_stats(df, [(c, TEXT, SEARCH) for c in unknown])
-        formats |= _late_formats(df, [c for c in unknown if _maybe_dates(stats[c])])
+    formats, _ = text_shapes(df, text)
     if formats:
         for row in datetime_ratio(df, formats).collect():
             if row["is_datetime"]:
@@ -186,9 +160,7 @@ def _column_stats(df: DataFrame, name: str, label: str | None, pattern: str | No
         return _boolean_stats(c)
     if label == TEXT:
         stats = [F.count(c).alias("non_null")]
-        if pattern == SEARCH:
-            stats.append(F.count_if(looks_like_date(c)).alias("date_like"))
-        elif pattern:
+        if pattern:
             stats.append(F.struct(*_datetime_stats(parse_date(c, pattern))).alias("dates"))
         return stats
     if label is None:
@@ -238,14 +210,12 @@ def value_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def digest_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
     """As :func:`value_frequencies` with the SHA-256 of each value in its place, for long
-    texts; ``like`` tells whether the value looks like a date."""
-    cells = _cells(df, columns).select(
-        "column", _digest().alias("value"), looks_like_date(F.col("value")).alias("like")
-    )
-    return cells.groupBy("column", "value", "like").agg(F.count(F.lit(1)).alias("count"))
+    texts."""
+    cells = _cells(df, columns).select("column", _digest().alias("value"))
+    return cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
-def _rollup(frequencies: DataFrame, *more: Column) -> DataFrame:
+def _rollup(frequencies: DataFrame) -> DataFrame:
     distinct = F.count(F.lit(1))
     values = F.sum("count")
     flagged = (values >= IDENTIFIER_MIN_VALUES) & (distinct / values >= IDENTIFIER_MIN_RATIO)
@@ -253,7 +223,6 @@ def _rollup(frequencies: DataFrame, *more: Column) -> DataFrame:
         values.alias("non_null"),
         distinct.alias("unique_values"),
         flagged.alias("identifier_like"),
-        *more,
     )
 
 
@@ -282,13 +251,9 @@ def identifier_flags(df: DataFrame, columns: list[str]) -> DataFrame:
     return rolled.select(_named(df, columns), "non_null", "unique_values", "identifier_like")
 
 
-def _summary(frequencies: DataFrame, n: int, like: Column) -> DataFrame:
-    """A row per column, then the ``n`` top values of each column that may show any.
-
-    Of the values that look like dates only the number is taken: a smallest text would
-    make Spark sort all frequencies to roll them up."""
-    dates = F.coalesce(F.sum(F.when(like, F.col("count"))), F.lit(0))
-    rolled = _rollup(frequencies, dates.alias("date_like"))
+def _summary(frequencies: DataFrame, n: int) -> DataFrame:
+    """A row per column, then the ``n`` top values of each column that may show any."""
+    rolled = _rollup(frequencies)
     shown = F.broadcast(rolled.where(~F.col("identifier_like")).select("column"))  # one row a column
     # Not a semi join: that one moves below the count, and the values are counted twice.
     top = _top(frequencies.join(shown, "column"), n).select("column", "rank", "value", "count")
@@ -296,9 +261,8 @@ def _summary(frequencies: DataFrame, n: int, like: Column) -> DataFrame:
 
 
 def _short_text_stats(df: DataFrame, columns: list[str], n: int) -> dict[str, dict]:
-    """Statistics of columns of short texts, all from one frequency table. Values that
-    look like dates are searched among the distinct values only."""
-    rows = _summary(value_frequencies(df, columns), n, looks_like_date(F.col("value"))).collect()
+    """Statistics of columns of short texts, all from one frequency table."""
+    rows = _summary(value_frequencies(df, columns), n).collect()
     stats = {columns[int(r["column"])]: r.asDict() for r in rows if r["rank"] is None}
     for r in sorted((r for r in rows if r["rank"] is not None), key=lambda r: r["rank"]):
         values = stats[columns[int(r["column"])]].setdefault("top_values", [])
@@ -309,7 +273,7 @@ def _short_text_stats(df: DataFrame, columns: list[str], n: int) -> dict[str, di
 def _long_text_stats(df: DataFrame, columns: list[str], n: int) -> dict[str, dict]:
     """Statistics of columns of long texts, counted by digest; a text is only read again
     for the values shown."""
-    rows = _summary(digest_frequencies(df, columns), MOST_CANDIDATES, F.col("like")).collect()
+    rows = _summary(digest_frequencies(df, columns), MOST_CANDIDATES).collect()
     stats = {columns[int(r["column"])]: r.asDict() for r in rows if r["rank"] is None}
     for c, values in _long_top_values(df, columns, rows, n).items():
         stats[c]["top_values"] = values
@@ -356,7 +320,7 @@ def _text_stats(df: DataFrame, columns: list[str], long: set[str], n: int) -> di
 def top_long_values(df: DataFrame, columns: list[str], n: int = TOP_VALUES) -> DataFrame:
     """As :func:`top_values`, for columns of long texts: only digests are shuffled, and the
     texts of the few leading ones."""
-    leading = _top(digest_frequencies(df, columns), MOST_CANDIDATES).drop("like")
+    leading = _top(digest_frequencies(df, columns), MOST_CANDIDATES)
     top = _long_top_values(df, columns, leading.collect(), n)
     rows = [(c, i, v, k) for c, values in top.items() for i, (v, k) in enumerate(values, start=1)]
     return df.sparkSession.createDataFrame(rows, "column string, rank int, value string, count bigint")
@@ -398,7 +362,7 @@ def _profile_rows(df: DataFrame, name: str, top_n: int) -> list[dict]:
         ]
     )
     text = [c for c in columns if labels[c] == TEXT]
-    formats, long = head_formats(df, text)
+    formats, long = text_shapes(df, text)
     numeric = [c for c in columns if labels[c] in (INTEGER, FLOAT)]
 
     # Texts without a date pattern are only read for their frequencies, which also count
@@ -414,10 +378,6 @@ def _profile_rows(df: DataFrame, name: str, top_n: int) -> list[dict]:
     if rows == 0:
         return [{"table": name, "row_count": 0, "column_count": 0, "note": NOTE_EMPTY}]
 
-    found = _late_formats(df, [c for c in listed if c in texts and _maybe_dates(texts[c])])
-    if found:
-        formats |= found
-        stats |= _scan_stats(df, [(c, TEXT, p) for c, p in found.items()])[1]
     dated = {c for c in formats if _is_dates(stats[c])}
     texts |= _text_stats(df, [c for c in formats if c not in dated and c not in texts], long, top_n)
     overflown = [

@@ -17,7 +17,8 @@ TYPED_FORMATS = ("parquet", "orc", "json")
 
 def list_tables(spark: SparkSession, folder: str) -> dict[str, tuple[str, str]]:
     """``name -> (path, format)`` for every child of a folder: a file, or a folder of
-    files. Works on any file system Spark reads; only paths are listed."""
+    files. Works on any file system Spark reads; only paths are listed. Two children of
+    one name (``a.csv`` and ``a.tsv``) are an error, as one would hide the other."""
     root = folder.rstrip("/")
     inside = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "", root).strip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -28,6 +29,8 @@ def list_tables(spark: SparkSession, folder: str) -> dict[str, tuple[str, str]]:
     for row in sorted(found):
         if row["suffix"] in TEXT_FORMATS or row["suffix"] in TYPED_FORMATS:
             name = re.sub(r"\.[^.]*$", "", row["child"])
+            if name in tables:
+                raise ValueError(f"two tables are named {name}: {tables[name][0]} and {root}/{row['child']}")
             tables[name] = (f"{root}/{row['child']}", row["suffix"])
     return tables
 

@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tablefacts.operators.facts import FACTS, insight_facts
+from tablefacts.operators.groups import NotComputable
 from tablefacts.operators.kpi import compute_kpis
 
 
@@ -148,7 +149,7 @@ def test_failures_stay_alone(shop):
 def test_three_specs_labels_and_order(shop):
     specs = [rate("A", "s", "ok"), rate("", "s", "ok"), matching("A", "s", "ok", "i"), rate("D", "s", "ok")]
     rows = [(r["kpi_idx"], r["label"], r["formatted"]) for r in compute_kpis(shop, specs).collect()]
-    assert rows == [(0, "A", "104")]
+    assert sorted(rows) == [(0, "A", "104"), (3, "D", None)]
     kept = [rate("A", "s", "ok"), rate("A", "nope", "ok")]
     assert [r["formatted"] for r in compute_kpis(shop, kept).collect()] == ["33.3%"]
     assert compute_kpis(shop, []).collect() == []
@@ -164,21 +165,35 @@ def facts(df, *columns):
     return insight_facts(df, list(columns)).first().asDict()
 
 
-def test_facts_goldens(sales, marketing):
-    got = facts(sales, "Region", "Revenue")
+def test_facts_goldens(harvest, visits):
+    got = facts(harvest, "Orchard", "Crates")
     assert [got[n] for n in FACTS] == [
-        "North", "385,000", "29.8%", "East", "380,000", "29.4%", "South", "258,000", "1,294,000", "323,500.00", "4",
+        "Hill", "9,500", "38.0%", "Lake", "9,500", "38.0%", "Dune", "0", "25,000", "6,250.00", "4",
     ]
-    got = facts(sales, "Product", "Revenue")
-    assert [got[n] for n in FACTS][:8] == [
-        "Widget C", "457,000", "35.3%", "Widget A", "429,000", "33.2%", "Widget B", "408,000",
-    ]
-    got = facts(marketing, "Quarter", "ROI %")
-    assert [got[n] for n in FACTS] == [
-        "Q4", "33.90", "31.2%", "Q3", "29.20", "26.9%", "Q1", "20.80", "108.70", "27.17", "4",
-    ]
-    got = facts(marketing, "Channel", "Spend")
-    assert (got["second_category"], got["bottom_category"], got["second_pct"]) == ("Retail", "Retail", "39.7%")
+    got = facts(harvest, "Fruit", "Crates")
+    assert [got[n] for n in FACTS][:8] == ["apple", "12,000", "48.0%", "pear", "8,000", "32.0%", "plum", "5,000"]
+    got = facts(visits, "Week", "Rain %")
+    assert [got[n] for n in FACTS] == ["W3", "55.00", "61.1%", "W1", "30.00", "33.3%", "W2", "5.00", "90.00", "30.00", "3"]
+    got = facts(visits, "Gate", "Visitors")
+    assert (got["second_category"], got["bottom_category"], got["second_pct"]) == ("south", "south", "40.0%")
+
+
+def test_facts_of_extremes(spark):
+    least = -(2**63)
+    df = spark.createDataFrame([("a", True, least), ("b", False, 7), ("c", None, None)], "k string, b boolean, n bigint")
+    got = insight_facts(df, ["k", "b"], agg="max").first()
+    assert (got["top_category"], got["bottom_category"], got["count"]) == ("a", "b", "2")
+    got = insight_facts(df, ["k", "n"], agg="min").first()
+    assert (got["top_category"], got["bottom_category"], got["bottom_number"]) == ("b", "a", float(least))
+    with pytest.raises(NotComputable):
+        insight_facts(df, ["k", "n"], agg="median")
+
+
+def test_kpis_beyond_the_limit_are_named(harvest):
+    specs = [rate(f"r{i}", "Fruit", "apple") for i in range(5)]
+    got = {r["label"]: r["status"] for r in compute_kpis(harvest, specs).collect()}
+    assert got == {"r0": "ok", "r1": "ok", "r2": "ok", "r3": "skipped: beyond the first 3", "r4": "skipped: beyond the first 3"}
+    assert {r["status"] for r in compute_kpis(harvest, specs, most=5).collect()} == {"ok"}
 
 
 def test_facts_edges(spark, shop):

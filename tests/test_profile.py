@@ -1,6 +1,7 @@
 import datetime
 import json
 import math
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,23 +14,43 @@ def by_column(profile):
     return {r["column"]: r.asDict(recursive=True) for r in profile.collect()}
 
 
-def test_sales(sales):
-    got = by_column(P.profile_table(sales, "Sales"))
-    revenue = got["Revenue"]
-    assert (revenue["int_sum"], revenue["mean"], revenue["median"], revenue["std_dev"]) == (
-        1294000, 107833.3333, 101500.0, 25229.2519,
-    )
-    units = got["Units Sold"]
-    assert (units["sum"], units["mean"], units["median"], units["std_dev"]) == (4830.0, 402.5, 390.0, 85.5065)
-    assert got["Region"]["unique_values"] == 4
-    assert got["Region"]["top_values"][0] == {"value": "East", "count": 3}
-    assert got["Region"]["identifier_like"] is False
-    assert {r["row_count"] for r in got.values()} == {12}
-
-
-def test_marketing(marketing):
-    roi = by_column(P.profile_table(marketing))["ROI %"]
-    assert (roi["mean"], roi["median"], roi["std_dev"], roi["label"]) == (13.5875, 12.95, 4.1804, "numeric (float)")
+def test_harvest(harvest):
+    got = by_column(P.profile_table(harvest, "Harvest"))
+    crates = [r["Crates"] for r in harvest.collect()]
+    assert (got["Crates"]["int_sum"], got["Crates"]["mean"], got["Crates"]["median"]) == (25000, 2500.0, 2250.0)
+    assert got["Crates"]["std_dev"] == round(statistics.stdev(crates), 4)
+    crew = got["Crew Size"]
+    assert (crew["sum"], crew["mean"], crew["median"], crew["std_dev"]) == (40.0, 4.0, 4.0, 1.8257)
+    assert got["Orchard"]["unique_values"] == 4
+    assert got["Orchard"]["top_values"][0] == {"value": "Hill", "count": 3}
+    assert got["Orchard"]["identifier_like"] is False
+    assert {r["row_count"] for r in got.values()} == {10}
+
+
+def test_visits(visits):
+    rain = by_column(P.profile_table(visits))["Rain %"]
+    assert (rain["mean"], rain["median"], rain["label"]) == (15.0, 15.0, "numeric (float)")
+
+
+def test_dates_do_not_depend_on_order(spark):
+    days = [datetime.date(2024, 1, 1) + datetime.timedelta(days=i) for i in range(300)]
+    texts = [d.strftime("%Y-%m-%d") for d in days[:120]] + [d.strftime("%m/%d/%Y") for d in days[120:]]
+    frame = spark.createDataFrame([(t,) for t in texts], "d string").coalesce(1)
+    profiles = [P.profile_table(f) for f in (frame, frame.orderBy(F.desc("d")), frame.repartition(5))]
+    assert len({tuple(map(str, p.collect())) for p in profiles}) == 1
+    got = by_column(profiles[0])["d"]
+    assert (got["label"], got["non_null"], got["min_date"]) == ("datetime (inferred)", 180, "2024-04-30T00:00:00")
+    late = spark.createDataFrame([("x",)] * 200 + [("  jan 02, 2024 ",)] * 300, "d string").coalesce(1)
+    assert by_column(P.profile_table(late))["d"]["max_date"] == "2024-01-02T00:00:00"
+    zones = spark.createDataFrame([("2024-01-01T23:30:00-01:00",), ("2024-01-01T00:00:00Z",)], "d string")
+    assert by_column(P.profile_table(zones))["d"]["max_date"] == "2024-01-02T00:30:00"
+
+
+def test_texts_that_get_long_late(spark):
+    rows = [(f"s{i % 7}",) for i in range(400)] + [("long " * 100 + str(i % 3),) for i in range(90)]
+    got = by_column(P.profile_table(spark.createDataFrame(rows, "s string").coalesce(1)))["s"]
+    assert (got["unique_values"], got["non_null"]) == (10, 490)
+    assert got["top_values"][0] == {"value": "s0", "count": 58}
 
 
 def test_one_row_and_missing(spark):
@@ -188,18 +209,18 @@ def test_even_medians_and_a_missed_bracket(spark, monkeypatch):
     assert M.exact_medians(wide, ["v"]) == {"v": 200000.0}
 
 
-def test_condense_and_json(spark, sales):
+def test_condense_and_json(spark, harvest):
     empty = spark.createDataFrame([], "a int")
     ids = spark.createDataFrame([(f"n{i}", 0.5 * i) for i in range(20)], "name string, x double")
-    profile = P.profile_workspace({"Sales": sales, "Empty": empty, "Ids": ids})
+    profile = P.profile_workspace({"Harvest": harvest, "Empty": empty, "Ids": ids})
     docs = {r["table"]: json.loads(r["json"]) for r in P.profile_to_json(profile).collect()}
-    assert list(docs["Sales"]["columns"]) == ["Region", "Product", "Revenue", "Units Sold"]
-    assert docs["Sales"]["columns"]["Revenue"]["sum"] == 1294000
+    assert list(docs["Harvest"]["columns"]) == ["Orchard", "Fruit", "Crates", "Crew Size"]
+    assert docs["Harvest"]["columns"]["Crates"]["sum"] == 25000
     assert docs["Ids"]["columns"]["x"]["sum"] == 95.0
     assert docs["Empty"]["row_count"] == 0 and docs["Empty"]["note"] == P.NOTE_EMPTY
     slim = {r["table"]: json.loads(r["json"]) for r in P.profile_to_json(P.condense(profile)).collect()}
-    assert slim["Sales"]["columns"]["Region"] == {
-        "type": "categorical / text", "unique_values": 4, "top_values": {"East": 3, "North": 3, "South": 3},
+    assert slim["Harvest"]["columns"]["Orchard"] == {
+        "type": "categorical / text", "unique_values": 4, "top_values": {"Hill": 3, "Lake": 3, "Mill": 3},
     }
     assert slim["Ids"]["columns"]["name"]["identifier_like"] is True
     assert "top_values" not in slim["Ids"]["columns"]["name"]

@@ -1,4 +1,4 @@
-"""The eight specs of the sample plan, end to end."""
+"""A plan over two tables, end to end."""
 
 import json
 
@@ -31,41 +31,35 @@ def average(label, by, value):
     return {"label": label, "type": "avg_per_group", "group_by": by, "value_col": value, "agg": "mean"}
 
 
+def rate(label, column, pattern):
+    return {"label": label, "type": "filtered_rate", "filter_col": column, "filter_contains": pattern}
+
+
+def peak(label, x, value):
+    return {"label": label, "type": "peak_point", "x_col": x, "value_col": value}
+
+
 PLAN = [
-    spec("Overview", "none", "text", [], "An overview."),
-    spec(
-        "Revenue by Region", "Sales", "bar", ["Region", "Revenue"],
-        "{{TOP_CATEGORY}} led with {{TOP_VALUE}}, {{TOP_PCT}} of {{TOTAL_VALUE}}; {{SECOND_CATEGORY}} {{SECOND_VALUE}} ({{SECOND_PCT}}).",
-        [total("Total Revenue", "Region", "Revenue"), top("Top Region", "Region", "Revenue")],
-    ),
     spec(
-        "Share", "Sales", "pie", ["Product", "Revenue"], "{{TOP_CATEGORY}} {{TOP_PCT}} {{SECOND_PCT}}",
-        [total("Total Revenue", "Product", "Revenue"), top("Top Product", "Product", "Revenue")],
+        "Wettest week", "Visits", "bar", ["week", "Rain%"], "{{TOP_CATEGORY}} had {{TOP_VALUE}} of {{TOTAL_VALUE}}, {{BOTTOM_CATEGORY}} {{BOTTOM_VALUE}}",
+        [peak("Peak", "Week", "Rain %"), average("Mean rain", "Week", "Rain %"), rate("North", "Gate", "NORTH")],
     ),
+    spec("Gates", "Visits", "pie", ["Gate", "Visitors"], "{{SECOND_CATEGORY}} {{SECOND_PCT}}", [total("South", "Gate", "Visitors") | {"filter_contains": "sou"}]),
+    spec("No table", "none", "text", ["x"], "Only words."),
     spec(
-        "ROI", "Marketing", "line", ["Quarter", "ROI %"],
-        "{{COUNT}} {{MEAN_VALUE}} {{TOP_VALUE}} {{BOTTOM_VALUE}} {{BOTTOM_CATEGORY}}",
-        [average("Avg ROI", "Quarter", "ROI %"), total("Max ROI", "Quarter", "ROI %")],
+        "Fruit", "Harvest", "bar", ["Fruit", "Crates", "crew size", "no such"], "{{COUNT}} kinds, {{MEAN_VALUE}} each",
+        [top("Most", "Fruit", "Crates"), top("Late", "Orchard", "Fruit") | {"agg": "max"}, total("All", "Fruit", "Crates"), total("Fourth", "Fruit", "Crates")],
     ),
-    spec(
-        "Spend", "Marketing", "table", ["Quarter", "Channel", "Spend", "ROI %"],
-        "{{TOTAL_VALUE}} {{TOP_CATEGORY}} {{TOP_VALUE}} {{TOP_PCT}}",
-        [total("Total Spend", "Quarter", "Spend"), top("Top Spend Channel", "Channel", "Spend")],
-    ),
-    spec(
-        "Unknown", "Sales", "bar", ["Region", "TotalRevenue"], "No placeholder.",
-        [total("Total Revenue", "Region", "TotalRevenue")],
-    ),
-    spec("Fuzzy", "Marketing", "bar", ["Channel", "ROI%"], "Fuzzy.", [average("Avg ROI", "Channel", "ROI%")]),
-    spec("Takeaways", "none", "text", [], "The end."),
+    spec("Crews", "Harvest", "table", ["Orchard", "Crew Size"], "{{TOP_CATEGORY}}"),
+    spec("Orchards", "Harvest", "line", ["Orchard", "Crates"], "as rows", [top("Bad", "Orchard", "nothing")]),
 ]
 
 
 @pytest.fixture(scope="module")
-def run(spark, sales, marketing):
+def run(spark, harvest, visits):
     text = "```json\n" + json.dumps({"slides": PLAN}) + "\n```"
     plans = spark.createDataFrame([("p", text)], "id string, body string")
-    run = run_specs(parse_specs(plans, "id", "body"), {"Sales": sales, "Marketing": marketing})
+    run = run_specs(parse_specs(plans, "id", "body"), {"Harvest": harvest, "Visits": visits})
     yield run
     run.release()
 
@@ -76,73 +70,63 @@ def rows(frame, *order):
 
 def test_status_and_texts(run):
     got = rows(run.status, "spec_id")
-    assert [r["rendered_as"] for r in got] == ["text", "bar", "pie", "line", "table", "bar", "bar", "text"]
+    assert [r["rendered_as"] for r in got] == ["bar", "pie", "text", "bar", "table", "line"]
     assert {r["status"] for r in got} == {"ok"}
     assert [r["insight_text"] for r in got] == [
-        "An overview.",
-        "North led with 385,000, 29.8% of 1,294,000; East 380,000 (29.4%).",
-        "Widget C 35.3% 33.2%",
-        "4 27.17 33.90 20.80 Q1",
-        "436,000 Q4 132,000 30.3%",
-        "No placeholder.",
-        "Fuzzy.",
-        "The end.",
-    ]
-    assert got[5]["unmatched"] == ["TotalRevenue"]
+        "W3 had 55.00 of 90.00, W2 5.00", "south 40.0%", "Only words.", "3 kinds, 8,333.33 each", "Lake", "as rows",
+    ]
+    assert got[3]["unmatched"] == ["no such"]
 
 
 def test_kpis(run):
     got = {(r["spec_id"], r["label"]): (r["formatted"], r["status"]) for r in rows(run.kpis, "spec_id")}
     assert got == {
-        ("1", "Total Revenue"): ("1,294,000", "ok"),
-        ("1", "Top Region"): ("North (385,000)", "ok"),
-        ("2", "Total Revenue"): ("1,294,000", "ok"),
-        ("2", "Top Product"): ("Widget C (457,000)", "ok"),
-        ("3", "Avg ROI"): ("13.6", "ok"),
-        ("3", "Max ROI"): ("108.7", "ok"),
-        ("4", "Total Spend"): ("436,000", "ok"),
-        ("4", "Top Spend Channel"): ("Online (263,000)", "ok"),
-        ("5", "Total Revenue"): (None, "skipped: unknown column in value_col"),
-        ("6", "Avg ROI"): ("13.6", "ok"),
+        ("0", "Peak"): ("W3 (30)", "ok"),
+        ("0", "Mean rain"): ("15", "ok"),
+        ("0", "North"): ("50%", "ok"),
+        ("1", "South"): ("2,400", "ok"),
+        ("3", "Most"): ("apple (12,000)", "ok"),
+        ("3", "Late"): ("Hill (plum)", "ok"),
+        ("3", "All"): ("25,000", "ok"),
+        ("3", "Fourth"): (None, "skipped: beyond the first 3"),
+        ("5", "Bad"): (None, "skipped: unknown column in value_col"),
     }
 
 
 def test_series(run):
-    got = rows(run.series, "spec_id", "series_idx", "ord")
     by_spec = {}
-    for r in got:
-        by_spec.setdefault(r["spec_id"], []).append((r["category"], r["series"], round(r["value"], 6)))
-    assert by_spec["1"] == [
-        ("East", "Revenue", 380000.0), ("North", "Revenue", 385000.0),
-        ("South", "Revenue", 258000.0), ("West", "Revenue", 271000.0),
-    ]
-    assert [c for c, _, _ in by_spec["3"]] == ["Q1", "Q1", "Q2", "Q2", "Q3", "Q3", "Q4", "Q4"]
-    assert by_spec["5"] == [(c, "Count", 3.0) for c in ("East", "North", "South", "West")]
-    assert by_spec["6"] == [("Online", "ROI %", 66.3), ("Retail", "ROI %", 42.4)]
+    for r in rows(run.series, "spec_id", "series_idx", "ord"):
+        by_spec.setdefault(r["spec_id"], []).append((r["category"], r["series"], r["value"]))
+    assert by_spec["0"] == [("W1", "Rain %", 30.0), ("W2", "Rain %", 5.0), ("W3", "Rain %", 55.0)]
+    assert by_spec["1"] == [("north", "Visitors", 3600.0), ("south", "Visitors", 2400.0)]
+    assert by_spec["3"] == [
+        ("apple", "Crates", 12000.0), ("pear", "Crates", 8000.0), ("plum", "Crates", 5000.0),
+        ("apple", "Crew Size", 17.0), ("pear", "Crew Size", 15.0), ("plum", "Crew Size", 8.0),
+    ]
+    assert [c for c, _, _ in by_spec["5"]] == ["Dune"] + ["Hill"] * 3 + ["Lake"] * 3 + ["Mill"] * 3
 
 
 def test_table(run):
     got = rows(run.tables, "ord")
-    assert len(got) == 8
-    assert got[0]["names"] == ["Quarter", "Channel", "Spend", "ROI %"]
-    assert got[0]["cells"] == ["Q1", "Online", "50000", "12.50"]
+    assert len(got) == 10 and got[0]["names"] == ["Orchard", "Crew Size"]
+    assert got[0]["cells"] == ["Hill", "5"]
 
 
-def test_bad_specs_fall_back_alone(spark, sales):
+def test_bad_specs_fall_back_alone(spark, harvest):
     empty = spark.createDataFrame([], "a string, b bigint")
     specs = [
         spec("a", "Nowhere", "bar", ["x"], "t"),
         spec("b", "Empty", "bar", ["a"], "t"),
-        spec("c", "Sales", "bar", ["nothing"], "{{TOP_VALUE}}"),
-        spec("d", "Sales", "bar", ["Region", "region"], "{{TOP_VALUE}}"),
-        spec("e", "Sales", "table", ["Region", "Revenue", "REVENUE"], "{{TOP_VALUE}}"),
-        spec("f", "Sales", "line", ["Region", "Product"], "x"),
-        spec("g", "Sales", "pie", ["Revenue"], "{{COUNT}}"),
-        spec("h", "Sales", "text", ["Region", "Revenue"], "{{TOP_CATEGORY}}"),
+        spec("c", "Harvest", "bar", ["nothing"], "{{TOP_VALUE}}"),
+        spec("d", "Harvest", "bar", ["Orchard", "orchard"], "{{TOP_VALUE}}"),
+        spec("e", "Harvest", "table", ["Orchard", "Crates", "CRATES"], "{{TOP_VALUE}}"),
+        spec("f", "Harvest", "line", ["Orchard", "Fruit"], "x"),
+        spec("g", "Harvest", "pie", ["Crates"], "{{COUNT}}"),
+        spec("h", "Harvest", "text", ["Orchard", "Crates"], "{{TOP_CATEGORY}}"),
         spec("i", "NONE", "text", [], "{{TOP_CATEGORY}}"),
-        spec("j", "Sales", "bar", "Region", "ok"),
+        spec("j", "Harvest", "bar", "Orchard", "ok"),
     ]
-    run = run_specs(specs, {"Sales": sales, "Empty": empty})
+    run = run_specs(specs, {"Harvest": harvest, "Empty": empty})
     got = [(r["rendered_as"], r["status"]) for r in rows(run.status, "spec_id")]
     assert got == [
         ("text", "fallback: no such table"),
@@ -157,20 +141,20 @@ def test_bad_specs_fall_back_alone(spark, sales):
         ("bar", "ok"),
     ]
     texts = [r["insight_text"] for r in rows(run.status, "spec_id")]
-    assert texts[7] == "North" and texts[6] == "12"
+    assert texts[7] == "Hill" and texts[6] == "9"
     run.release()
-    nested = sales.selectExpr("array(Region) AS Regions", "Revenue")
+    nested = harvest.selectExpr("array(Orchard) AS Orchards", "Crates + `Crew Size` AS Crates")
     run = run_specs(
-        [spec("k", "N", "bar", ["Regions", "Revenue"], "{{COUNT}}"),
-         spec("l", "N", "bar", ["Revenue", "Regions"], "x", [top("T", "Regions", "Revenue")])],
+        [spec("k", "N", "bar", ["Orchards", "Crates"], "{{COUNT}}"),
+         spec("l", "N", "bar", ["Crates", "Orchards"], "x", [top("T", "Orchards", "Crates")])],
         {"N": nested},
     )
     assert [(r["rendered_as"], r["status"]) for r in rows(run.status, "spec_id")] == [("text", "unfilled"), ("bar", "ok")]
     assert rows(run.kpis, "spec_id")[0]["status"] == "skipped: unsupported type"
-    assert [r["value"] for r in rows(run.series, "ord")] == [1.0] * 12
+    assert [r["value"] for r in rows(run.series, "ord")] == [1.0] * 10
     run.release()
     with pytest.raises(UnfilledTemplate):
-        run_specs(specs[2:3], {"Sales": sales}, strict=True)
+        run_specs(specs[2:3], {"Harvest": harvest}, strict=True)
 
 
 def test_awkward_column_names(spark):

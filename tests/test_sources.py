@@ -9,20 +9,20 @@ from tablefacts.sources.workspace import list_tables, load_workspace
 
 MESSY = ''',,,
 ,,,
-Quarter,Channel,Spend,ROI %
-Q1,Online,50000,12.5
-Q1,Retail,35000,8.3
-Q2,"On, ""line""",62000,15.1
+Week,Gate,Visitors,Rain %
+W1,north,1200,10.5
+W1,south,800,20.25
+W2,"no, ""rth""",1500,0.5
 ,,,
 
-Q2,Retail,NA,9.7
+W2,south,NA,4.75
 '''
 
 
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     root = tmp_path_factory.mktemp("my workspace")
-    (root / "Marketing Spend.csv").write_text("\ufeff" + MESSY, encoding="utf-8")
+    (root / "Gate Counts.csv").write_text("\ufeff" + MESSY, encoding="utf-8")
     (root / "Empty Sheet.csv").write_text("ColA,ColB\n,\n,\n")
     (root / "blank.csv").write_text("\n\n")
     (root / "Names.csv").write_text(" a ,A,,x,x,gone\n1,true,2024-01-02,07,1.5,\n2,false,2024-01-05,1e3,n/a,\n")
@@ -41,25 +41,25 @@ def rows(df, order="_row"):
 
 def test_listing(spark, folder):
     found = list_tables(spark, folder)
-    assert sorted(found) == ["Empty Sheet", "Marketing Spend", "Names", "blank", "parts", "tabs"]
+    assert sorted(found) == ["Empty Sheet", "Gate Counts", "Names", "blank", "parts", "tabs"]
 
 
 def test_messy_sheet(spark, folder):
-    table = load_workspace(spark, folder, keep_order=True)["Marketing Spend"]
-    assert table.columns == ["Quarter", "Channel", "Spend", "ROI %", "_row"]
-    assert dict(table.dtypes)["Spend"] == "bigint" and dict(table.dtypes)["ROI %"] == "double"
+    table = load_workspace(spark, folder, keep_order=True)["Gate Counts"]
+    assert table.columns == ["Week", "Gate", "Visitors", "Rain %", "_row"]
+    assert dict(table.dtypes)["Visitors"] == "bigint" and dict(table.dtypes)["Rain %"] == "double"
     assert rows(table) == [
-        ("Q1", "Online", 50000, 12.5),
-        ("Q1", "Retail", 35000, 8.3),
-        ("Q2", 'On, "line"', 62000, 15.1),
-        ("Q2", "Retail", None, 9.7),
+        ("W1", "north", 1200, 10.5),
+        ("W1", "south", 800, 20.25),
+        ("W2", 'no, "rth"', 1500, 0.5),
+        ("W2", "south", None, 4.75),
     ]
 
 
 def test_header_detection_off(spark, folder):
-    table = load_workspace(spark, folder, header_detection=False, keep_order=True)["Marketing Spend"]
+    table = load_workspace(spark, folder, header_detection=False, keep_order=True)["Gate Counts"]
     assert table.columns[:-1] == ["Column_1", "Column_2", "Column_3", "Column_4"]
-    assert rows(table)[0] == ("Quarter", "Channel", "Spend", "ROI %")
+    assert rows(table)[0] == ("Week", "Gate", "Visitors", "Rain %")
 
 
 def test_names_types_and_empty_columns(spark, folder):
@@ -77,7 +77,7 @@ def test_other_text_tables(spark, folder):
     assert C.is_empty_table(tables["Empty Sheet"]) and C.is_empty_table(tables["blank"])
 
 
-def test_gate(spark, folder, sales):
+def test_gate(spark, folder):
     tables = load_workspace(spark, folder)
     gate = C.validate_workspace(profile_workspace(tables)).first()
     assert (gate["tables"], gate["columns"], gate["usable"]) == (4, 13, True)
@@ -88,7 +88,7 @@ def test_gate(spark, folder, sales):
 def test_header_of_many_sources_in_one_job(spark, folder):
     grid = G.load_grid(spark, folder + "/*.csv")
     got = {r["source"]: (r["header_row"], r["score"]) for r in G.detect_header(G.head_rows(grid)).collect()}
-    assert got["Marketing Spend"] == (2, 4) and got["Names"] == (0, 4) and got["blank"] == (0, 0)
+    assert got["Gate Counts"] == (2, 4) and got["Names"] == (0, 4) and got["blank"] == (0, 0)
 
 
 def test_header_scores(spark):
@@ -159,28 +159,35 @@ def test_empty_rows_and_columns(spark):
     assert not C.is_empty_table(df) and C.is_empty_table(df.where("a is null"))
 
 
-def test_sinks(spark, sales, tmp_path):
-    write_frames({"sales": sales, "more": sales}, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out" / "sales")).count() == 12
-    write_profile_json(profile_workspace({"Sales": sales}), str(tmp_path / "json"))
+def test_sinks(spark, harvest, tmp_path):
+    write_frames({"harvest": harvest, "more": harvest}, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out" / "harvest")).count() == 10
+    write_profile_json(profile_workspace({"Harvest": harvest}), str(tmp_path / "json"))
     doc = spark.read.json(str(tmp_path / "json")).first()
-    assert doc["columns"]["Revenue"]["sum"] == 1294000
+    assert doc["columns"]["Crates"]["sum"] == 25000
 
 
 def test_landing(spark, folder, tmp_path):
     tables = load_workspace(spark, folder)
-    some = {n: tables[n] for n in ("Marketing Spend", "Names")}
+    some = {n: tables[n] for n in ("Gate Counts", "Names")}
     landed = land(spark, some, str(tmp_path / "landed"))
     for n in some:
         assert landed[n].dtypes == some[n].dtypes
         assert sorted(landed[n].collect(), key=str) == sorted(some[n].collect(), key=str)
 
 
-def test_typed_sources_keep_their_order(spark, sales, tmp_path):
-    sales.coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
-    sales.write.orc(str(tmp_path / "o.orc"))
+def test_typed_sources_keep_their_order(spark, harvest, tmp_path):
+    harvest.coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    harvest.write.orc(str(tmp_path / "o.orc"))
     tables = load_workspace(spark, str(tmp_path), keep_order=True)
-    got = [r["Revenue"] for r in tables["t"].orderBy("_row").collect()]
-    assert got == [r["Revenue"] for r in sales.collect()]
+    got = [r["Crates"] for r in tables["t"].orderBy("_row").collect()]
+    assert got == [r["Crates"] for r in harvest.collect()]
     assert "_row" not in load_workspace(spark, str(tmp_path))["t"].columns
-    assert tables["o"].count() == 12
+    assert tables["o"].count() == 10
+
+
+def test_two_tables_of_one_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,v\na,1\n")
+    (tmp_path / "a.tsv").write_text("k\tv\na\t1\n")
+    with pytest.raises(ValueError, match="two tables are named a"):
+        list_tables(spark, str(tmp_path))

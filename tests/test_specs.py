@@ -76,24 +76,24 @@ def test_kpis_and_columns(spark):
     assert [r["data_columns"] for r in got[5:]] == [["only"], ["a", "2"], []]
 
 
-def test_resolve_requests(spark, sales):
+def test_resolve_requests(spark, harvest):
     asked = spark.createDataFrame(
-        [(1, "Sales", "units sold"), (2, "Sales", "UnitsSold "), (3, "Sales", "nope"), (4, "Other", "Region")],
+        [(1, "Sales", "units sold"), (2, "Sales", "UnitsSold "), (3, "Harvest", "nope"), (4, "Other", "Orchard")],
         "id int, table string, requested string",
     )
-    names = catalog({"Sales": sales}).union(spark.createDataFrame([("Sales", 9, "UNITSSOLD")], "t string, o int, c string"))
+    names = catalog({"Harvest": harvest}).union(spark.createDataFrame([("Harvest", 9, "CREWSIZE")], "t string, o int, c string"))
     got = {r["id"]: r["matched"] for r in resolve_requests(asked, names).collect()}
-    assert got == {1: "Units Sold", 2: "Units Sold", 3: None, 4: None}
+    assert got == {1: "Crew Size", 2: "Crew Size", 3: None, 4: None}
 
 
-def test_templates(spark, sales):
+def test_templates(spark, harvest):
     texts = spark.createDataFrame(
         [("0", "{{TOP_CATEGORY}} {{COUNT}} {{TOP_CATEGORY}} {{OTHER}}"), ("1", "{{COUNT}}"), ("2", None), ("3", "plain")],
         "spec_id string, insight_text string",
     )
-    done = fill_template(texts, insight_facts(sales, ["Region", "Revenue"]))
+    done = fill_template(texts, insight_facts(harvest, ["Orchard", "Crates"]))
     got = {r["spec_id"]: r["insight_text"] for r in done.collect()}
-    assert got == {"0": "North 4 North {{OTHER}}", "1": "{{COUNT}}", "2": None, "3": "plain"}
+    assert got == {"0": "Hill 4 Hill {{OTHER}}", "1": "{{COUNT}}", "2": None, "3": "plain"}
     assert sorted(r["spec_id"] for r in unfilled(done).collect()) == ["0", "1"]
 
 
