@@ -78,7 +78,7 @@ def test_kpis_and_columns(spark):
 
 def test_resolve_requests(spark, harvest):
     asked = spark.createDataFrame(
-        [(1, "Sales", "units sold"), (2, "Sales", "UnitsSold "), (3, "Harvest", "nope"), (4, "Other", "Orchard")],
+        [(1, "Harvest", "crew size"), (2, "Harvest", "CrewSize "), (3, "Harvest", "nope"), (4, "Other", "Orchard")],
         "id int, table string, requested string",
     )
     names = catalog({"Harvest": harvest}).union(spark.createDataFrame([("Harvest", 9, "CREWSIZE")], "t string, o int, c string"))
