@@ -12,11 +12,11 @@ from .cleanup import present_text
 HEADER_SCAN_ROWS = 10
 
 # What counts as a number or a truth value in a text cell.
-INTEGER_TEXT = r"^[+-]?\d{1,18}$"
+INTEGER_TEXT = r"^[+-]?\d{1,38}$"
 NUMBER_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 TRUTH_TEXTS = ["TRUE", "True", "true", "FALSE", "False", "false"]
 
-TABLES = {"bigint": "integers", "double": "numbers", "boolean": "truths"}
+TABLES = {"bigint": "integers", "decimal(38,0)": "wide", "double": "numbers", "boolean": "truths"}
 
 
 def split_line(line: Column, separator: str = ",") -> Column:
@@ -112,14 +112,15 @@ def promote_header(grid: DataFrame, header_row: int, names: list[str]) -> DataFr
 
 
 def column_facts(body: DataFrame) -> DataFrame:
-    """``position, filled, integers, numbers, truths``: what the cells of every column
+    """``position, filled, integers, wide, numbers, truths``: what the cells of every column
     hold. One pass answers how wide the grid is, which columns are empty and how the
     others are to be typed."""
     cells = body.select(F.posexplode("cells").alias("position", "cell"))
     text = F.trim("cell")
     return cells.groupBy("position").agg(
         F.count("cell").alias("filled"),
-        F.count_if(text.rlike(INTEGER_TEXT)).alias("integers"),
+        F.count_if(text.rlike(INTEGER_TEXT) & text.try_cast("bigint").isNotNull()).alias("integers"),
+        F.count_if(text.rlike(INTEGER_TEXT)).alias("wide"),
         F.count_if(text.rlike(NUMBER_TEXT)).alias("numbers"),
         F.count_if(text.isin(TRUTH_TEXTS)).alias("truths"),
     )
