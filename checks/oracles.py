@@ -471,7 +471,7 @@ ORACLES = {
     "header_detect": detected(10),
     "header_detect_off": f"SELECT source, header_row, score FROM ({detected(1)})",
     "header_promote": """SELECT c_name AS "Name", CAST(c_nationkey AS VARCHAR) AS "Nation",
-      CAST(c_acctbal AS VARCHAR) AS "Balance" FROM customer WHERE c_mktsegment = 'BUILDING'""",
+      CAST(c_acctbal AS VARCHAR) AS "Balance" FROM customer""",
     "grid_table": """SELECT c_name AS "Name", CAST(c_nationkey AS BIGINT) AS "Nation", c_acctbal AS "Balance",
       c_mktsegment AS "Column_4", c_acctbal >= 0 AS "Name_2" FROM customer""",
     "empty_rows": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'F'",
@@ -685,7 +685,7 @@ ORACLES = {
       FROM orders, (VALUES ('up'), ('down')) s(sorted) GROUP BY s.sorted""",
     "datetime_zones": """SELECT 'datetime (inferred)' AS label, count(*) AS non_null,
       strftime(max(date_trunc('second', ts)), '%Y-%m-%dT%H:%M:%S') AS max_date FROM events""",
-    "series_positions": "SELECT CAST(o_orderkey AS VARCHAR) AS category, 'o_totalprice' AS series, o_totalprice AS value FROM orders",
+    "series_positions": "SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS VARCHAR) AS category, 'o_totalprice' AS series, o_totalprice AS value FROM orders",
     "table_extract": "SELECT s_name, s_acctbal, s_nationkey FROM supplier",
     "table_cells": f"""SELECT CAST(event_id AS VARCHAR) AS event_id, {stamp('ts')} AS ts,
       CASE WHEN value <= 20 THEN {two('value')} ELSE '—' END AS value,

@@ -172,7 +172,8 @@ def header_detect_off(spark, sf_dir):
 
 
 def header_promote(spark, sf_dir):
-    grid = _segment_grid(spark, sf_dir).where(F.col("source") == "BUILDING")
+    """The grids of all segments, each below its own header."""
+    grid = _segment_grid(spark, sf_dir)
     return promote_header(grid, 2, ["Name", "Nation", "Balance"]).drop(ROW)
 
 
@@ -730,8 +731,11 @@ def boolean_bars(spark, sf_dir):
 
 
 def position_line(spark, sf_dir):
-    """A single numeric column against the position of its rows."""
-    prices = read(spark, sf_dir, "orders").select("o_totalprice", F.col("o_orderkey").alias(ROW))
+    """A single numeric column against the position of its rows, in a table of three files."""
+    folder = shared_folder(spark)
+    orders = read(spark, sf_dir, "orders").repartitionByRange(3, "o_orderkey").sortWithinPartitions("o_orderkey")
+    orders.select("o_totalprice").write.parquet(f"{folder}/prices.parquet")
+    prices = load_workspace(spark, folder, keep_order=True)["prices"]
     return chart_series(prices, ["o_totalprice"], "line").select("category", "series", "value")
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 ROW = "_row"
 """Optional source-order column; any orderable type, never treated as data."""
@@ -34,6 +36,24 @@ def data_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != ROW]
 
 
+def local_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
+    """Rows the driver holds, as a frame of a size that Spark knows: its own threshold then
+    decides whether a join broadcasts it."""
+    fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(fields)
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), fields)
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    """All rows of frames with equal columns. Joined in pairs, so that no frame is looked
+    through more often than the logarithm of their number."""
+    while len(frames) > 1:
+        pairs = [frames[i : i + 2] for i in range(0, len(frames), 2)]
+        frames = [p[0].unionByName(p[1]) if len(p) > 1 else p[0] for p in pairs]
+    return frames[0]
+
+
 def dtype_of(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 

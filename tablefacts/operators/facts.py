@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import dtype_of, is_addable, total
+from ..functions.columns import dtype_of, is_addable, total, union_all
 from ..functions.formats import (
     NO_CATEGORY,
     NO_SHARE,
@@ -67,66 +67,67 @@ def insight_facts(
 ) -> DataFrame:
     """One row with the eleven facts as text, and their numbers beside them."""
     category, measure = fact_measure(df, columns, agg)
-    return merge_facts([fact_parts(group(df, category, [measure]), measure, spec_id)])
+    return finish_facts([fact_rows(group(df, category, [measure]), {measure: [spec_id]})])
 
 
-def fact_parts(groups: Groups, measure: Measure, spec_id: str) -> DataFrame:
-    """The partial rows of one spec: its two leaders, and its totals.
-
-    Equal values rank by category ascending. The leaders are a top-2 and the rest
-    one aggregate, so no group list is ever sorted or gathered as a whole.
-    """
-    vtype, ktype, amount = groups.value_type(measure), groups.key_type, groups.value(measure)
+def _place(groups: Groups, measure: Measure) -> tuple[Column, Column, T.DataType]:
+    """The place of a group in the ranking of a measure, its amount and the amount's type."""
+    vtype, amount = groups.value_type(measure), groups.value(measure)
     if isinstance(vtype, T.BooleanType):
         vtype, amount = T.LongType(), amount.cast("bigint")
     # Negated as a decimal, which holds the negative of the least bigint too.
-    negative = -amount.cast("decimal(20,0)") if isinstance(vtype, T.LongType) else -amount
-    ranked = groups.frame.where(amount.isNotNull()).select(negative.alias("down"), F.col(KEY).alias("key"))
-    back = "bigint" if isinstance(vtype, T.LongType) else vtype
-    place = F.struct("down", "key")
-    leaders = ranked.orderBy("down", "key").limit(2).agg(
-        F.min(place).alias("first"), F.max(place).alias("next"), F.count(F.lit(1)).alias("n")
-    )
-    sums = ranked.agg(
-        F.max(place).alias("last"), total((-F.col("down")).cast(back), vtype).alias("total"), F.count(F.lit(1)).alias("n")
-    )
+    down = -amount.cast("decimal(20,0)") if isinstance(vtype, T.LongType) else -amount
+    return F.when(amount.isNotNull(), F.struct(down.alias("down"), F.col(KEY).alias("key"))), amount, vtype
 
-    def key(field: str):
-        return plain_text(F.col(f"{field}.key"), ktype)
-
-    def value(field: str):
-        return (-F.col(f"{field}.down")).cast(back)
-
-    two = F.col("n") > 1
-    leaders = leaders.select(
-        F.lit(spec_id).alias("spec_id"),
-        key("first").alias("top_category"),
-        fact_text(value("first"), vtype).alias("top_value"),
-        value("first").cast("double").alias("top_number"),
-        F.when(two, key("next")).alias("second_category"),
-        F.when(two, fact_text(value("next"), vtype)).alias("second_value"),
-        F.when(two, value("next").cast("double")).alias("second_number"),
-    )
-    sums = sums.select(
-        F.lit(spec_id).alias("spec_id"),
-        key("last").alias("bottom_category"),
-        fact_text(value("last"), vtype).alias("bottom_value"),
-        value("last").cast("double").alias("bottom_number"),
-        fact_text(F.col("total"), vtype).alias("total_value"),
-        F.col("total").cast("double").alias("total_number"),
-        F.when(F.col("n") > 0, F.col("total").cast("double") / F.col("n")).alias("mean_number"),
-        F.col("n").alias("count_number"),
-    )
-    return leaders.unionByName(sums, allowMissingColumns=True)
 
+def fact_rows(groups: Groups, asked: dict[Measure, list[str]]) -> DataFrame:
+    """One row for each of the specs that ask a measure of one grouping.
 
-def merge_facts(parts: list[DataFrame]) -> DataFrame:
-    """Bring the two partial rows of every spec together."""
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    names = [c for c in rows.columns if c != "spec_id"]
-    rows = rows.groupBy("spec_id").agg(*[F.max(c).alias(c) for c in names])
+    Equal values rank by category ascending. The leaders of all measures are one aggregate,
+    read as a subquery of one row; the seconds are the least places after them, in one
+    more aggregate with the totals. No group list is ever sorted or gathered as a whole.
+    """
+    ranked = [_place(groups, m) for m in asked]
+    leaders = groups.frame.agg(*[F.min(p).alias(f"f{i}") for i, (p, _, _) in enumerate(ranked)])
+    first = leaders.select(F.struct(*leaders.columns).alias("first")).scalar()
+    aggregates = []
+    for i, (place, amount, vtype) in enumerate(ranked):
+        aggregates += [
+            F.min(F.when(place > first[f"f{i}"], place)).alias(f"next{i}"),
+            F.max(place).alias(f"last{i}"),
+            total(amount, vtype).alias(f"total{i}"),
+            F.count(amount).alias(f"n{i}"),
+        ]
+    row = groups.frame.agg(*aggregates).select("*", first.alias("first"))
+
+    def facts(i: int, ids: list[str]) -> Column:
+        vtype = ranked[i][2]
+        back = "bigint" if isinstance(vtype, T.LongType) else vtype
+        places = {"top": F.col("first")[f"f{i}"], "second": F.col(f"next{i}"), "bottom": F.col(f"last{i}")}
+        parts = [F.array(*[F.lit(s) for s in ids]).alias("ids")]
+        for name, place in places.items():
+            value = (-place["down"]).cast(back)
+            parts += [
+                plain_text(place["key"], groups.key_type).alias(f"{name}_category"),
+                fact_text(value, vtype).alias(f"{name}_value"),
+                value.cast("double").alias(f"{name}_number"),
+            ]
+        whole, n = F.col(f"total{i}"), F.col(f"n{i}")
+        parts += [
+            fact_text(whole, vtype).alias("total_value"),
+            whole.cast("double").alias("total_number"),
+            F.when(n > 0, whole.cast("double") / n).alias("mean_number"),
+            n.alias("count_number"),
+        ]
+        return F.struct(*parts)
+
+    rows = row.select(F.inline(F.array(*[facts(i, ids) for i, ids in enumerate(asked.values())])))
+    return rows.select(F.explode("ids").alias("spec_id"), *rows.drop("ids").columns)
+
+
+def finish_facts(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all groupings as the eleven facts and their numbers."""
+    rows = union_all(parts)
     top_share = share(F.col("top_number"), F.col("total_number"))
     second_share = share(F.col("second_number"), F.col("total_number"))
     texts = {

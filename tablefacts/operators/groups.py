@@ -73,10 +73,26 @@ def check_category(df: DataFrame, name: str) -> None:
         raise NotComputable("unsupported type")
 
 
-def group(df: DataFrame, category: str, measures: list[Measure]) -> Groups:
-    """Group by the non-null categories; combined map-side, so hot keys stay small."""
+def text_extreme(df: DataFrame, measure: Measure) -> str | None:
+    """The column of a text maximum or minimum. Such a measure is grouped apart, as texts
+    have no place in a hash aggregate and would make it sort the source."""
+    agg, name = measure
+    return name if agg in ("max", "min") and is_text(dtype_of(df, name)) else None
+
+
+def group(df: DataFrame, category: str, measures: list[Measure], apart: str | None = None) -> Groups:
+    """Group by the non-null categories; combined map-side, so hot keys stay small.
+
+    Extremes of the text column ``apart`` are taken from its distinct pairs with the
+    category, which a hash aggregate finds."""
     wanted = list(dict.fromkeys(measures))
     names = {m: f"m{i}" for i, m in enumerate(wanted)}
+    if apart is not None:
+        pairs = df.where(col(category).isNotNull()).groupBy(col(category).alias(KEY), col(apart).alias("text"))
+        # The count keeps the optimizer from folding this step into the next one.
+        pairs = pairs.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 0)
+        extremes = [(F.max("text") if m[0] == "max" else F.min("text")).alias(names[m]) for m in wanted]
+        return Groups(pairs.groupBy(KEY).agg(*extremes), names)
     exprs = [measure_expr(df, m).alias(names[m]) for m in wanted]
     frame = df.where(col(category).isNotNull()).groupBy(col(category).alias(KEY)).agg(*exprs)
     return Groups(frame, names)
@@ -84,22 +100,23 @@ def group(df: DataFrame, category: str, measures: list[Measure]) -> Groups:
 
 @dataclass
 class GroupCache:
-    """Collects the measures wanted per (table, category) and groups each once.
+    """Collects the measures wanted per (table, category) and groups each once, those of a
+    text column ``apart`` on their own.
 
     With ``keep`` a grouping that several results use is persisted, not its source; lost
     blocks are computed again from the source."""
 
     keep: bool = False
-    wanted: dict[tuple[str, str], list[Measure]] = field(default_factory=dict)
-    made: dict[tuple[str, str], Groups] = field(default_factory=dict)
+    wanted: dict[tuple[str, str, str | None], list[Measure]] = field(default_factory=dict)
+    made: dict[tuple[str, str, str | None], Groups] = field(default_factory=dict)
 
-    def want(self, table: str, category: str, measure: Measure) -> None:
-        self.wanted.setdefault((table, category), []).append(measure)
+    def want(self, table: str, category: str, measure: Measure, apart: str | None = None) -> None:
+        self.wanted.setdefault((table, category, apart), []).append(measure)
 
-    def get(self, df: DataFrame, table: str, category: str) -> Groups:
-        key = (table, category)
+    def get(self, df: DataFrame, table: str, category: str, apart: str | None = None) -> Groups:
+        key = (table, category, apart)
         if key not in self.made:
-            groups = group(df, category, self.wanted[key])
+            groups = group(df, category, self.wanted[key], apart)
             if self.keep and len(self.wanted[key]) > 1:
                 groups.frame.persist(StorageLevel.MEMORY_AND_DISK)
             self.made[key] = groups

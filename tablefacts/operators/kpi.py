@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,12 +16,14 @@ from ..functions.columns import (
     is_datetime,
     is_integer,
     is_text,
+    local_frame,
     mean,
     total,
+    union_all,
 )
 from ..functions.formats import key_text, single_value_text
 from ..functions.names import resolve_columns
-from .groups import AGGREGATES, KEY, GroupCache, Groups, NotComputable, check_category
+from .groups import AGGREGATES, KEY, GroupCache, Groups, NotComputable, check_category, text_extreme
 
 # The spec vocabulary and how many KPIs a spec may carry.
 TYPES = ("extreme_category", "avg_per_group", "filtered_rate", "filtered_sum", "peak_point")
@@ -49,10 +53,13 @@ def resolve_kpi(spec: dict, columns: list[str]) -> dict:
     return resolved
 
 
-def check_pattern(spark: SparkSession, pattern: str) -> None:
-    """Reject a pattern Java cannot compile before it can fail a whole job."""
+@lru_cache(maxsize=10_000)
+def check_pattern(pattern: str) -> None:
+    """Reject a pattern Java cannot compile before it can fail a whole job. A row that the
+    driver holds is searched while the query is planned, without a job."""
+    text = local_frame(SparkSession.active(), [("",)], "text string")
     try:
-        spark.sql("SELECT '' AS text").select(_matches(F.col("text"), pattern)).first()
+        text.select(_matches(F.col("text"), pattern)).first()
     except Exception as error:
         raise NotComputable("bad pattern") from error
 
@@ -110,7 +117,7 @@ class Plan:
         if kind not in TYPES:
             raise NotComputable("unknown type")
         self.kind, self.df = kind, df
-        self.category = self.measure = None
+        self.category = self.measure = self.apart = None
         if kind in ("extreme_category", "avg_per_group"):
             self._plan_grouped(spec)
         elif kind == "peak_point":
@@ -134,6 +141,7 @@ class Plan:
             raise NotComputable("unsupported type")
         self.lowest = self.kind == "extreme_category" and _field(spec, "which") == "min"
         self.measure = (agg, value)
+        self.apart = text_extreme(self.df, self.measure)
 
     def _plan_filtered(self, spec: dict) -> None:
         column = _column(self.df, spec, "filter_col")
@@ -142,7 +150,7 @@ class Plan:
         pattern = _field(spec, "filter_contains")
         if not isinstance(pattern, str):
             raise NotComputable("bad pattern")
-        check_pattern(self.df.sparkSession, pattern)
+        check_pattern(pattern)
         hit = _matches(col(column), pattern)
         if self.kind == "filtered_rate":
             self.aggregates = [
@@ -236,7 +244,7 @@ def plan_kpis(df: DataFrame, specs: list[dict], most: int = MOST_KPIS) -> list[t
 def want_groups(cache: GroupCache, table: str, planned: list) -> None:
     for _, _, plan in planned:
         if isinstance(plan, Plan) and plan.category is not None:
-            cache.want(table, plan.category, plan.measure)
+            cache.want(table, plan.category, plan.measure, plan.apart)
 
 
 def compute_kpis(df: DataFrame, specs: list[dict], spec_id: str = "0", most: int = MOST_KPIS) -> DataFrame:
@@ -257,7 +265,7 @@ def kpi_rows(df: DataFrame, table: str, planned: list, cache: GroupCache) -> lis
         elif plan.category is None:
             scalars.append(entry)
         else:
-            grouped.setdefault(plan.category, []).append(entry)
+            grouped.setdefault((plan.category, plan.apart), []).append(entry)
 
     if skipped:
         rows = [
@@ -270,8 +278,8 @@ def kpi_rows(df: DataFrame, table: str, planned: list, cache: GroupCache) -> lis
         row = df.agg(*aggs)
         results = [(e, e[3].scalar_result(F.col(f"a{n}"))) for n, e in enumerate(scalars)]
         frames.append(_stack(row, results))
-    for category, entries in grouped.items():
-        groups = cache.get(df, table, category)
+    for (category, apart), entries in grouped.items():
+        groups = cache.get(df, table, category, apart)
         reduced = [(e, e[3].grouped_reduction(groups)) for e in entries]
         together = [(e, r) for e, r in reduced if r is not None]
         if together:
@@ -323,9 +331,7 @@ def finish_kpis(frames: list[DataFrame], spark: SparkSession) -> DataFrame:
     """All KPI rows; of equal labels in a spec the last computed one takes the first place."""
     if not frames:
         return spark.createDataFrame([], RESULT_SCHEMA)
-    rows = frames[0]
-    for frame in frames[1:]:
-        rows = rows.unionByName(frame)
+    rows = union_all(frames)
     whole = F.struct(*[F.col(c) for c in rows.columns])
     place = F.when(F.col("status") == OK, F.col("kpi_idx"))
     kept = rows.groupBy(F.col("spec_id").alias("s"), F.col("label").alias("l")).agg(

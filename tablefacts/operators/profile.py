@@ -26,6 +26,7 @@ from ..functions.columns import (
     dtype_of,
     float_sum,
     label_of,
+    local_frame,
 )
 from ..functions.dates import parse_date, pattern_of, pattern_order
 from ..functions.formats import iso_text
@@ -349,7 +350,8 @@ def profile_table(df: DataFrame, name: str = "", top_n: int = TOP_VALUES) -> Dat
 
 def _to_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
     names = [f.split()[0] for f in PROFILE_SCHEMA.split(", ")]
-    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], PROFILE_SCHEMA)
+    listed = [r | {"top_values": r.get("top_values") and [{"value": v, "count": n} for v, n in r["top_values"]]} for r in rows]
+    return local_frame(spark, [tuple(r.get(n) for n in names) for r in listed], PROFILE_SCHEMA)
 
 
 def _profile_rows(df: DataFrame, name: str, top_n: int) -> list[dict]:

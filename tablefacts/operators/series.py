@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import ROW, col, dtype_of, is_addable, number
+from ..functions.columns import ROW, col, dtype_of, is_addable, is_integer, number
 from ..functions.formats import category_text, cell_text
-from .groups import KEY, ROWS, GroupCache, Groups, Measure, NotComputable, check_category
+from .groups import KEY, ROWS, GroupCache, Measure, NotComputable, check_category
 
 # The row count up to which a line keeps its rows, and a count's name.
 MOST_RAW_ROWS = 20
 COUNT_SERIES = "Count"
 
+BLOCK_BITS = 20
+"""Positions are counted in blocks of so many bits of the row order."""
+
 SERIES_COLUMNS = ["spec_id", "ord", "category", "series_idx", "series", "value"]
 
 
@@ -39,16 +45,29 @@ def check_roles(df: DataFrame, columns: list[str]) -> tuple[str, list[str]]:
     check_category(df, category)
     if category in values:
         raise NotComputable("duplicate column")
-    if not values and is_addable(dtype_of(df, category)) and ROW not in df.columns:
+    if not values and is_addable(dtype_of(df, category)) and not _is_numbered(df):
         raise NotComputable("single numeric column")
     return category, values
 
 
+def _is_numbered(df: DataFrame) -> bool:
+    """Whether the rows carry an order that positions can be counted from."""
+    if ROW not in df.columns:
+        return False
+    dtype = dtype_of(df, ROW)
+    return is_integer(dtype.fields[-1].dataType if isinstance(dtype, T.StructType) else dtype)
+
+
 def is_long(df: DataFrame) -> bool:
     """Whether a line has too many rows to be drawn row by row; reads a few rows only."""
     return len(df.select(F.lit(1)).take(MOST_RAW_ROWS + 1)) > MOST_RAW_ROWS
 
 
+class SeriesPlan:
+    def __init__(self, kind: str, category: str, measures: list, values: list[str] | None = None):
+        self.kind, self.category, self.measures, self.values = kind, category, measures, values
+
+
 def chart_series(
     df: DataFrame, columns: list[str], chart_type: str, spec_id: str = "0"
 ) -> DataFrame:
@@ -58,10 +77,12 @@ def chart_series(
     if plan.measures:
         for _, measure in plan.measures:
             cache.want("", plan.category, measure)
-    return plan.rows(df, "", cache, spec_id)
+    return series_rows([(spec_id, "", df, plan)], cache)[0]
 
 
-def plan_series(df: DataFrame, columns: list[str], chart_type: str) -> "SeriesPlan":
+def plan_series(
+    df: DataFrame, columns: list[str], chart_type: str, is_long: Callable[[DataFrame], bool] = is_long
+) -> SeriesPlan:
     category, values = check_roles(df, columns)
     if not values and is_addable(dtype_of(df, category)):
         return SeriesPlan("position", category, [])
@@ -73,62 +94,73 @@ def plan_series(df: DataFrame, columns: list[str], chart_type: str) -> "SeriesPl
     return SeriesPlan("grouped", category, measures)
 
 
-class SeriesPlan:
-    def __init__(self, kind: str, category: str, measures: list, values: list[str] | None = None):
-        self.kind, self.category, self.measures, self.values = kind, category, measures, values
-
-    def rows(self, df: DataFrame, table: str, cache: GroupCache, spec_id: str) -> DataFrame:
-        if self.kind == "grouped":
-            groups = cache.get(df, table, self.category)
-            return grouped_series(groups, self.measures, spec_id)
-        if self.kind == "raw":
-            return raw_series(df, self.category, self.values, spec_id)
-        return position_series(df, self.category, spec_id)
-
-
-def grouped_series(groups: Groups, measures: list[tuple[str, Measure]], spec_id: str) -> DataFrame:
-    """One value per category and measure, categories ascending."""
-    values = [(name, groups.value(m)) for name, m in measures]
-    category = category_text(F.col(KEY), groups.key_type)
-    return _long(groups.frame.orderBy(KEY), category, values, spec_id)
-
-
-def raw_series(df: DataFrame, category: str, values: list[str], spec_id: str) -> DataFrame:
-    """The rows of a short line in category order, missing categories last."""
-    ties = [ROW] if ROW in df.columns else [col(v) for v in values]
-    ordered = df.orderBy(col(category).asc_nulls_last(), *ties)
-    columns = [(v, number(col(v), dtype_of(df, v))) for v in values]
-    return _long(ordered, category_text(col(category), dtype_of(df, category)), columns, spec_id)
-
-
-def position_series(df: DataFrame, value: str, spec_id: str) -> DataFrame:
-    """A single numeric column against the position of its rows."""
-    order = F.col(ROW)
-    if dtype_of(df, ROW).typeName() == "struct":
-        order = F.col(ROW)[df.schema[ROW].dataType.fieldNames()[-1]]
-    columns = [(value, number(col(value), dtype_of(df, value)))]
-    return _long(df.orderBy(ROW), order.cast("string"), columns, spec_id)
-
-
-def _long(ordered: DataFrame, category: Column, values: list, spec_id: str) -> DataFrame:
-    """One row per point. ``ord`` rises with the sort order but may have gaps: the ids
-    follow the range partitions of the sort, so no task ever sees all categories."""
+def series_rows(planned: list[tuple[str, str, DataFrame, SeriesPlan]], cache: GroupCache) -> list[DataFrame]:
+    """Frames with the series of many specs (spec_id, table, df, plan): those of the same
+    kind over one table and category share a frame."""
+    together: dict[tuple, list] = {}
+    for spec_id, table, df, plan in planned:
+        raw = tuple(plan.values) if plan.kind == "raw" else ()
+        together.setdefault((plan.kind, table, plan.category, raw), []).append((spec_id, df, plan))
+    frames = []
+    for (kind, table, category, raw), entries in together.items():
+        df = entries[0][1]
+        if kind == "grouped":
+            groups = cache.get(df, table, category)
+            asked = [(s, i, name, groups.value(m)) for s, _, plan in entries for i, (name, m) in enumerate(plan.measures)]
+            frames.append(_long(groups.frame.orderBy(KEY), category_text(F.col(KEY), groups.key_type), asked))
+        elif kind == "raw":
+            # The rows of a short line in category order, missing categories last.
+            ties = [ROW] if ROW in df.columns else [col(v) for v in raw]
+            ordered = df.orderBy(col(category).asc_nulls_last(), *ties)
+            asked = [(s, i, v, number(col(v), dtype_of(df, v))) for s, _, _ in entries for i, v in enumerate(raw)]
+            frames.append(_long(ordered, category_text(col(category), dtype_of(df, category)), asked))
+        else:
+            # A single numeric column against the position of its rows.
+            value = number(F.col("value"), dtype_of(df, category))
+            asked = [(s, 0, category, value) for s, _, _ in entries]
+            frames.append(_long(positions(df, category), F.col("place").cast("string"), asked, F.col("place")))
+    return frames
+
+
+def positions(df: DataFrame, name: str) -> DataFrame:
+    """``place, value``: a column by the positions 0, 1, 2, … of its rows in the order of
+    ``_row``, a whole number or a struct that ends in one.
+
+    Rows are numbered within blocks of a million consecutive order numbers, and the blocks
+    by their row counts, so only the counts of the blocks ever meet in one task."""
+    dtype, row = dtype_of(df, ROW), F.col(ROW)
+    if isinstance(dtype, T.StructType):
+        *outer, last = dtype.fieldNames()
+        block = F.struct(*[row[n].alias(n) for n in outer], F.shiftright(row[last].cast("bigint"), BLOCK_BITS).alias(last))
+    else:
+        block = F.shiftright(row.cast("bigint"), BLOCK_BITS)
+    rows = df.select(block.alias("block"), row.alias("row"), col(name).alias("value"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select(F.col("block").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("block").orderBy("row"))
+    numbered = rows.withColumn("within", within).join(starts, F.col("block").eqNullSafe(F.col("of")))
+    return numbered.select((F.col("start") + F.col("within") - 1).alias("place"), "value")
+
+
+def _long(ordered: DataFrame, category: Column, asked: list, place: Column | None = None) -> DataFrame:
+    """One row per point of ``asked`` (spec_id, series_idx, series, value). ``ord`` is
+    ``place``, or else rises with the sort order but may have gaps: the ids follow the
+    range partitions of the sort, so no task ever sees all categories."""
     points = F.array(
         *[
             F.struct(
+                F.lit(spec_id).alias("spec_id"),
                 F.lit(i).alias("series_idx"),
                 F.lit(name).alias("series"),
                 F.coalesce(v.cast("double"), F.lit(0.0)).alias("value"),
             )
-            for i, (name, v) in enumerate(values)
+            for spec_id, i, name, v in asked
         ]
     )
-    numbered = ordered.select(
-        F.monotonically_increasing_id().alias("ord"), category.alias("category"), points.alias("p")
-    )
-    return numbered.select(
-        F.lit(spec_id).alias("spec_id"), "ord", "category", F.inline("p")
-    ).select(*SERIES_COLUMNS)
+    order = F.monotonically_increasing_id() if place is None else place
+    numbered = ordered.select(order.alias("ord"), category.alias("category"), points.alias("p"))
+    return numbered.select("ord", "category", F.inline("p")).select(*SERIES_COLUMNS)
 
 
 def table_extract(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -145,12 +177,14 @@ def table_cells(df: DataFrame, columns: list[str]) -> DataFrame:
     return ordered.select(*[cell_text(col(c), dtype_of(df, c)).alias(c) for c in columns])
 
 
-def table_rows(df: DataFrame, columns: list[str], spec_id: str = "0") -> DataFrame:
-    """The table as ``spec_id, ord, names, cells``, the same shape for every table."""
-    cells = table_cells(df, columns)
-    return cells.select(
-        F.lit(spec_id).alias("spec_id"),
-        F.monotonically_increasing_id().alias("ord"),
+def table_rows(df: DataFrame, columns: list[str], *spec_ids: str) -> DataFrame:
+    """The table as ``spec_id, ord, names, cells``, the same shape for every table, once
+    for each spec that shows it."""
+    ids = F.array(*[F.lit(s) for s in spec_ids or ("0",)])
+    numbered = table_cells(df, columns).select("*", F.monotonically_increasing_id().alias(ROW))
+    return numbered.select(
+        F.explode(ids).alias("spec_id"),
+        F.col(ROW).alias("ord"),
         F.array(*[F.lit(c) for c in columns]).alias("names"),
         F.array(*[col(c) for c in columns]).alias("cells"),
     )

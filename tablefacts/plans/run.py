@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from functools import cache as cache_of
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import data_columns
+from ..functions.columns import data_columns, union_all
 from ..functions.names import resolve_columns
-from ..operators.facts import FACTS, fact_measure, fact_parts, merge_facts
+from ..operators.facts import FACTS, fact_measure, fact_rows, finish_facts
 from ..operators.groups import GroupCache, NotComputable
 from ..operators.kpi import finish_kpis, kpi_rows, plan_kpis, want_groups
-from ..operators.series import SERIES_COLUMNS, plan_series, table_rows
+from ..operators.series import is_long, plan_series, series_rows, table_rows
 from ..operators.templates import fill_template, is_unfilled
 
 # The sheet name of a spec without data, and the kinds of output.
@@ -22,9 +23,6 @@ TABLE, TEXT = "table", "text"
 
 OK, UNFILLED = "ok", "unfilled"
 
-MOST_SPECS = 1000
-"""A run plans every spec on the driver; larger batches are to be split."""
-
 STATUS_SCHEMA = (
     "spec_id string, title string, source_sheet string, chart_type string, "
     "rendered_as string, status string, matched array<string>, unmatched array<string>, "
@@ -50,13 +48,17 @@ class Run:
     @cached_property
     def facts(self) -> DataFrame:
         """One row per spec with matched columns: the eleven facts and their numbers."""
-        parts = [
-            fact_parts(self._groups.get(p.df, p.sheet, p.fact[0]), p.fact[1], p.id)
-            for p in self._planned
-            if p.fact
-        ]
-        if parts:
-            return merge_facts(parts)
+        asked: dict[tuple, dict] = {}
+        for p in self._planned:
+            if p.fact:
+                category, measure = p.fact
+                asked.setdefault((p.sheet, category), {}).setdefault(measure, []).append(p.id)
+        if asked:
+            parts = [
+                fact_rows(self._groups.get(self._tables[sheet], sheet, category), measures)
+                for (sheet, category), measures in asked.items()
+            ]
+            return finish_facts(parts)
         names = ["spec_id", *FACTS]
         return self._spark.createDataFrame([], ", ".join(f"{n} string" for n in names))
 
@@ -83,25 +85,20 @@ class Run:
 
     @cached_property
     def series(self) -> DataFrame:
-        frames = [
-            p.series.rows(p.df, p.sheet, self._groups, p.id).select(*SERIES_COLUMNS)
-            for p in self._planned
-            if p.series
-        ]
-        return self._union(SERIES_SCHEMA, frames)
+        planned = [(p.id, p.sheet, p.df, p.series) for p in self._planned if p.series]
+        return self._union(SERIES_SCHEMA, series_rows(planned, self._groups))
 
     @cached_property
     def tables(self) -> DataFrame:
-        frames = [table_rows(p.df, p.matched, p.id) for p in self._planned if p.rendered == TABLE]
+        shown: dict[tuple, list[str]] = {}
+        for p in self._planned:
+            if p.rendered == TABLE:
+                shown.setdefault((p.sheet, *p.matched), []).append(p.id)
+        frames = [table_rows(self._tables[t], columns, *ids) for (t, *columns), ids in shown.items()]
         return self._union(TABLE_SCHEMA, frames)
 
     def _union(self, schema: str, frames: list[DataFrame]) -> DataFrame:
-        if not frames:
-            return self._spark.createDataFrame([], schema)
-        rows = frames[0]
-        for frame in frames[1:]:
-            rows = rows.unionByName(frame)
-        return rows
+        return union_all(frames) if frames else self._spark.createDataFrame([], schema)
 
     def frames(self) -> dict[str, DataFrame]:
         return {n: getattr(self, n) for n in ("status", "kpis", "facts", "series", "tables")}
@@ -114,7 +111,7 @@ class Run:
 class _Spec:
     """What the schemas say about one spec, before anything is computed."""
 
-    def __init__(self, spec_id: str, spec: dict, tables: dict, is_empty):
+    def __init__(self, spec_id: str, spec: dict, tables: dict, is_empty, is_long):
         self.id, self.spec = spec_id, spec
         self.sheet = spec.get("source_sheet") or NO_SHEET
         self.chart_type = (spec.get("chart_type") or TEXT).lower().strip()
@@ -128,7 +125,7 @@ class _Spec:
         if self.matched:
             self._plan_facts()
         if wants_data and self.status == OK and self.chart_type != TEXT:
-            self._plan_output()
+            self._plan_output(is_long)
 
     def _find(self, tables: dict, is_empty) -> None:
         df = tables.get(self.sheet)
@@ -151,10 +148,10 @@ class _Spec:
         except NotComputable:
             self.fact = None
 
-    def _plan_output(self) -> None:
+    def _plan_output(self, is_long) -> None:
         try:
             if self.chart_type in CHARTS:
-                self.series = plan_series(self.df, self.matched, self.chart_type)
+                self.series = plan_series(self.df, self.matched, self.chart_type, is_long)
             elif self.chart_type == TABLE:
                 if len(set(self.matched)) < len(self.matched):
                     raise NotComputable("duplicate column")
@@ -190,8 +187,8 @@ class _Spec:
 
 
 def collect_specs(specs: DataFrame) -> list[dict]:
-    """The valid specs of one plan, in plan order; plans are small, and this is checked."""
-    rows = specs.where(F.col("status") == OK).orderBy("spec_idx").limit(MOST_SPECS + 1).collect()
+    """The valid specs of one plan, in plan order; a plan is a text that someone wrote."""
+    rows = specs.where(F.col("status") == OK).orderBy("spec_idx").collect()
     return [r.asDict(recursive=True) for r in rows]
 
 
@@ -209,19 +206,13 @@ def run_specs(
     the frames of the run share it too; without ``keep_groups`` only parts of one frame do.
     """
     listed = collect_specs(specs) if isinstance(specs, DataFrame) else specs
-    if len(listed) > MOST_SPECS:
-        raise ValueError(f"more than {MOST_SPECS} specs in one run")
     if not tables:
         raise ValueError("no tables")
     spark = next(iter(tables.values())).sparkSession
-    known: dict[str, bool] = {}
-
-    def is_empty(name: str) -> bool:
-        if name not in known:
-            known[name] = tables[name].isEmpty()
-        return known[name]
-
-    planned = [_Spec(str(i), s, tables, is_empty) for i, s in enumerate(listed)]
+    # Asked once for each table, however many specs name it.
+    is_empty = cache_of(lambda name: tables[name].isEmpty())
+    long_line = cache_of(is_long)
+    planned = [_Spec(str(i), s, tables, is_empty, long_line) for i, s in enumerate(listed)]
     cache = GroupCache(keep=keep_groups)
     for p in planned:
         p.want(cache)
@@ -230,5 +221,6 @@ def run_specs(
     if strict:
         left = [r["spec_id"] for r in run.status.where(F.col("status") == UNFILLED).collect()]
         if left:
+            run.release()
             raise UnfilledTemplate(f"unfilled placeholder in spec {', '.join(sorted(left))}")
     return run

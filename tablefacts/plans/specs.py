@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import data_columns, local_frame
 from ..functions.names import match_key
 
 # The vocabulary of a plan and the fences it may be wrapped in.
@@ -148,11 +149,9 @@ def parse_specs(plans: DataFrame, id_col: str, text_col: str, strict: bool = Fal
 
 def catalog(tables: dict[str, DataFrame]) -> DataFrame:
     """``table, ordinal, column`` of all tables, from their schemas."""
-    from ..functions.columns import data_columns
-
     rows = [(t, i, c) for t, df in tables.items() for i, c in enumerate(data_columns(df))]
     spark = next(iter(tables.values())).sparkSession
-    return spark.createDataFrame(rows, "table string, ordinal int, column string")
+    return local_frame(spark, rows, "table string, ordinal int, column string")
 
 
 def resolve_requests(requests: DataFrame, names: DataFrame) -> DataFrame:
