@@ -460,6 +460,11 @@ ORACLES = {
     "load_text_grid": "SELECT CAST(5 AS INTEGER) AS width, c_name AS name, c_mktsegment AS segment FROM customer",
     "load_text_table": """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
       strftime(o_orderdate, '%m/%d/%Y') AS o_orderdate, o_orderpriority FROM orders""",
+    "load_titled_files": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders",
+    "load_multiline_cells": """SELECT doc_id, md5('"' || source || '",' || chr(10) || replace(text, chr(13), ' ')
+      || chr(10) || 'end') AS digest FROM documents""",
+    "load_compressed": "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier",
+    "load_long_ids": """SELECT CAST(1234567890123456789000000 AS DECIMAL(38,0)) + c_custkey AS id, c_name FROM customer""",
     "load_json_table": "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier",
     "missing_values": f"""SELECT event_id, CASE WHEN event_type NOT IN ('click', 'error') THEN event_type END AS kind,
       {NAN_EVENTS} AS value FROM events""",

@@ -114,6 +114,46 @@ def load_json_table(spark, sf_dir):
     return load_workspace(spark, folder)["supplier"]
 
 
+def load_titled_files(spark, sf_dir):
+    """The orders as many text files, each with a title row and a header above its rows."""
+    folder = shared_folder(spark)
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    part = F.floor(F.col("o_orderkey") / 10000).alias("part")
+    lines = orders.select(part, F.col("o_orderkey").alias("place"), F.concat_ws(",", *orders.columns).alias("line"))
+    parts = lines.select("part").distinct()
+    title = parts.select("part", F.lit(-2).cast("bigint").alias("place"), F.format_string("Report %d", "part").alias("line"))
+    header = parts.select("part", F.lit(-1).cast("bigint").alias("place"), F.lit(",".join(orders.columns)).alias("line"))
+    ordered = union([lines, title, header]).repartition("part").sortWithinPartitions("part", "place")
+    ordered.select("part", "line").write.partitionBy("part").text(f"{folder}/orders.csv")
+    return load_workspace(spark, folder)["orders"]
+
+
+def load_multiline_cells(spark, sf_dir):
+    """The documents as delimited text whose quoted cells hold line breaks and quotes."""
+    folder = shared_folder(spark)
+    body = F.concat(F.lit('"'), F.col("source"), F.lit('",\n'), F.regexp_replace("text", r"\r", " "), F.lit("\nend"))
+    documents = read(spark, sf_dir, "documents").select("doc_id", body.alias("body"))
+    documents.write.option("header", True).option("escape", '"').csv(f"{folder}/documents.csv")
+    table = load_workspace(spark, folder, multiline=["documents"])["documents"]
+    return table.select("doc_id", F.md5("body").alias("digest"))
+
+
+def load_compressed(spark, sf_dir):
+    """The suppliers as a folder of compressed text files without a suffix of its own."""
+    folder = shared_folder(spark)
+    read(spark, sf_dir, "supplier").write.option("header", True).option("compression", "gzip").csv(f"{folder}/supplier")
+    return load_workspace(spark, folder)["supplier"]
+
+
+def load_long_ids(spark, sf_dir):
+    """Customers under ids of 25 digits, read back from text digit by digit."""
+    folder = shared_folder(spark)
+    wide = F.lit("1234567890123456789000000").cast("decimal(38,0)") + F.col("c_custkey")
+    customers = read(spark, sf_dir, "customer").select(wide.alias("id"), "c_name")
+    customers.write.option("header", True).csv(f"{folder}/customer.csv")
+    return load_workspace(spark, folder)["customer"]
+
+
 def missing_values(spark, sf_dir):
     """Texts that mean "missing" and NaN, put into the events and normalised away."""
     kind = (
@@ -188,7 +228,7 @@ def grid_table(spark, sf_dir):
         (F.col("c_custkey") + 1).alias("row_idx"),
         F.array(cells[0], blank, cells[1], cells[2], cells[3], even).alias("cells"),
     )
-    return grid_to_table(grid, 0, [" Name ", "Blank", "Nation", "Balance", None, "Name"]).drop(ROW)
+    return grid_to_table(grid, [" Name ", "Blank", "Nation", "Balance", None, "Name"]).drop(ROW)
 
 
 def empty_rows(spark, sf_dir):
@@ -817,6 +857,10 @@ QUERIES = {
     "load_text_grid": load_text_grid,
     "load_text_table": load_text_table,
     "load_json_table": load_json_table,
+    "load_titled_files": load_titled_files,
+    "load_multiline_cells": load_multiline_cells,
+    "load_compressed": load_compressed,
+    "load_long_ids": load_long_ids,
     "missing_values": missing_values,
     "empty_tables": empty_tables,
     "header_detect": header_detect,

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ROW
+from ..functions.columns import ROW, local_frame
 from ..functions.names import clean_names, header_names
+from ..session import shared_folder
 from .cleanup import present_text
 
 HEADER_SCAN_ROWS = 10
+RAW = "_raw"
 
 # What counts as a number or a truth value in a text cell.
 INTEGER_TEXT = r"^[+-]?\d{1,38}$"
@@ -19,37 +21,40 @@ TRUTH_TEXTS = ["TRUE", "True", "true", "FALSE", "False", "false"]
 TABLES = {"bigint": "integers", "decimal(38,0)": "wide", "double": "numbers", "boolean": "truths"}
 
 
-def split_line(line: Column, separator: str = ",") -> Column:
-    """Cells of one delimited line; quoted cells may hold separators and doubled quotes."""
+def _reader(spark: SparkSession, separator: str, multiline: bool):
+    options = {"sep": separator, "quote": '"', "escape": '"', "multiLine": multiline, "columnNameOfCorruptRecord": RAW}
+    return spark.read.options(**options)
+
+
+def grid_width(spark: SparkSession, path: str, separator: str = ",", multiline: bool = False) -> int:
+    """Cells of the widest record. A record of more than one cell does not fit the schema
+    here, so the reader hands it over whole; separators in quoted cells are not counted."""
     s = "\\" + separator
-    # Every match begins with a separator, so an empty cell is a match like any other.
-    cell = f'{s}("[^"]*+(?:""[^"]*+)*+"(?={s}|$)|[^{s}]*+)'
-    cells = F.regexp_extract_all(F.concat(F.lit(separator), line), F.lit(cell), F.lit(1))
-
-    def unquoted(c: Column) -> Column:
-        inner = F.substring(c, F.lit(2), F.length(c) - 2)
-        quoted = c.startswith('"') & c.endswith('"') & (F.length(c) > 1)
-        return F.when(quoted, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(c)
-
-    return F.transform(cells, unquoted)
-
-
-def load_grid(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """``source, row_idx, cells`` of the text files below ``path``.
-
-    ``row_idx`` rises in file order. For a path that is one file it is the line number
-    throughout its first split, so the header rows are always numbered exactly.
-    """
-    lines = spark.read.text(path)
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
-    name = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
-    value = F.regexp_replace("value", r"^\x{FEFF}", "")
-    return lines.select(
-        name.alias("source"),
-        F.monotonically_increasing_id().alias("row_idx"),
-        F.transform(split_line(value, separator), present_text).alias("cells"),
-        F.col("_metadata.file_block_start").alias("block"),
-    )
+    quoted = f'(^|{s})"[^"]*+(?:""[^"]*+)*+"(?={s}|$)'
+    records = _reader(spark, separator, multiline).schema(f"_c0 string, {RAW} string").csv(path)
+    outside = F.regexp_replace(RAW, quoted, "$1")
+    separators = F.length(outside) - F.length(F.replace(outside, F.lit(separator), F.lit("")))
+    # The reader does not answer for the column of whole records alone.
+    widest = records.agg(F.max(separators).alias("n"), F.count("_c0").alias("cells")).first()
+    return 1 + (widest["n"] or 0)
+
+
+def load_grid(spark: SparkSession, path: str, separator: str = ",", multiline: bool = False) -> DataFrame:
+    """``source, file, block, row_idx, cells`` of the text files below ``path``, with as many
+    cells in every row as the widest has. Blank lines are no rows.
+
+    ``row_idx`` (file, block, place) sorts rows by file and by their order in it, however
+    Spark packs files into tasks. With ``multiline``, quoted cells may hold line breaks;
+    such files can not be split, so a large one is read by one task."""
+    names = [f"_c{i}" for i in range(grid_width(spark, path, separator, multiline))]
+    records = _reader(spark, separator, multiline).schema(", ".join(f"{n} string" for n in names)).csv(path)
+    source = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    source = F.url_decode(F.replace(source, F.lit("+"), F.lit("%2B")))
+    first = F.regexp_replace(names[0], r"^\x{FEFF}", "")
+    file, block = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    place = F.struct(file, block, F.monotonically_increasing_id().alias("place"))
+    cells = F.array(*[present_text(c) for c in (first, *map(F.col, names[1:]))])
+    return records.select(source.alias("source"), file, block, place.alias("row_idx"), cells.alias("cells"))
 
 
 def head_rows(grid: DataFrame, rows: int = HEADER_SCAN_ROWS) -> DataFrame:
@@ -96,10 +101,40 @@ def detect_header(grid: DataFrame, max_scan: int = HEADER_SCAN_ROWS) -> DataFram
     )
 
 
-def first_rows(grid: DataFrame, rows: int = HEADER_SCAN_ROWS) -> DataFrame:
-    """The first rows of a grid that is one file; reads no more than it returns."""
-    grid = grid.select("source", "row_idx", "cells")
-    return grid.sparkSession.createDataFrame(grid.take(rows), grid.schema)
+def first_header(grid: DataFrame, max_scan: int = HEADER_SCAN_ROWS) -> list[str | None] | None:
+    """The header of a folder of files: that of its first file with any rows."""
+    start = grid.where(F.col("block") == 0).agg(F.min("row_idx").alias("row")).first()["row"]
+    if start is None:
+        return None
+    file = grid.where((F.col("file") == start["file"]) & (F.col("block") == 0))
+    rows = [(start["file"], i, r["cells"]) for i, r in enumerate(file.orderBy("row_idx").select("cells").take(max_scan))]
+    head = local_frame(grid.sparkSession, rows, "source string, row_idx bigint, cells array<string>")
+    return detect_header(head, max_scan).first()["header"]
+
+
+def below_headers(grid: DataFrame, header: list[str | None], max_scan: int = HEADER_SCAN_ROWS) -> DataFrame:
+    """The rows of all files without their title rows and headers: a file begins below the
+    first of its first ``max_scan`` rows that equals ``header``, or at its top if none does.
+
+    Expects a grid that was written (:func:`kept_grid`), so that places do not change. As
+    many heads reach the driver as files, which it lists anyway."""
+    order = Window.partitionBy("file").orderBy("row_idx")
+    ranked = grid.where(F.col("block") == 0).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_scan)
+    same = F.col("cells").eqNullSafe(F.array(*[F.lit(c).cast("string") for c in header]))
+    heads = ranked.where(same).groupBy("file").agg(F.min("row_idx.place").alias("head")).collect()
+    if not heads:
+        return grid
+    heads = local_frame(grid.sparkSession, [tuple(r) for r in heads], "file string, head bigint")
+    above = (F.col("block") == 0) & (F.col("row_idx.place") <= F.col("head"))
+    return grid.join(heads, "file", "left").where(~F.coalesce(above, F.lit(False))).select(*grid.columns)
+
+
+def kept_grid(grid: DataFrame) -> DataFrame:
+    """The grid written to the shared folder of the session and read back: text is parsed
+    once, and rows keep their places whatever executors come and go."""
+    folder = shared_folder(grid.sparkSession)
+    grid.write.parquet(folder)
+    return grid.sparkSession.read.schema(grid.schema).parquet(folder)
 
 
 def promote_header(grid: DataFrame, header_row: int, names: list[str]) -> DataFrame:
@@ -134,15 +169,9 @@ def _typed(cell: Column, facts) -> Column:
     return cell
 
 
-def grid_to_table(
-    grid: DataFrame, header_row: int, header: list[str | None], repeated: bool = False
-) -> DataFrame:
-    """The grid of one source as a clean table: no empty rows or columns, cleaned names,
-    numbers and truth values typed, rows numbered in source order. ``repeated`` drops the
-    further header rows of a source that consists of several files."""
-    body = grid.where(F.col("row_idx") > header_row)
-    if repeated:
-        body = body.where(~F.col("cells").eqNullSafe(F.array(*[F.lit(c) for c in header])))
+def grid_to_table(body: DataFrame, header: list[str | None]) -> DataFrame:
+    """The rows below the headers as a clean table: no empty rows or columns, cleaned names,
+    numbers and truth values typed, rows numbered in source order."""
     facts = {r["position"]: r for r in column_facts(body).collect()}  # one row per column
     width = max([len(header), *[p + 1 for p in facts]])
     kept = [i for i in range(width) if i in facts and facts[i]["filled"] > 0]

@@ -3,35 +3,56 @@
 from __future__ import annotations
 
 import re
+import warnings
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import ROW
 from .cleanup import clean_table, normalize_missing
-from .grid import HEADER_SCAN_ROWS, detect_header, first_rows, grid_to_table, load_grid
+from .grid import HEADER_SCAN_ROWS, below_headers, first_header, grid_to_table, kept_grid, load_grid
 
 TEXT_FORMATS = {"csv": ",", "tsv": "\t"}
 TYPED_FORMATS = ("parquet", "orc", "json")
+COMPRESSED = r"(?:\.(?:gz|bz2|deflate))?"
+
+
+def _known(suffix: str) -> bool:
+    return suffix in TEXT_FORMATS or suffix in TYPED_FORMATS
 
 
 def list_tables(spark: SparkSession, folder: str) -> dict[str, tuple[str, str]]:
     """``name -> (path, format)`` for every child of a folder: a file, or a folder of
-    files. Works on any file system Spark reads; only paths are listed. Two children of
-    one name (``a.csv`` and ``a.tsv``) are an error, as one would hide the other."""
+    files. Works on any file system Spark reads; only paths are listed. The format is the
+    suffix of the child, else that of its files, either also before that of a compression.
+    Two children of one name (``a.csv`` and ``a.tsv``), or two formats in one child, are an
+    error, as one would hide the other; children of no known format are named in a warning."""
     root = folder.rstrip("/")
     inside = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "", root).strip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     child = F.regexp_extract("path", "/" + re.escape(inside) + "/([^/]+)", 1)
-    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)" + COMPRESSED + "$", 1))
     found = files.select(child.alias("child"), suffix.alias("suffix")).distinct().collect()
-    tables = {}
-    for row in sorted(found):
-        if row["suffix"] in TEXT_FORMATS or row["suffix"] in TYPED_FORMATS:
-            name = re.sub(r"\.[^.]*$", "", row["child"])
-            if name in tables:
-                raise ValueError(f"two tables are named {name}: {tables[name][0]} and {root}/{row['child']}")
-            tables[name] = (f"{root}/{row['child']}", row["suffix"])
+    children: dict[str, set[str]] = {}
+    for row in found:
+        children.setdefault(row["child"], set()).add(row["suffix"])
+    tables, skipped = {}, []
+    for child, suffixes in sorted(children.items()):
+        stem, own = re.fullmatch(r"(.*?)(?:\.([^.]*))?" + COMPRESSED, child).groups()
+        named = own is not None and _known(own.lower())
+        known = {own.lower()} if named else set(filter(_known, suffixes))
+        if not known:
+            skipped.append(child)
+            continue
+        name, path = stem if named else child, f"{root}/{child}"
+        if len(known) > 1:
+            raise ValueError(f"{path} holds files of several formats: {', '.join(sorted(known))}")
+        if name in tables:
+            raise ValueError(f"two tables are named {name}: {tables[name][0]} and {path}")
+        tables[name] = (path, known.pop())
+    if skipped:
+        warnings.warn(f"no tables, left out of {root}: {', '.join(skipped)}", stacklevel=2)
     return tables
 
 
@@ -42,17 +63,21 @@ def load_table(
     header_detection: bool = True,
     clean: bool = False,
     keep_order: bool = False,
+    multiline: bool = False,
+    header_scan: int = HEADER_SCAN_ROWS,
 ) -> DataFrame:
     """One table. Text grids are always cleaned and typed; typed sources only lose
-    their NaN values unless ``clean`` asks for empty rows and columns to go too."""
+    their NaN values unless ``clean`` asks for empty rows and columns to go too.
+
+    A text grid is parsed once, into the shared folder. A header is looked for in the first
+    ``header_scan`` rows of every file; ``multiline`` reads line breaks in quoted cells."""
     if file_format in TEXT_FORMATS:
-        grid = load_grid(spark, path, TEXT_FORMATS[file_format])
-        scan = HEADER_SCAN_ROWS if header_detection else 1
-        header = detect_header(first_rows(grid, scan), scan).first()
+        grid = kept_grid(load_grid(spark, path, TEXT_FORMATS[file_format], multiline))
+        scan = header_scan if header_detection else 1
+        header = first_header(grid, scan)
         if header is None:
             return spark.createDataFrame([], f"{ROW} bigint")
-        files = len(spark.read.text(path).inputFiles())
-        table = grid_to_table(grid, header["header_row"], header["header"], repeated=files > 1)
+        table = grid_to_table(below_headers(grid, header, scan), header)
     else:
         table = spark.read.format(file_format).load(path)
         if keep_order and file_format == "parquet":
@@ -70,10 +95,13 @@ def load_workspace(
     header_detection: bool = True,
     clean: bool = False,
     keep_order: bool = False,
+    multiline: Collection[str] = (),
+    header_scan: int = HEADER_SCAN_ROWS,
 ) -> dict[str, DataFrame]:
-    """All tables of a folder by name. Reading stays lazy for typed sources; a text grid
-    is looked through once to find its header, width and types."""
+    """All tables of a folder by name. Reading stays lazy for typed sources; a text grid is
+    parsed and looked through at once. ``multiline`` names the text tables whose quoted
+    cells hold line breaks."""
     return {
-        name: load_table(spark, path, file_format, header_detection, clean, keep_order)
+        name: load_table(spark, path, file_format, header_detection, clean, keep_order, name in multiline, header_scan)
         for name, (path, file_format) in list_tables(spark, folder).items()
     }
