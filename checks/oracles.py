@@ -123,7 +123,8 @@ def boolean(table: str, column: str, name: str) -> str:
 
 def top(table: str, column: str, n: int, value: str = "value") -> str:
     return f"""SELECT '{column}' AS "column", CAST(rank AS INTEGER) AS rank, {value}, count FROM (
-      SELECT {column} AS value, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, {column}) AS rank
+      SELECT {column} AS value, count(*) AS count, row_number() OVER (
+        ORDER BY count(*) DESC, left({column}, 128), CASE WHEN length({column}) > 128 THEN sha256({column}) END NULLS FIRST) AS rank
       FROM {table} WHERE {column} IS NOT NULL GROUP BY {column}) WHERE rank <= {n}"""
 
 

@@ -313,7 +313,7 @@ def categorical_profile(spark, sf_dir):
 
 
 def long_text_profile(spark, sf_dir):
-    """Documents and pages: texts counted by digest."""
+    """Documents and pages: long texts, counted by their first characters and a digest."""
     documents = P.profile_categorical(read(spark, sf_dir, "documents"), ["text", "lang", "source"])
     pages = P.profile_categorical(read(spark, sf_dir, "pages"), ["url", "html"])
     return union([documents, pages])
@@ -325,7 +325,7 @@ def frequent_values(spark, sf_dir):
 
 def frequent_values_of_long_text(spark, sf_dir):
     """The whole documents that occur most often."""
-    top = P.top_long_values(read(spark, sf_dir, "documents"), ["text"], n=10)
+    top = P.top_values(read(spark, sf_dir, "documents"), ["text"], n=10)
     return top.select("column", "rank", F.md5("value").alias("digest"), "count")
 
 

@@ -44,12 +44,9 @@ NOTE_IDENTIFIER = "identifier-like column, top values suppressed"
 NOTE_EMPTY = "table is empty or has no data rows"
 NOTE_UNSUPPORTED = "unsupported type"
 
-LONG_TEXT = 128
-"""Texts above this length are counted by digest, so the shuffle does not carry them."""
-
-MOST_CANDIDATES = 1000
-"""Digests looked at for the top values of a long-text column: the widest rank filter that
-Spark still applies before the shuffle."""
+KEY_LENGTH = 128
+"""Texts are counted by so many leading characters and, if longer, a digest of the whole,
+so the shuffle does not carry long texts."""
 
 COLUMNS_PER_JOB = 64
 TEXT_COLUMNS_PER_JOB = 32
@@ -68,24 +65,22 @@ PROFILE_SCHEMA = (
 # ---- type labels ---------------------------------------------------------------
 
 
-def text_shapes(df: DataFrame, columns: list[str]) -> tuple[dict[str, str], set[str]]:
-    """Date pattern per text column, and the columns that hold long texts, from all values.
+def text_shapes(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """Date pattern per text column, from all its values.
 
     The pattern is that of most values (the first in the list of shapes if several are as
     common), for columns of which half of the values look like dates."""
-    formats, long = {}, set()
+    formats = {}
     for start in range(0, len(columns), TEXT_COLUMNS_PER_JOB):
         chunk = columns[start : start + TEXT_COLUMNS_PER_JOB]
-        cells = _cells(df, chunk).select("column", pattern_of(F.col("value")).alias("pattern"), F.length("value").alias("n"))
-        counts = cells.groupBy("column", "pattern").agg(F.count(F.lit(1)).alias("values"), F.max("n").alias("longest")).collect()
+        cells = _cells(df, chunk).select("column", pattern_of(F.col("value")).alias("pattern"))
+        counts = cells.groupBy("column", "pattern").agg(F.count(F.lit(1)).alias("values")).collect()
         for i, c in enumerate(chunk):
             own = [r for r in counts if r["column"] == str(i)]
             dates = sorted((r for r in own if r["pattern"]), key=lambda r: (-r["values"], pattern_order(r["pattern"])))
             if dates and sum(r["values"] for r in dates) >= DATE_MIN_RATIO * sum(r["values"] for r in own):
                 formats[c] = dates[0]["pattern"]
-            if any(r["longest"] > LONG_TEXT for r in own):
-                long.add(c)
-    return formats, long
+    return formats
 
 
 def datetime_ratio(df: DataFrame, formats: dict[str, str]) -> DataFrame:
@@ -110,7 +105,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     names = data_columns(df)
     labels = {c: label_of(dtype_of(df, c)) for c in names}
     text = [c for c in names if labels[c] == TEXT]
-    formats, _ = text_shapes(df, text)
+    formats = text_shapes(df, text)
     if formats:
         for row in datetime_ratio(df, formats).collect():
             if row["is_datetime"]:
@@ -199,21 +194,17 @@ def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _digest() -> Column:
-    return F.unhex(F.sha2("value", 256))
+    return F.when(F.length("value") > KEY_LENGTH, F.unhex(F.sha2("value", 256))).alias("digest")
 
 
 def value_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``column, value, count`` of all non-null values, for any number of columns.
+    """``column, head, digest, count`` of all non-null values, for any number of columns:
+    the first characters of a value, and a digest of it if it has more.
 
     Equal values are combined before the shuffle, so a frequent value costs nothing."""
-    return _cells(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
-
-
-def digest_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
-    """As :func:`value_frequencies` with the SHA-256 of each value in its place, for long
-    texts."""
-    cells = _cells(df, columns).select("column", _digest().alias("value"))
-    return cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+    head = F.substring("value", 1, KEY_LENGTH).alias("head")
+    keys = _cells(df, columns).select("column", head, _digest())
+    return keys.groupBy("column", "head", "digest").agg(F.count(F.lit(1)).alias("count"))
 
 
 def _rollup(frequencies: DataFrame) -> DataFrame:
@@ -228,11 +219,27 @@ def _rollup(frequencies: DataFrame) -> DataFrame:
 
 
 def _top(frequencies: DataFrame, n: int) -> DataFrame:
-    """The most frequent values per column. The rank filter lets Spark cut every task
-    down to ``n`` rows per column before the shuffle."""
-    order = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("value"))
+    """The most frequent values per column, equal counts by key. The rank filter lets Spark
+    cut every task down to ``n`` rows per column before the shuffle."""
+    order = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("head"), F.asc_nulls_first("digest"))
     ranked = frequencies.withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= n)
+    return ranked.where(F.col("rank") <= n).select("column", "rank", "head", "digest", "count")
+
+
+def _listed(df: DataFrame, columns: list[str], top: list) -> list[tuple[str, int, str, int]]:
+    """Column, rank, whole value and count of the top values, a few per column. The table
+    is read again only where one of them is longer than its key."""
+    wanted = [(r["column"], bytes(r["digest"])) for r in top if r["digest"] is not None]
+    whole = {}
+    if wanted:
+        digests = local_frame(df.sparkSession, wanted, "column string, digest binary")
+        texts = _cells(df, columns).select("column", "value", _digest()).join(digests, ["column", "digest"])
+        whole = {(r["column"], bytes(r["digest"])): r["value"] for r in texts.distinct().collect()}
+    listed = []
+    for r in sorted(top, key=lambda r: (int(r["column"]), r["rank"])):
+        value = r["head"] if r["digest"] is None else whole[r["column"], bytes(r["digest"])]
+        listed.append((columns[int(r["column"])], r["rank"], value, r["count"]))
+    return listed
 
 
 def _named(df: DataFrame, columns: list[str]) -> Column:
@@ -241,9 +248,10 @@ def _named(df: DataFrame, columns: list[str]) -> Column:
 
 
 def top_values(df: DataFrame, columns: list[str], n: int = TOP_VALUES) -> DataFrame:
-    """``column, rank, value, count``: most frequent values, equal counts by value."""
-    top = _top(value_frequencies(df, columns), n)
-    return top.select(_named(df, columns), "rank", "value", "count")
+    """``column, rank, value, count``: most frequent values, equal counts by their first
+    :data:`KEY_LENGTH` characters, then by digest."""
+    top = _top(value_frequencies(df, columns), n).collect()
+    return local_frame(df.sparkSession, _listed(df, columns, top), "column string, rank int, value string, count bigint")
 
 
 def identifier_flags(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -257,76 +265,22 @@ def _summary(frequencies: DataFrame, n: int) -> DataFrame:
     rolled = _rollup(frequencies)
     shown = F.broadcast(rolled.where(~F.col("identifier_like")).select("column"))  # one row a column
     # Not a semi join: that one moves below the count, and the values are counted twice.
-    top = _top(frequencies.join(shown, "column"), n).select("column", "rank", "value", "count")
+    top = _top(frequencies.join(shown, "column"), n)
     return rolled.unionByName(top, allowMissingColumns=True)
 
 
-def _short_text_stats(df: DataFrame, columns: list[str], n: int) -> dict[str, dict]:
-    """Statistics of columns of short texts, all from one frequency table."""
-    rows = _summary(value_frequencies(df, columns), n).collect()
-    stats = {columns[int(r["column"])]: r.asDict() for r in rows if r["rank"] is None}
-    for r in sorted((r for r in rows if r["rank"] is not None), key=lambda r: r["rank"]):
-        values = stats[columns[int(r["column"])]].setdefault("top_values", [])
-        values.append((r["value"], r["count"]))
-    return stats
-
-
-def _long_text_stats(df: DataFrame, columns: list[str], n: int) -> dict[str, dict]:
-    """Statistics of columns of long texts, counted by digest; a text is only read again
-    for the values shown."""
-    rows = _summary(digest_frequencies(df, columns), MOST_CANDIDATES).collect()
-    stats = {columns[int(r["column"])]: r.asDict() for r in rows if r["rank"] is None}
-    for c, values in _long_top_values(df, columns, rows, n).items():
-        stats[c]["top_values"] = values
-    return stats
-
-
-def _long_top_values(df: DataFrame, columns: list[str], rows: list, n: int) -> dict[str, list]:
-    """Top values given the most frequent digests of every column. A column with more
-    values tied for the last place than digests were looked at is grouped by whole text."""
-    ranked: dict[int, list] = {}
-    for r in sorted((r for r in rows if r["rank"] is not None), key=lambda r: r["rank"]):
-        ranked.setdefault(int(r["column"]), []).append((r["count"], r["value"]))
-    wanted, whole = [], []
-    for i, found in ranked.items():
-        least = found[min(n, len(found)) - 1][0]
-        if len(found) == MOST_CANDIDATES and found[-1][0] >= least:
-            whole.append(columns[i])
-        else:
-            wanted += [(str(i), digest) for count, digest in found if count >= least]
-    top: dict[str, list] = {}
-    if wanted:
-        digests = df.sparkSession.createDataFrame(wanted, "column string, digest binary")
-        texts = _cells(df, columns).withColumn("digest", _digest())
-        # At most a thousand digests a column.
-        texts = texts.join(F.broadcast(digests), ["column", "digest"], "left_semi")
-        counted = texts.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
-        for r in _top(counted, n).orderBy("rank").collect():
-            top.setdefault(columns[int(r["column"])], []).append((r["value"], r["count"]))
-    if whole:
-        for r in top_values(df, whole, n).orderBy("rank").collect():
-            top.setdefault(r["column"], []).append((r["value"], r["count"]))
-    return top
-
-
-def _text_stats(df: DataFrame, columns: list[str], long: set[str], n: int) -> dict[str, dict]:
+def _text_stats(df: DataFrame, columns: list[str], n: int) -> dict[str, dict]:
+    """Statistics of text columns, all from one frequency table."""
     stats: dict[str, dict] = {}
-    short = [c for c in columns if c not in long]
-    for read, columns in ((_short_text_stats, short), (_long_text_stats, [c for c in columns if c in long])):
-        for start in range(0, len(columns), TEXT_COLUMNS_PER_JOB):
-            stats |= read(df, columns[start : start + TEXT_COLUMNS_PER_JOB], n)
+    for start in range(0, len(columns), TEXT_COLUMNS_PER_JOB):
+        chunk = columns[start : start + TEXT_COLUMNS_PER_JOB]
+        rows = _summary(value_frequencies(df, chunk), n).collect()
+        stats |= {chunk[int(r["column"])]: r.asDict() for r in rows if r["rank"] is None}
+        for c, _, value, count in _listed(df, chunk, [r for r in rows if r["rank"] is not None]):
+            stats[c].setdefault("top_values", []).append((value, count))
     return stats
 
 
-def top_long_values(df: DataFrame, columns: list[str], n: int = TOP_VALUES) -> DataFrame:
-    """As :func:`top_values`, for columns of long texts: only digests are shuffled, and the
-    texts of the few leading ones."""
-    leading = _top(digest_frequencies(df, columns), MOST_CANDIDATES)
-    top = _long_top_values(df, columns, leading.collect(), n)
-    rows = [(c, i, v, k) for c, values in top.items() for i, (v, k) in enumerate(values, start=1)]
-    return df.sparkSession.createDataFrame(rows, "column string, rank int, value string, count bigint")
-
-
 # ---- profiles ------------------------------------------------------------------
 
 
@@ -364,7 +318,7 @@ def _profile_rows(df: DataFrame, name: str, top_n: int) -> list[dict]:
         ]
     )
     text = [c for c in columns if labels[c] == TEXT]
-    formats, long = text_shapes(df, text)
+    formats = text_shapes(df, text)
     numeric = [c for c in columns if labels[c] in (INTEGER, FLOAT)]
 
     # Texts without a date pattern are only read for their frequencies, which also count
@@ -373,7 +327,7 @@ def _profile_rows(df: DataFrame, name: str, top_n: int) -> list[dict]:
     scanned = [(c, labels[c], formats.get(c)) for c in columns if c not in listed]
     with ThreadPool(2) as pool:
         medians_job = pool.apply_async(exact_medians, (df, numeric))
-        texts_job = pool.apply_async(_text_stats, (df, listed, long, top_n))
+        texts_job = pool.apply_async(_text_stats, (df, listed, top_n))
         rows, stats = _scan_stats(df, scanned)
         medians, texts = medians_job.get(), texts_job.get()
     stats |= {c: texts.get(c, {"non_null": 0}) for c in listed}
@@ -381,7 +335,7 @@ def _profile_rows(df: DataFrame, name: str, top_n: int) -> list[dict]:
         return [{"table": name, "row_count": 0, "column_count": 0, "note": NOTE_EMPTY}]
 
     dated = {c for c in formats if _is_dates(stats[c])}
-    texts |= _text_stats(df, [c for c in formats if c not in dated and c not in texts], long, top_n)
+    texts |= _text_stats(df, [c for c in formats if c not in dated and c not in texts], top_n)
     overflown = [
         c for c in numeric if labels[c] == INTEGER and stats[c]["non_null"] and stats[c]["int_sum"] is None
     ]

@@ -1,4 +1,6 @@
+import collections
 import datetime
+import hashlib
 import json
 import math
 import statistics
@@ -131,19 +133,25 @@ def test_dates_after_long_texts(spark):
     assert (got["label"], got["non_null"], got["date_range_days"], got["top_values"]) == ("datetime (inferred)", 200, 27, None)
 
 
-@pytest.mark.parametrize("candidates", [1000, 8, 3])
-def test_top_long_values(spark, monkeypatch, candidates):
-    """The same with few digests looked at, where ties force the whole texts."""
-    monkeypatch.setattr(P, "MOST_CANDIDATES", candidates)
+def test_top_long_values(spark):
+    """Ties among long texts of one beginning go by digest, others by their beginning."""
     texts = [f"{i % 40:02d}" + "z" * 200 for i in range(300)] + ["07" + "z" * 200] * 2 + ["x"] * 50
-    df = spark.createDataFrame([(t, "a" * 300) for t in texts], "t string, same string")
-    expected = [(r["column"], r["rank"], r["value"], r["count"]) for r in P.top_values(df, ["t", "same"]).collect()]
-    got = [tuple(r) for r in P.top_long_values(df, ["t", "same"]).collect()]
-    assert sorted(got) == sorted(expected) and len(got) == 6
+    same = ["a" * 128 + str(i % 3) for i in range(len(texts))]
+    df = spark.createDataFrame(list(zip(texts, same)), "t string, same string")
     row = by_column(P.profile_table(df))["t"]
-    assert [(t["value"][:2], t["count"]) for t in row["top_values"]] == [
-        ("x", 50), ("07", 10), ("00", 8), ("01", 8), ("02", 8),
-    ]
+    expected = [("x", 50), ("07", 10), ("00", 8), ("01", 8), ("02", 8)]
+    assert [(t["value"][:2], t["count"]) for t in row["top_values"]] == expected
+    got = [tuple(r) for r in P.top_values(df, ["t", "same"], 3).collect()]
+    assert [(c, r, v[:2], n) for c, r, v, n in got[:3]] == [("t", i + 1, *e) for i, e in enumerate(expected[:3])]
+    counts = collections.Counter(same)
+    order = sorted(counts, key=lambda t: (-counts[t], hashlib.sha256(t.encode()).digest()))
+    assert got[3:] == [("same", i + 1, t, counts[t]) for i, t in enumerate(order)]
+
+
+def test_many_long_values_tie(spark):
+    df = spark.range(100_000).select(F.concat(F.lpad(F.col("id").cast("string"), 6, "0"), F.repeat(F.lit("t"), 200)).alias("s"))
+    got = [r["value"][:6] for r in P.top_values(df, ["s"], 3).orderBy("rank").collect()]
+    assert got == ["000000", "000001", "000002"]
 
 
 def test_short_first_rows_then_long_texts(spark):
