@@ -14,6 +14,7 @@ from .groups import KEY, ROWS, GroupCache, Measure, NotComputable, check_categor
 
 # The row count up to which a line keeps its rows, and a count's name.
 MOST_RAW_ROWS = 20
+LINE_MODES = ("auto", "rows", "mean")
 COUNT_SERIES = "Count"
 
 BLOCK_BITS = 20
@@ -68,12 +69,21 @@ class SeriesPlan:
         self.kind, self.category, self.measures, self.values = kind, category, measures, values
 
 
+def line_mode(mode: str) -> Callable[[DataFrame], bool]:
+    """Whether a line shows means per category instead of rows: always (``mean``), never
+    (``rows``), or if its table has more than :data:`MOST_RAW_ROWS` rows (``auto``)."""
+    if mode not in LINE_MODES:
+        raise ValueError(f"unknown line mode {mode}: one of {', '.join(LINE_MODES)}")
+    return is_long if mode == "auto" else lambda df: mode == "mean"
+
+
 def chart_series(
-    df: DataFrame, columns: list[str], chart_type: str, spec_id: str = "0"
+    df: DataFrame, columns: list[str], chart_type: str, spec_id: str = "0", line: str = "auto"
 ) -> DataFrame:
-    """Series of a bar, pie or line chart over the matched columns."""
+    """Series of a bar, pie or line chart over the matched columns; :func:`line_mode` tells
+    what a line shows."""
     cache = GroupCache()
-    plan = plan_series(df, columns, chart_type)
+    plan = plan_series(df, columns, chart_type, line_mode(line))
     if plan.measures:
         for _, measure in plan.measures:
             cache.want("", plan.category, measure)

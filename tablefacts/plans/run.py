@@ -13,7 +13,7 @@ from ..functions.names import resolve_columns
 from ..operators.facts import FACTS, fact_measure, fact_rows, finish_facts
 from ..operators.groups import GroupCache, NotComputable
 from ..operators.kpi import finish_kpis, kpi_rows, plan_kpis, want_groups
-from ..operators.series import is_long, plan_series, series_rows, table_rows
+from ..operators.series import line_mode, plan_series, series_rows, table_rows
 from ..operators.templates import fill_template, is_unfilled
 
 # The sheet name of a spec without data, and the kinds of output.
@@ -197,6 +197,7 @@ def run_specs(
     tables: dict[str, DataFrame],
     strict: bool = False,
     keep_groups: bool = True,
+    line: str = "auto",
 ) -> Run:
     """Compute KPIs, facts, filled texts, series and tables of all specs.
 
@@ -204,6 +205,8 @@ def run_specs(
     bad spec becomes a text with a reason and never stops the others. Results of the same
     table that share a category share one group-by, persisted until ``release`` so that
     the frames of the run share it too; without ``keep_groups`` only parts of one frame do.
+    ``line`` is what line charts show: ``rows``, the ``mean`` per category, or by the size of
+    the table (``auto``).
     """
     listed = collect_specs(specs) if isinstance(specs, DataFrame) else specs
     if not tables:
@@ -211,7 +214,7 @@ def run_specs(
     spark = next(iter(tables.values())).sparkSession
     # Asked once for each table, however many specs name it.
     is_empty = cache_of(lambda name: tables[name].isEmpty())
-    long_line = cache_of(is_long)
+    long_line = cache_of(line_mode(line))
     planned = [_Spec(str(i), s, tables, is_empty, long_line) for i, s in enumerate(listed)]
     cache = GroupCache(keep=keep_groups)
     for p in planned:

@@ -89,6 +89,17 @@ def test_positions_over_three_files(spark, tmp_path):
     assert sorted((int(p["category"]), p["ord"], p["value"]) for p in points) == [(i, i, float(i)) for i in range(3000)]
 
 
+def test_line_modes(spark, harvest):
+    """What a line shows is an argument; by itself the size of the table decides."""
+    shown = lambda mode: len(chart_series(harvest, ["Orchard", "Crates"], "line", line=mode).collect())
+    assert (shown("auto"), shown("rows"), shown("mean")) == (10, 10, 4)
+    twice = harvest.union(harvest).union(harvest)
+    assert len(chart_series(twice, ["Orchard", "Crates"], "line").collect()) == 4
+    assert len(chart_series(twice, ["Orchard", "Crates"], "line", line="rows").collect()) == 30
+    with pytest.raises(ValueError, match="unknown line mode"):
+        chart_series(harvest, ["Orchard", "Crates"], "line", line="curve")
+
+
 def test_positions_over_blocks(spark):
     step = 1 << (BLOCK_BITS - 2)
     df = spark.range(40).select((F.col("id") * step - 3 * step).alias(ROW), (F.col("id") * 1.0).alias("v"))
