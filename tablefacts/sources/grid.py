@@ -12,6 +12,7 @@ from .cleanup import present_text
 
 HEADER_SCAN_ROWS = 10
 RAW = "_raw"
+BOM = "\ufeff"
 
 # What counts as a number or a truth value in a text cell.
 INTEGER_TEXT = r"^[+-]?\d{1,38}$"
@@ -32,7 +33,7 @@ def grid_width(spark: SparkSession, path: str, separator: str = ",", multiline:
     s = "\\" + separator
     quoted = f'(^|{s})"[^"]*+(?:""[^"]*+)*+"(?={s}|$)'
     records = _reader(spark, separator, multiline).schema(f"_c0 string, {RAW} string").csv(path)
-    outside = F.regexp_replace(RAW, quoted, "$1")
+    outside = F.when(F.contains(RAW, F.lit('"')), F.regexp_replace(RAW, quoted, "$1")).otherwise(F.col(RAW))
     separators = F.length(outside) - F.length(F.replace(outside, F.lit(separator), F.lit("")))
     # The reader does not answer for the column of whole records alone.
     widest = records.agg(F.max(separators).alias("n"), F.count("_c0").alias("cells")).first()
@@ -50,7 +51,7 @@ def load_grid(spark: SparkSession, path: str, separator: str = ",", multiline: b
     records = _reader(spark, separator, multiline).schema(", ".join(f"{n} string" for n in names)).csv(path)
     source = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
     source = F.url_decode(F.replace(source, F.lit("+"), F.lit("%2B")))
-    first = F.regexp_replace(names[0], r"^\x{FEFF}", "")
+    first = F.when(F.startswith(names[0], F.lit(BOM)), F.substring(names[0], 2, 2**31 - 1)).otherwise(F.col(names[0]))
     file, block = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
     place = F.struct(file, block, F.monotonically_increasing_id().alias("place"))
     cells = F.array(*[present_text(c) for c in (first, *map(F.col, names[1:]))])
