@@ -3,10 +3,12 @@
 Texts become sequences of words in which numbers, units (words after a number from a fixed
 list) and names (capitalised words inside a sentence) are typed placeholders. Windows of
 five such words are joined by hash. A document is contaminated by an item if it has at
-least 0.8 of the item's windows, and if the slots agree: along the alignment with most
-matches, each value of the item stands for one value of the document and the other way
-round. So a question with other numbers or names in it is found, and a text that only has
-the same frame with values at random is not.
+least 0.8 of the item's windows, and if 0.8 of them have the item's own values (a copy with
+a few edits) or the slots agree: along the alignment with most matches, or any with 0.8 of
+the windows, all slots but a fifth (or one) follow a map from values of the item to values
+of the document. Different names of the item are different names in the document; different
+numbers may become equal. So a question with other numbers or names in it is found, and a
+text that only has the same frame and breaks the map in more slots is not.
 
 Documents send only windows that pass a bitmap of the benchmark's hashes. The bitmap has a
 fixed size; with a benchmark too large for it more windows pass, and the join is the same.
@@ -19,6 +21,7 @@ once. Rows that repeat are judged each on its own. Other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +45,8 @@ from .common import (
 )
 
 WINDOW, SHARE = 5, 0.8
+#: Slots that may break the map from item to document: this share, or one.
+BROKEN = 0.2
 NUMBER, UNIT, NAME = b"\x01number", b"\x01unit", b"\x01name"
 #: Fixed list of units.
 UNITS = set(
@@ -115,6 +120,38 @@ def _windows(bitmap: bytes | None):
     return run
 
 
+def broken_slots(slots: list[tuple[str, str]]) -> int:
+    """How many (value of the item, value of the document) break the best map between them."""
+    goes = {}
+    for (own, value), n in Counter(slots).most_common():
+        goes.setdefault(own, (value, n))
+    kept = sum(n for _, n in goes.values())
+    taken: set[str] = set()
+    # The map's direction is from the item on, but two names don't become one.
+    for own, (value, n) in sorted(goes.items(), key=lambda x: (-x[1][1], x[0] != x[1][0], x[0])):
+        if own[0].isdigit() or own in UNITS:
+            continue
+        if value in taken:
+            kept -= n
+        taken.add(value)
+    return len(slots) - kept
+
+
+LINES = pa.schema([("rf", pa.int64()), ("ri", pa.int64()), ("item", pa.int64()), ("line", pa.int64()), ("n", pa.int64()), ("agree", pa.bool_())])
+LINES_SQL = "rf long, ri long, item long, line long, n long, agree boolean"
+
+
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether the slots along lines agree."""
+
+    def rows():
+        for rf, ri, item, line, n, slots in rows_of(batches):
+            broken = broken_slots([(z["own"], z["value"]) for z in slots])
+            yield rf, ri, item, line, n, broken <= max(1, BROKEN * len(slots))
+
+    return in_batches(rows(), LINES)
+
+
 def matches(keyed: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """(rf, ri, item_id, hits, windows, agree) for every document (with a row key) and item
     that has at least ``share`` of the item's windows."""
@@ -128,18 +165,20 @@ def matches(keyed: DataFrame, benchmark: DataFrame, share: float = SHARE) -> Dat
     found = keyed.select(*row_parts(), text).mapInArrow(_windows(bitmap), WINDOWS_SQL)
     found = found.select(F.col("f").alias("rf"), F.col("i").alias("ri"), "place", "hash", "slots")
     pairs = materialize(found.join(item_windows, "hash"))
-    enough = pairs.groupBy("rf", "ri", "item").agg(F.count_distinct("at").alias("hits")).join(sizes, "item")
-    enough = enough.where(F.col("hits") >= F.lit(float(share)) * F.col("windows") - F.lit(1e-9))
-    aligned = pairs.join(enough.select("rf", "ri", "item"), ["rf", "ri", "item"], "left_semi")
-    slots = F.filter(F.arrays_zip("own", "slots"), lambda z: (z["own"] != "") & (z["slots"] != ""))
+    most = lambda name: F.col(name) >= F.lit(float(share)) * F.col("windows") - F.lit(1e-9)
+    literal = F.count_distinct(F.when(F.col("own") == F.col("slots"), F.col("at"))).alias("literal")
+    enough = pairs.groupBy("rf", "ri", "item").agg(F.count_distinct("at").alias("hits"), literal).join(sizes, "item").where(most("hits"))
+    aligned = pairs.join(enough.where(~most("literal")).select("rf", "ri", "item"), ["rf", "ri", "item"], "left_semi")
+    slots = F.transform(F.arrays_zip("own", "slots"), lambda z, k: F.struct((F.col("at") + k).alias("at"), z["own"].alias("own"), z["slots"].alias("value")))
+    slots = F.filter(slots, lambda z: (z["own"] != "") & (z["value"] != ""))
     lines = aligned.select("rf", "ri", "item", (F.col("place") - F.col("at")).alias("line"), "at", slots.alias("slots"))
     # An item's own length bounds what meets here.
     lines = lines.groupBy("rf", "ri", "item", "line").agg(F.count_distinct("at").alias("n"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("s"))
-    different = lambda name: F.size(F.array_distinct(F.transform("s", lambda z: z[name])))
-    agree = (different("own") == F.size("s")) & (different("slots") == F.size("s"))
-    best = lines.select("rf", "ri", "item", F.struct("n", agree.alias("agree"), "line").alias("best")).groupBy("rf", "ri", "item").agg(F.max("best").alias("best"))
+    lines = lines.mapInArrow(_agreeing, LINES_SQL).join(sizes, "item")
+    best = lines.groupBy("rf", "ri", "item").agg(F.max(F.struct("n", "agree")).alias("best"), F.max(F.col("agree") & most("n")).alias("whole"))
     names = items.select("item", "item_id")
-    return enough.join(best, ["rf", "ri", "item"]).join(names, "item").select("rf", "ri", "item_id", "hits", "windows", F.col("best.agree").alias("agree"))
+    agree = most("literal") | F.coalesce(F.col("best.agree") | F.col("whole"), F.lit(False))
+    return enough.join(best, ["rf", "ri", "item"], "left").join(names, "item").select("rf", "ri", "item_id", "hits", "windows", agree.alias("agree"))
 
 
 def contaminated_rows(keyed: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
