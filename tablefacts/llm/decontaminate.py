@@ -2,7 +2,8 @@
 
 Texts become sequences of words in which numbers, units (words after a number from a fixed
 list) and names (capitalised words inside a sentence) are typed placeholders. Windows of
-five such words are joined by hash. A document is contaminated by an item if it has at
+five such words are joined by hash. As names depend on letter case, a second set of windows
+has them as words without case, and either set is enough. A document is contaminated by an item if it has at
 least 0.8 of the item's windows, and if 0.8 of them have the item's own values (a copy with
 a few edits) or the slots agree: along the alignment with most matches, or any with 0.8 of
 the windows, all slots but a fifth (or one) follow a map from values of the item to values
@@ -14,7 +15,8 @@ Documents send only windows that pass a bitmap of the benchmark's hashes. The bi
 fixed size; with a benchmark too large for it more windows pass, and the join is the same.
 
 Null and empty texts have no windows; texts and items of fewer than five words are one
-window. Windows of placeholders alone are left out. Ids may be null; equal items count
+window. Windows of placeholders alone are left out of the first set; in the second, those of
+numbers and units alone have their values in place of placeholders. Ids may be null; equal items count
 once. Rows that repeat are judged each on its own. Other columns are not read.
 """
 
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +51,10 @@ WINDOW, SHARE = 5, 0.8
 #: Slots that may break the map from item to document: this share, or one.
 BROKEN = 0.2
 NUMBER, UNIT, NAME = b"\x01number", b"\x01unit", b"\x01name"
+TYPES = [None, NUMBER, UNIT, NAME]
+MARKS = np.array([0] + [xxhash.xxh3_64_intdigest(m) for m in TYPES[1:]], dtype=np.uint64)
+#: What tells apart the hashes of windows without letter case, and of those by their values.
+FOLDED, LITERAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Fixed list of units.
 UNITS = set(
     "mm cm m km in ft yd mi mg g kg lb lbs oz t ml l s sec secs second seconds min mins minute minutes h hr hrs hour "
@@ -55,65 +62,94 @@ UNITS = set(
     "dollar dollars euro euros cent cents meter meters metre metres kilometer kilometers kilometre kilometres mile "
     "miles gram grams kilogram kilograms liter liters litre litres degree degrees".split()
 )
-TOKEN = re.compile(r"([^\w]*)(?:(\d+(?:[.,:/]\d+)*)|([^\W\d_]+))")
+TOKEN = re.compile(r"([^\w]*)(\d+(?:[.,:/]\d+)*|[^\W\d_]+)")
 SENTENCE_END = re.compile(r"[.!?:\n\r|\"“”]")
 
 
+def folded(token: str) -> str:
+    low = token.lower()
+    return low if low.isascii() else token.casefold()
+
+
+class TokenHashes(WordHashes):
+    """Hashes of tokens without letter case; the last three bits say what a token may be by
+    itself: 1 number, 2 unit, 4 name."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        low, name = folded(token), token[0].isupper() and not token.isupper()
+        flags = (1 if token[0].isdecimal() else 0) | (2 if low in UNITS else 0) | (4 if name else 0)
+        h = self[token] = self.of(low.encode()) >> 3 << 3 | flags
+        return h
+
+
+def typed(text: str, hashes: TokenHashes) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The tokens of a text, their hashes and their types (places in TYPES)."""
+    found = TOKEN.findall(text)
+    tokens = [t for _, t in found]
+    own = hashes.all(tokens)
+    flags = (own & np.uint64(7)).astype(np.int8)
+    types = flags & 1
+    types[1:][(flags[1:] & 2 > 0) & (types[:-1] == 1)] = 2
+    # The first word of a sentence is no name.
+    for k in np.flatnonzero((flags & 4 > 0) & (types == 0)).tolist():
+        if k and not SENTENCE_END.search(found[k][0]):
+            types[k] = 3
+    return tokens, own ^ flags.astype(np.uint64), types
+
+
+def values_of(tokens: list[str], types: list[int], but: int = 0) -> list[str]:
+    """The value of each number, unit and name; '' for words and for type ``but``."""
+    return [folded(t) if k and k != but else "" for t, k in zip(tokens, types)]
+
+
 def template(text: str) -> tuple[list[bytes], list[str]]:
     """The words of a text with typed placeholders, and the value of each ('' for words)."""
-    words, values, after_number, opening = [], [], False, True
-    for gap, number, word in TOKEN.findall(text):
-        if gap and not opening and SENTENCE_END.search(gap):
-            opening = True
-        if number:
-            words.append(NUMBER)
-            values.append(number)
-            after_number = True
-        else:
-            low = word.lower()
-            if after_number and low in UNITS:
-                words.append(UNIT)
-                values.append(low)
-            elif not opening and word[0].isupper() and not word.isupper():
-                words.append(NAME)
-                values.append(low)
-            else:
-                words.append(low.encode())
-                values.append("")
-            after_number = False
-        opening = False
-    return words, values
-
-
-def windows_of(text: str, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Hashes of the windows, their first words, and the values of all words."""
-    words, values = template(text)
-    found = window_hashes(hashes.all(words), WINDOW)
-    plain = np.array([not v for v in values], dtype=np.int64)
-    sums = np.concatenate([[0], np.cumsum(plain)])
-    ends = np.minimum(np.arange(len(found)) + WINDOW, len(words))
-    at = np.flatnonzero(sums[ends] - sums[: len(found)] > 0)
-    return found[at], at, values
-
-
-WINDOWS = pa.schema([("f", pa.int64()), ("i", pa.int64()), ("place", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))])
-WINDOWS_SQL = "f long, i long, place long, hash long, slots array<string>"
+    tokens, _, types = typed(text, TokenHashes())
+    return [TYPES[k] or folded(t).encode() for t, k in zip(tokens, types)], values_of(tokens, types.tolist())
+
+
+def windows_of(own: np.ndarray, types: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For both sets of windows, their hashes and their first words.
+
+    Set 0 has placeholders for numbers, units and names. Set 1 doesn't depend on letter
+    case: names are words in it, and windows without a word have their values."""
+    plain = np.where((types == 1) | (types == 2), MARKS[types], own)
+    found, other = window_hashes(np.where(types == 3, MARKS[3], plain), WINDOW), window_hashes(plain, WINDOW) ^ FOLDED
+    ends = np.minimum(np.arange(len(found)) + WINDOW, len(own))
+
+    def with_words(is_word: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(is_word)])
+        return sums[ends] - sums[: len(found)] > 0
+
+    at = np.flatnonzero(with_words(types == 0))
+    bare = ~with_words((types == 0) | (types == 3))
+    if bare.any():
+        other[bare] = window_hashes(own, WINDOW)[bare] ^ LITERAL
+    return [(found[at], at), (other, np.arange(len(other)))]
+
+
+WINDOWS = pa.schema([("f", pa.int64()), ("i", pa.int64()), ("way", pa.int64()), ("place", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))])
+WINDOWS_SQL = "f long, i long, way long, place long, hash long, slots array<string>"
 
 
 def _windows(bitmap: bytes | None):
     """The windows of texts; given a bitmap, only those that pass it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = TokenHashes()
 
         def rows():
             for f, i, data in rows_of(batches):
-                found, at, values = windows_of(data.decode("utf-8", "replace"), hashes)
-                if bitmap is not None and len(found):
-                    passed = in_bitmap(bitmap, found)
-                    found, at = found[passed], at[passed]
-                for h, p in zip(signed(found).tolist(), at.tolist()):
-                    yield f, i, p, h, values[p : p + WINDOW]
+                tokens, own, types = typed(data.decode("utf-8", "replace"), hashes)
+                for way, (found, at) in enumerate(windows_of(own, types)):
+                    if bitmap is not None and len(found):
+                        passed = in_bitmap(bitmap, found)
+                        found, at = found[passed], at[passed]
+                    for h, p in zip(signed(found).tolist(), at.tolist()):
+                        kinds = types[p : p + WINDOW].tolist()
+                        yield f, i, way, p, h, values_of(tokens[p : p + WINDOW], kinds, 3 if way else 0)
 
         return in_batches(rows(), WINDOWS)
 
@@ -137,48 +173,48 @@ def broken_slots(slots: list[tuple[str, str]]) -> int:
     return len(slots) - kept
 
 
-LINES = pa.schema([("rf", pa.int64()), ("ri", pa.int64()), ("item", pa.int64()), ("line", pa.int64()), ("n", pa.int64()), ("agree", pa.bool_())])
-LINES_SQL = "rf long, ri long, item long, line long, n long, agree boolean"
+LINES = pa.schema([("rf", pa.int64()), ("ri", pa.int64()), ("item", pa.int64()), ("way", pa.int64()), ("line", pa.int64()), ("n", pa.int64()), ("agree", pa.bool_())])
+LINES_SQL = "rf long, ri long, item long, way long, line long, n long, agree boolean"
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whether the slots along lines agree."""
 
     def rows():
-        for rf, ri, item, line, n, slots in rows_of(batches):
+        for rf, ri, item, way, line, n, slots in rows_of(batches):
             broken = broken_slots([(z["own"], z["value"]) for z in slots])
-            yield rf, ri, item, line, n, broken <= max(1, BROKEN * len(slots))
+            yield rf, ri, item, way, line, n, broken <= max(1, BROKEN * len(slots))
 
     return in_batches(rows(), LINES)
 
 
 def matches(keyed: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """(rf, ri, item_id, hits, windows, agree) for every document (with a row key) and item
-    that has at least ``share`` of the item's windows."""
+    """(rf, ri, item_id, hits, windows, agree) for every document (with a row key), item and
+    set of windows of which it has at least ``share`` of the item's."""
     text = as_bytes("text").alias("data")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct()
     items = materialize(items.select("*", F.monotonically_increasing_id().alias("item")))
     item_windows = items.select("item", F.lit(0).cast("long").alias("z"), text).mapInArrow(_windows(None), WINDOWS_SQL)
-    item_windows = materialize(item_windows.select(F.col("f").alias("item"), F.col("place").alias("at"), "hash", F.col("slots").alias("own")))
-    sizes = item_windows.groupBy("item").agg(F.count(F.lit(1)).alias("windows"))
+    item_windows = materialize(item_windows.select(F.col("f").alias("item"), "way", F.col("place").alias("at"), "hash", F.col("slots").alias("own")))
+    sizes = item_windows.groupBy("item", "way").agg(F.count(F.lit(1)).alias("windows"))
     bitmap = bitmap_of(item_windows.select("hash"))
     found = keyed.select(*row_parts(), text).mapInArrow(_windows(bitmap), WINDOWS_SQL)
-    found = found.select(F.col("f").alias("rf"), F.col("i").alias("ri"), "place", "hash", "slots")
-    pairs = materialize(found.join(item_windows, "hash"))
+    found = found.select(F.col("f").alias("rf"), F.col("i").alias("ri"), "way", "place", "hash", "slots")
+    pairs = materialize(found.join(item_windows, ["way", "hash"]))
     most = lambda name: F.col(name) >= F.lit(float(share)) * F.col("windows") - F.lit(1e-9)
     literal = F.count_distinct(F.when(F.col("own") == F.col("slots"), F.col("at"))).alias("literal")
-    enough = pairs.groupBy("rf", "ri", "item").agg(F.count_distinct("at").alias("hits"), literal).join(sizes, "item").where(most("hits"))
-    aligned = pairs.join(enough.where(~most("literal")).select("rf", "ri", "item"), ["rf", "ri", "item"], "left_semi")
+    enough = pairs.groupBy("rf", "ri", "item", "way").agg(F.count_distinct("at").alias("hits"), literal).join(sizes, ["item", "way"]).where(most("hits"))
+    aligned = pairs.join(enough.where(~most("literal")).select("rf", "ri", "item", "way"), ["rf", "ri", "item", "way"], "left_semi")
     slots = F.transform(F.arrays_zip("own", "slots"), lambda z, k: F.struct((F.col("at") + k).alias("at"), z["own"].alias("own"), z["slots"].alias("value")))
     slots = F.filter(slots, lambda z: (z["own"] != "") & (z["value"] != ""))
-    lines = aligned.select("rf", "ri", "item", (F.col("place") - F.col("at")).alias("line"), "at", slots.alias("slots"))
+    lines = aligned.select("rf", "ri", "item", "way", (F.col("place") - F.col("at")).alias("line"), "at", slots.alias("slots"))
     # An item's own length bounds what meets here.
-    lines = lines.groupBy("rf", "ri", "item", "line").agg(F.count_distinct("at").alias("n"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("s"))
-    lines = lines.mapInArrow(_agreeing, LINES_SQL).join(sizes, "item")
-    best = lines.groupBy("rf", "ri", "item").agg(F.max(F.struct("n", "agree")).alias("best"), F.max(F.col("agree") & most("n")).alias("whole"))
+    lines = lines.groupBy("rf", "ri", "item", "way", "line").agg(F.count_distinct("at").alias("n"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("s"))
+    lines = lines.mapInArrow(_agreeing, LINES_SQL).join(sizes, ["item", "way"])
+    best = lines.groupBy("rf", "ri", "item", "way").agg(F.max(F.struct("n", "agree")).alias("best"), F.max(F.col("agree") & most("n")).alias("whole"))
     names = items.select("item", "item_id")
     agree = most("literal") | F.coalesce(F.col("best.agree") | F.col("whole"), F.lit(False))
-    return enough.join(best, ["rf", "ri", "item"], "left").join(names, "item").select("rf", "ri", "item_id", "hits", "windows", agree.alias("agree"))
+    return enough.join(best, ["rf", "ri", "item", "way"], "left").join(names, "item").select("rf", "ri", "item_id", "hits", "windows", agree.alias("agree"))
 
 
 def contaminated_rows(keyed: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:

@@ -26,3 +26,15 @@ def test_decontamination_with_broken_maps(spark):
     assert got == {1: [1], 2: [2], 3: [3], 4: []}
     assert broken_slots([("2", "4"), ("3", "4"), ("2", "4")]) == 0 and broken_slots([("2", "4"), ("2", "7")]) == 1
     assert broken_slots([("anna", "lea"), ("tom", "lea"), ("anna", "lea")]) == 1 and broken_slots([]) == 0
+
+
+def test_decontamination_in_another_letter_case(spark):
+    item = "in the harbour of Genoa old captain Marco met Lucia and Paolo. They sailed 30 miles to Elba where Rosa sold the straße maps to Pietro for 12 euros"
+    bare = "Anna 5 Bob 3 Carl 7 Dora 12 Emil 40"
+    numbers = "3 14 15 92 65 35 89"
+    texts = [item.lower(), item.upper(), item.title(), item.replace(".", ""), item.lower().replace("30", "45").replace("12", "8"), f"so {bare} then", numbers]
+    texts += [item.replace("Marco", "Anton").replace("Lucia", "Berta"), "Gina 8 Hugo 9 Ivan 2 Jana 11 Kurt 50", "1 2 3 4 5 6 7", item.lower()[:60]]
+    docs = materialize(spark.createDataFrame([(i, t, None, None, "q") for i, t in enumerate(texts)], DOCS))
+    benchmark = spark.createDataFrame([(1, item), (2, bare), (3, numbers)], "item_id long, text string")
+    got = [r["items"] for r in find_contamination(docs, benchmark).orderBy("doc_id").collect()]
+    assert got == [[1]] * 5 + [[2], [3], [1], [], [], []]
