@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
-1. Voters. A lexicon of word beginnings is mined from a bounded sample of labelled training
-   documents (those far commoner in toxic ones than chance allows), beside a fixed seed
-   list. Lexicon voters are groups of its entries; pattern voters look at how often, how
+1. Voters. A lexicon of word beginnings, short words and runs of letters inside words is
+   mined from a bounded sample of labelled training documents (all that are far commoner in
+   toxic ones than chance allows), beside a fixed seed list. Lexicon voters are groups of its entries; pattern voters look at how often, how
    densely and how variedly entries come, at entries that share a line, and at shouting.
    A voter says 1 (toxic), -1 (clean) or 0 (nothing).
 2. Label model. The votes of all documents are counted by pattern (3 to the power of the
@@ -35,8 +35,15 @@ from .linear import fit, held_out, linear, probability, sigmoid, training_labels
 
 #: Fixed seed list of insults.
 SEEDS = ["idiot", "moron", "loser", "scum", "stupid", "pathetic", "worthless", "disgusting", "trash", "clown"]
-#: Lengths of word beginnings that may become entries, and entries at most.
-SHORTEST, LONGEST, MOST_ENTRIES = 4, 9, 400
+#: Lengths of word beginnings that may become entries. Shorter words may as a whole.
+SHORTEST, LONGEST = 4, 9
+#: Lengths of letter runs inside words that may, and in scripts without blanks.
+GRAMS, DENSE_GRAMS = (4, 5, 6), (2, 3, 4)
+DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+#: First character of entries that are whole words, and runs.
+WHOLE, RUN = "=", "*"
+#: Entries that a task counts before it passes them on.
+MOST_COUNTED = 200_000
 #: Groups of entries, each a lexicon voter.
 GROUPS = 3
 #: Documents whose posterior labels the classifier is fitted on, at most.
@@ -49,21 +56,74 @@ FEATURES = ["hits", "hits_twice", "distinct", "density", "together", "seeds", "w
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: how many documents of each label have each word beginning."""
-    counts: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
-    for text, label in rows_of(batches):
-        words = Counter(WORD.findall(text.decode("utf-8", "replace").lower()))
-        found: Counter = Counter()
-        for word, n in words.items():
-            for size in range(SHORTEST, min(len(word), LONGEST) + 1):
-                found[word[:size]] += n
-        for entry, n in found.items():
-            c = counts[entry]
-            c[label] += 1
-            c[2] += min(n, 3) if label else 0
-    schema = pa.schema([("entry", pa.string()), ("clean", pa.int64()), ("toxic", pa.int64()), ("uses", pa.int64())])
-    yield from in_batches(((k, a, b, n) for k, (a, b, n) in counts.items()), schema)
+def runs_of(word: str) -> set[str]:
+    """The runs of letters inside a word that may be entries."""
+    if DENSE.search(word):
+        return {word[k : k + n] for n in DENSE_GRAMS for k in range(len(word) - n + 1)}
+    return {word[k : k + n] for n in GRAMS for k in range(1, len(word) - n + 1)}
+
+
+def candidates(word: str) -> list[str]:
+    """All entries that a word may bring."""
+    found = [word[:n] for n in range(SHORTEST, min(len(word), LONGEST) + 1)]
+    return found + ([WHOLE + word] if len(word) < SHORTEST else []) + [RUN + r for r in runs_of(word)]
+
+
+def _counted(allowed: set[str] | None):
+    """Per task: in how many documents each entry is, and how often, up to three times in each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("entry", pa.string()), ("docs", pa.int64()), ("uses", pa.int64())])
+
+        def rows():
+            counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+            for (text,) in rows_of(batches):
+                found: Counter = Counter()
+                for word, n in Counter(WORD.findall(text.decode("utf-8", "replace").lower())).items():
+                    for entry in candidates(word):
+                        if allowed is None or entry in allowed:
+                            found[entry] += n
+                for entry, n in found.items():
+                    c = counts[entry]
+                    c[0] += 1
+                    c[1] += min(n, 3)
+                if len(counts) > MOST_COUNTED:
+                    yield from ((k, a, b) for k, (a, b) in counts.items())
+                    counts.clear()
+            yield from ((k, a, b) for k, (a, b) in counts.items())
+
+        return in_batches(rows(), schema)
+
+    return run
+
+
+def entry_counts(texts: DataFrame, allowed: set[str] | None = None) -> DataFrame:
+    """(entry, docs, uses) over ``texts`` (text)."""
+    counts = texts.select("text").mapInArrow(_counted(allowed), "entry string, docs long, uses long")
+    return counts.groupBy("entry").agg(F.sum("docs").alias("docs"), F.sum("uses").alias("uses"))
+
+
+def families(toxic_of: dict[str, int]) -> list[str]:
+    """Of all entries that mark toxic documents, one for each family."""
+    kept: set[str] = set()
+    for entry in sorted((e for e in toxic_of if e[0] != WHOLE), key=lambda e: (len(e), e)):
+        if entry[0] == RUN:
+            inner = entry[1:]
+            if any(RUN + inner[a:b] in kept for a in range(len(inner)) for b in range(a + 2, len(inner) + 1)):
+                continue
+        elif any(entry[:k] in kept for k in range(SHORTEST, len(entry))):
+            continue  # a longer entry says nothing new
+        kept.add(entry)
+    longer: dict[str, list[str]] = defaultdict(list)
+    for entry in sorted(toxic_of):
+        longer[entry[:-1]].append(entry)
+    # Of a family, the longest beginning that is in as many toxic documents.
+    longest = {e for e in toxic_of if e[0] == WHOLE}
+    for entry in kept:
+        while entry[0] != RUN and (same := [e for e in longer[entry] if toxic_of[e] >= 0.95 * toxic_of[entry]]):
+            entry = same[0]
+        longest.add(entry)
+    return sorted(longest)
 
 
 #: Minima of shingles by which copies among the training documents are found.
@@ -100,7 +160,7 @@ def different_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
 
 
 def mine_lexicon(docs: DataFrame, training: DataFrame) -> list[str]:
-    """Word beginnings that mark toxic documents, one for each family.
+    """Beginnings, short words and inner runs that mark toxic documents, one for each family.
 
     An entry must be in so many toxic documents, and so much more often used than once in
     each, that less than one entry of its kind would be there by chance; of a family of
@@ -110,41 +170,39 @@ def mine_lexicon(docs: DataFrame, training: DataFrame) -> list[str]:
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
         return []
-    counts = sample.mapInArrow(_beginnings, "entry string, clean long, toxic long, uses long")
-    counts = counts.groupBy("entry").agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "uses")]).where("toxic > 1")
+    counts = materialize(entry_counts(sample.where("label = 1")).where("docs > 1"))
+    kind = F.when(F.col("entry").startswith(WHOLE), WHOLE).when(F.col("entry").startswith(RUN), RUN).otherwise("")
+    kinds = {r["kind"]: max(2, r["count"]) for r in counts.groupBy(kind.alias("kind")).count().collect()}
     base = toxic / (toxic + clean)
-    kinds = max(2, counts.count())
     # Each further use counts half a document.
-    evidence = (F.col("toxic") + (F.col("uses") - F.col("toxic")) / 2) * float(-np.log(base))
-    precise = F.col("toxic") / toxic > 25 * F.col("clean") / clean
-    chosen = counts.where(precise & (evidence > float(np.log(kinds)))).orderBy(F.desc("toxic"), F.length("entry"), "entry").limit(MOST_ENTRIES)
-    toxic_of = {r["entry"]: r["toxic"] for r in chosen.collect()}
-    kept: set[str] = set()
-    for entry in sorted(toxic_of, key=lambda e: (len(e), e)):
-        if any(entry[:k] in kept for k in range(SHORTEST, len(entry))):
-            continue  # a longer entry says nothing new
-        kept.add(entry)
-    # Of a family, the longest beginning that is in as many toxic documents.
-    longest = set()
-    for entry in kept:
-        while same := [e for e in toxic_of if len(e) == len(entry) + 1 and e.startswith(entry) and toxic_of[e] >= 0.95 * toxic_of[entry]]:
-            entry = same[0]
-        longest.add(entry)
-    return sorted(longest)
+    evidence = (F.col("docs") + (F.col("uses") - F.col("docs")) / 2) * float(-np.log(base))
+    needed = F.lit(0.0)
+    for k, many in kinds.items():
+        needed = F.when(kind == k, F.lit(float(np.log(many)))).otherwise(needed)
+    # The bounded sample bounds what comes here.
+    toxic_of = {r["entry"]: r["docs"] for r in counts.where(evidence > needed).select("entry", "docs").collect()}
+    clean_of = {r["entry"]: r["docs"] for r in entry_counts(sample.where("label = 0"), set(toxic_of)).collect()}
+    return families({e: d for e, d in toxic_of.items() if d / toxic > 25 * clean_of.get(e, 0) / clean})
 
 
 class Lexicon:
-    """Looks words up by their beginnings; remembers words while there are not too many."""
+    """Looks words up by their beginnings, whole if they are short, then by runs inside;
+    remembers words while there are not too many."""
 
     def __init__(self, entries: list[str]):
         self.entries = {e: k for k, e in enumerate(entries)}
-        self.sizes = sorted({len(e) for e in entries})
+        self.sizes = sorted({len(e) for e in entries if e[0] not in (WHOLE, RUN)})
+        self.runs = any(e[0] == RUN for e in entries)
         self.seen: dict[str, int] = {}
 
     def find(self, word: str) -> int:
         k = self.seen.get(word)
         if k is None:
             k = next((self.entries[word[:s]] for s in self.sizes if word[:s] in self.entries), -1)
+            if k < 0 and len(word) < SHORTEST:
+                k = self.entries.get(WHOLE + word, -1)
+            if k < 0 and self.runs:
+                k = min((self.entries[RUN + r] for r in runs_of(word) if RUN + r in self.entries), default=-1)
             if len(self.seen) > 300_000:
                 self.seen.clear()
             self.seen[word] = k

@@ -4,6 +4,7 @@ import random
 
 from tablefacts.llm.common import materialize
 from tablefacts.llm.decontaminate import broken_slots, find_contamination
+from tablefacts.llm.toxicity import RUN, WHOLE, Lexicon, families, mine_lexicon
 
 DOCS = "doc_id long, text string, lang string, source string, score string"
 
@@ -38,3 +39,26 @@ def test_decontamination_in_another_letter_case(spark):
     benchmark = spark.createDataFrame([(1, item), (2, bare), (3, numbers)], "item_id long, text string")
     got = [r["items"] for r in find_contamination(docs, benchmark).orderBy("doc_id").collect()]
     assert got == [[1]] * 5 + [[2], [3], [1], [], [], []]
+
+
+def test_lexicon_keeps_rare_and_short_insults(spark):
+    words = random.Random(10)
+    word = lambda letters, n: "".join(words.choice(letters) for _ in range(n))
+    insults = sorted({word("qxzvw", 9) for _ in range(600)})
+    rows = []
+    for k in range(3600):
+        text = [word("abcde", 5) for _ in range(12)]
+        if k < 900:
+            text += [insults[(k * 4 + j) % len(insults)] for j in range(4)]
+        if k < 100:
+            text += ["xyz", f"{word('ab', 3)}kjhgf{word('ab', 2)}", "fghi" * 3 if k < 2 else "an"]
+        if 100 <= k < 200:
+            text += ["今日は" + word("一二三四五", 2) + "馬鹿" + word("一二三四五", 2)]
+        rows.append((k, " ".join(text)))
+    docs = materialize(spark.createDataFrame([(i, t, None, None, "q") for i, t in rows], DOCS))
+    labels = spark.createDataFrame([(k, int(k < 900)) for k in range(3600)], "doc_id long, label int")
+    lexicon = Lexicon(mine_lexicon(docs, labels))
+    assert sum(lexicon.find(w) >= 0 for w in insults) > 0.99 * len(insults)
+    assert lexicon.find("xyz") >= 0 and lexicon.find("bbakjhgfab") >= 0 and lexicon.find("一馬鹿二") >= 0
+    assert not any(lexicon.find(word("abcde", 5)) >= 0 for _ in range(50)) and lexicon.find("xy") < 0
+    assert families({"idio": 5, "idiot": 5, WHOLE + "ass": 4, RUN + "diot": 5, RUN + "diots": 5}) == [RUN + "diot", WHOLE + "ass", "idiot"]
