@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, bounded_batches, in_batches, materialize, mix, rows_of, signed, window_hashes
+from .common import as_bytes, bounded_batches, in_batches, materialize, rows_of
 from .linear import fit, held_out, linear, probability, sigmoid, training_labels
+from .near_dedup import without_near_duplicates
 
 #: Fixed seed list of insults.
 SEEDS = ["idiot", "moron", "loser", "scum", "stupid", "pathetic", "worthless", "disgusting", "trash", "clown"]
@@ -126,37 +127,19 @@ def families(toxic_of: dict[str, int]) -> list[str]:
     return sorted(longest)
 
 
-#: Minima of shingles by which copies among the training documents are found.
-KEYS, SHARED = 8, 2
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training documents with a few minima of their shingles."""
-    hashes = WordHashes()
-    salts = mix(np.arange(1, KEYS + 1, dtype=np.uint64))
-
-    def rows():
-        for doc_id, label, text in rows_of(batches):
-            found = window_hashes(hashes.all(text.lower().split()), 3)
-            keys = signed(mix(found[None, :] ^ salts[:, None]).min(axis=1)).tolist() if len(found) else []
-            yield doc_id, label, text, keys
-
-    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("text", pa.binary()), ("keys", pa.list_(pa.int64()))])
-    return in_batches(rows(), schema, size=500)
+#: Similarity of the sets of shingles from which on training documents are copies, in hundredths.
+COPIES = 80
 
 
 def different_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """(text, label) of the training documents, of copies of each other only the first.
-
-    Copies of one toxic document would make all of its rare words look like insults."""
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes("text").alias("text"))
-    sample = sample.join(F.broadcast(training), "doc_id").select("doc_id", "label", "text")
-    sample = materialize(sample.mapInArrow(_keyed, "doc_id long, label int, text binary, keys array<long>"))
-    keys = sample.select("doc_id", F.posexplode("keys").alias("k", "key")).distinct()
-    first = keys.groupBy("k", "key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = keys.join(first, ["k", "key"]).where("doc_id > first").groupBy("doc_id", "first").agg(F.count(F.lit(1)).alias("n"))
-    copies = shared.where(F.col("n") >= SHARED).select("doc_id").distinct()
-    return sample.join(copies, "doc_id", "left_anti").select("text", "label")
+    """(text, label) of the training documents, of copies of one label only the first.
+
+    Copies of one toxic document would make all of its rare words look like insults. A page
+    with insults in it is no copy of the clean one."""
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(training), "doc_id")
+    sample = materialize(sample.select("doc_id", "text", "label"))
+    toxic, clean = (without_near_duplicates(materialize(sample.where(F.col("label") == k)), COPIES) for k in (1, 0))
+    return toxic.unionByName(clean).select(as_bytes("text").alias("text"), "label")
 
 
 def mine_lexicon(docs: DataFrame, training: DataFrame) -> list[str]:

@@ -4,7 +4,7 @@ import random
 
 from tablefacts.llm.common import materialize
 from tablefacts.llm.decontaminate import broken_slots, find_contamination
-from tablefacts.llm.toxicity import RUN, WHOLE, Lexicon, families, mine_lexicon
+from tablefacts.llm.toxicity import RUN, WHOLE, Lexicon, different_documents, families, mine_lexicon
 
 DOCS = "doc_id long, text string, lang string, source string, score string"
 
@@ -62,3 +62,16 @@ def test_lexicon_keeps_rare_and_short_insults(spark):
     assert lexicon.find("xyz") >= 0 and lexicon.find("bbakjhgfab") >= 0 and lexicon.find("一馬鹿二") >= 0
     assert not any(lexicon.find(word("abcde", 5)) >= 0 for _ in range(50)) and lexicon.find("xy") < 0
     assert families({"idio": 5, "idiot": 5, WHOLE + "ass": 4, RUN + "diot": 5, RUN + "diots": 5}) == [RUN + "diot", WHOLE + "ass", "idiot"]
+
+
+def test_only_copies_of_one_label_count_once(spark):
+    words = random.Random(11)
+    prose = lambda n: " ".join("".join(words.choice("klmnop") for _ in range(5)) for _ in range(n))
+    page = prose(40)
+    rows = [(k, f"{page} {prose(50)}", 1) for k in range(40)]  # a shared passage, similarity about 0.27
+    rows += [(100 + k, f"{page} {prose(1)}", 1) for k in range(5)]  # copies
+    rows += [(50, f"{page} x", 0), (200, None, 0), (201, "", 1)]
+    docs = materialize(spark.createDataFrame([(i, t, None, None, "q") for i, t, _ in rows], DOCS))
+    labels = spark.createDataFrame([(i, n) for i, _, n in rows], "doc_id long, label int")
+    got = different_documents(docs, labels).collect()
+    assert sum(r.label for r in got) == 42 and len(got) == 44
