@@ -279,7 +279,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, Da
     entries = mine_lexicon(docs, known) or list(SEEDS)
     rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), measured(docs, entries).alias("m")))
     # The sample of labels is bounded, so that it may go to every task.
-    voted = rows.join(F.broadcast(known), "doc_id", "left").select("m", votes(F.col("m")).alias("v"), F.coalesce("label", F.lit(-1)).alias("label"))
+    voted = rows.join(F.broadcast(known), "doc_id", "left").select("doc_id", "m", votes(F.col("m")).alias("v"), F.coalesce("label", F.lit(-1)).alias("label"))
     table = voted.groupBy("v", "label").agg(F.count(F.lit(1)).alias("n")).orderBy("v", "label").collect()
     if not table:
         return entries, np.zeros(len(FEATURES) + 1), rows
@@ -289,10 +289,12 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, Da
     w, b = label_model(patterns, n, given, prior)
 
     total = int(n.sum())
-    share = F.pmod(F.xxhash64("m", F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, MOST_FITTED / max(1, total)))
-    sample = voted.where(share).groupBy(features_of(F.col("m")).alias("x"), "v").agg(F.count(F.lit(1)).alias("n")).limit(2 * MOST_FITTED).collect()
+    share = F.pmod(F.xxhash64("doc_id", "m", F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, MOST_FITTED / max(1, total)))
+    grouped = lambda rows: rows.groupBy(features_of(F.col("m")).alias("x"), "v").agg(F.count(F.lit(1)).alias("n"))
+    order = [F.xxhash64("x", "v", F.lit(7)), "x", "v"]
+    sample = grouped(voted.where(share)).orderBy(*order).limit(2 * MOST_FITTED).collect()
     if not sample:
-        sample = voted.groupBy(features_of(F.col("m")).alias("x"), "v").agg(F.count(F.lit(1)).alias("n")).limit(MOST_FITTED).collect()
+        sample = grouped(voted).orderBy(*order).limit(MOST_FITTED).collect()
     sample.sort(key=lambda r: (r["x"], r["v"]))
     x, v = np.array([r["x"] for r in sample]), np.array([r["v"] for r in sample], dtype=float)
     weights = fit(x, sigmoid(v @ w + b), np.array([r["n"] for r in sample], dtype=float))
