@@ -1,4 +1,4 @@
-"""Repeated byte strings removed, by prefix doubling over sampled positions.
+"""Repeated byte strings removed, by hashed content anchors in place of prefix doubling.
 
 A byte goes if a string of ``length`` (200) bytes covers it that starts anywhere else too,
 in the same document or another. Strings are judged on the input; overlaps count.
