@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import alignment_digests
 from .chat import chat_windows, conversation_digests
 from .common import with_row_key
 from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
+from .merkle import document_manifest
 from .mixing import mix_sources
 from .near_dedup import near_dedup
 from .quality import score_quality
@@ -81,6 +83,16 @@ def op10_sharding(spark, sf_dir):
     return assign_shards(rows, even_tree(40)).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op12_merkle(spark, sf_dir):
+    """Leaves, roots and tried proofs of every document."""
+    return document_manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark, sf_dir):
+    """How the tokens of two tokenizers match in every document."""
+    return alignment_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -94,5 +106,7 @@ QUERIES = {
         op8_chat,
         op9_warc,
         op10_sharding,
+        op12_merkle,
+        op13_alignment,
     )
 }
