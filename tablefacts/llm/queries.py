@@ -16,6 +16,7 @@ from .near_dedup import near_dedup
 from .quality import score_quality
 from .sharding import assign_shards, even_tree
 from .suffixes import without_repeats
+from .topk import top_k
 from .toxicity import score_toxicity
 from .warc import archive_and_read
 
@@ -83,6 +84,11 @@ def op10_sharding(spark, sf_dir):
     return assign_shards(rows, even_tree(40)).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op11_topk(spark, sf_dir):
+    """The ten best candidates of every hundredth vector, by their ids."""
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op12_merkle(spark, sf_dir):
     """Leaves, roots and tried proofs of every document."""
     return document_manifest(table(spark, sf_dir, "documents"))
@@ -106,6 +112,7 @@ QUERIES = {
         op8_chat,
         op9_warc,
         op10_sharding,
+        op11_topk,
         op12_merkle,
         op13_alignment,
     )
