@@ -9,6 +9,7 @@ from ..functions.columns import ROW, local_frame
 from ..functions.names import clean_names, header_names
 from ..session import shared_folder
 from .cleanup import present_text
+from .records import cut_records, load_chunks
 
 HEADER_SCAN_ROWS = 10
 RAW = "_raw"
@@ -22,40 +23,64 @@ TRUTH_TEXTS = ["TRUE", "True", "true", "FALSE", "False", "false"]
 TABLES = {"bigint": "integers", "decimal(38,0)": "wide", "double": "numbers", "boolean": "truths"}
 
 
-def _reader(spark: SparkSession, separator: str, multiline: bool):
-    options = {"sep": separator, "quote": '"', "escape": '"', "multiLine": multiline, "columnNameOfCorruptRecord": RAW}
-    return spark.read.options(**options)
+def _options(separator: str, multiline: bool = False) -> dict:
+    return {"sep": separator, "quote": '"', "escape": '"', "multiLine": multiline}
 
 
-def grid_width(spark: SparkSession, path: str, separator: str = ",", multiline: bool = False) -> int:
+def _separators(record: str, separator: str) -> Column:
+    """How many separators a record has outside quoted cells."""
+    s = "\\" + separator
+    # doubled quotes go first, as a pattern that repeats over them needs a stack
+    plain = F.replace(record, F.lit('""'), F.lit(""))
+    closed = F.regexp_replace(plain, f'(^|{s})"[^"]*+"(?={s}|$)', "$1")
+    outside = F.when(F.contains(record, F.lit('"')), closed).otherwise(F.col(record))
+    return F.length(outside) - F.length(F.replace(outside, F.lit(separator), F.lit("")))
+
+
+def grid_width(spark: SparkSession, path: str, separator: str = ",") -> int:
     """Cells of the widest record. A record of more than one cell does not fit the schema
     here, so the reader hands it over whole; separators in quoted cells are not counted."""
-    s = "\\" + separator
-    quoted = f'(^|{s})"[^"]*+(?:""[^"]*+)*+"(?={s}|$)'
-    records = _reader(spark, separator, multiline).schema(f"_c0 string, {RAW} string").csv(path)
-    outside = F.when(F.contains(RAW, F.lit('"')), F.regexp_replace(RAW, quoted, "$1")).otherwise(F.col(RAW))
-    separators = F.length(outside) - F.length(F.replace(outside, F.lit(separator), F.lit("")))
+    options = _options(separator) | {"columnNameOfCorruptRecord": RAW}
+    records = spark.read.options(**options).schema(f"_c0 string, {RAW} string").csv(path)
     # The reader does not answer for the column of whole records alone.
-    widest = records.agg(F.max(separators).alias("n"), F.count("_c0").alias("cells")).first()
+    widest = records.agg(F.max(_separators(RAW, separator)).alias("n"), F.count("_c0").alias("cells")).first()
     return 1 + (widest["n"] or 0)
 
 
+def _lines(spark: SparkSession, path: str, separator: str) -> tuple[DataFrame, int]:
+    """Cells and places of records that are lines, and the number of cells."""
+    width = grid_width(spark, path, separator)
+    records = spark.read.options(**_options(separator)).schema(_cell_schema(width)).csv(path)
+    file, block = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    return records.select("*", file, block, F.monotonically_increasing_id().alias("place")), width
+
+
+def _multiline(spark: SparkSession, path: str, separator: str) -> tuple[DataFrame, int]:
+    """The same of records with line breaks in quoted cells."""
+    records = cut_records(kept_grid(load_chunks(spark, path, separator)), separator)
+    width = 1 + (records.agg(F.max(_separators("record", separator))).first()[0] or 0)
+    cells = F.from_csv("record", _cell_schema(width), _options(separator, multiline=True))
+    return records.select("file", "block", "place", cells.alias("x")).select("x.*", "file", "block", "place"), width
+
+
+def _cell_schema(width: int) -> str:
+    return ", ".join(f"_c{i} string" for i in range(width))
+
+
 def load_grid(spark: SparkSession, path: str, separator: str = ",", multiline: bool = False) -> DataFrame:
     """``source, file, block, row_idx, cells`` of the text files below ``path``, with as many
     cells in every row as the widest has. Blank lines are no rows.
 
     ``row_idx`` (file, block, place) sorts rows by file and by their order in it, however
     Spark packs files into tasks. With ``multiline``, quoted cells may hold line breaks;
-    such files can not be split, so a large one is read by one task."""
-    names = [f"_c{i}" for i in range(grid_width(spark, path, separator, multiline))]
-    records = _reader(spark, separator, multiline).schema(", ".join(f"{n} string" for n in names)).csv(path)
-    source = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    such files are split like all others (:mod:`.records`)."""
+    records, width = (_multiline if multiline else _lines)(spark, path, separator)
+    names = [f"_c{i}" for i in range(width)]
+    source = F.regexp_replace(F.regexp_extract("file", "[^/]*$", 0), r"\.[^.]*$", "")
     source = F.url_decode(F.replace(source, F.lit("+"), F.lit("%2B")))
     first = F.when(F.startswith(names[0], F.lit(BOM)), F.substring(names[0], 2, 2**31 - 1)).otherwise(F.col(names[0]))
-    file, block = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
-    place = F.struct(file, block, F.monotonically_increasing_id().alias("place"))
     cells = F.array(*[present_text(c) for c in (first, *map(F.col, names[1:]))])
-    return records.select(source.alias("source"), file, block, place.alias("row_idx"), cells.alias("cells"))
+    return records.select(source.alias("source"), "file", "block", F.struct("file", "block", "place").alias("row_idx"), cells.alias("cells"))
 
 
 def head_rows(grid: DataFrame, rows: int = HEADER_SCAN_ROWS) -> DataFrame:
@@ -131,7 +156,7 @@ def below_headers(grid: DataFrame, header: list[str | None], max_scan: int = HEA
 
 
 def kept_grid(grid: DataFrame) -> DataFrame:
-    """The grid written to the shared folder of the session and read back: text is parsed
+    """A grid, or chunks of one, written to the shared folder of the session and read back: text is parsed
     once, and rows keep their places whatever executors come and go."""
     folder = shared_folder(grid.sparkSession)
     grid.write.parquet(folder)
