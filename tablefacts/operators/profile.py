@@ -1,7 +1,7 @@
 """Aggregate-only profiles of tables: one row per column, never a source row.
 
 A table is read a few times, each time only the columns concerned: text columns for the
-shapes of their values, then one aggregate over all columns, one frequency table of the
+shapes of their values and how many differ, then one aggregate over all columns, one frequency table of the
 text columns, and the median passes. These three are submitted together. Only their results, a few numbers per column, reach the
 driver.
 """
@@ -48,6 +48,15 @@ KEY_LENGTH = 128
 """Texts are counted by so many leading characters and, if longer, a digest of the whole,
 so the shuffle does not carry long texts."""
 
+SKETCH_ERROR = 0.02
+VARIED_FROM = 50_000
+VARIED_RATIO = 0.5
+"""A text column is varied from so many distinct values and such a share of its values on:
+combining before the shuffle hardly helps, so only hashes of its values are moved."""
+
+MOST_CANDIDATES = 100_000
+"""Values of varied columns that are looked up to rank equal counts by their text."""
+
 COLUMNS_PER_JOB = 64
 TEXT_COLUMNS_PER_JOB = 32
 
@@ -66,21 +75,33 @@ PROFILE_SCHEMA = (
 
 
 def text_shapes(df: DataFrame, columns: list[str]) -> dict[str, str]:
-    """Date pattern per text column, from all its values.
+    """Date pattern per text column, from all its values."""
+    return text_facts(df, columns)[0]
+
+
+def text_facts(df: DataFrame, columns: list[str]) -> tuple[dict[str, str], set[str]]:
+    """Date pattern per text column, and the columns whose values mostly differ, by one scan.
 
     The pattern is that of most values (the first in the list of shapes if several are as
-    common), for columns of which half of the values look like dates."""
-    formats = {}
+    common), for columns of which half of the values look like dates. Distinct values are
+    estimated by sketches, one per pattern, as a value has one pattern; they only choose how
+    a column is counted, never what is reported."""
+    formats, varied = {}, set()
     for start in range(0, len(columns), TEXT_COLUMNS_PER_JOB):
         chunk = columns[start : start + TEXT_COLUMNS_PER_JOB]
-        cells = _cells(df, chunk).select("column", pattern_of(F.col("value")).alias("pattern"))
-        counts = cells.groupBy("column", "pattern").agg(F.count(F.lit(1)).alias("values")).collect()
+        cells = _cells(df, chunk).select("column", "value", pattern_of(F.col("value")).alias("pattern"))
+        counts = cells.groupBy("column", "pattern").agg(
+            F.count(F.lit(1)).alias("values"), F.approx_count_distinct("value", SKETCH_ERROR).alias("distinct")
+        ).collect()
         for i, c in enumerate(chunk):
             own = [r for r in counts if r["column"] == str(i)]
+            distinct = sum(r["distinct"] for r in own)
+            if distinct >= max(VARIED_FROM, VARIED_RATIO * sum(r["values"] for r in own)):
+                varied.add(c)
             dates = sorted((r for r in own if r["pattern"]), key=lambda r: (-r["values"], pattern_order(r["pattern"])))
             if dates and sum(r["values"] for r in dates) >= DATE_MIN_RATIO * sum(r["values"] for r in own):
                 formats[c] = dates[0]["pattern"]
-    return formats
+    return formats, varied
 
 
 def datetime_ratio(df: DataFrame, formats: dict[str, str]) -> DataFrame:
@@ -207,6 +228,18 @@ def value_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
     return keys.groupBy("column", "head", "digest").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _hashes() -> list[Column]:
+    """128 bits of a value, by which equal values are found without moving them."""
+    return [F.xxhash64("value").alias("h1"), F.xxhash64(F.lit("second"), "value").alias("h2")]
+
+
+def hashed_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, h1, h2, count`` of all non-null values: as :func:`value_frequencies`, with
+    sixteen bytes in the place of the value."""
+    keys = _cells(df, columns).select("column", *_hashes())
+    return keys.groupBy("column", "h1", "h2").agg(F.count(F.lit(1)).alias("count"))
+
+
 def _rollup(frequencies: DataFrame) -> DataFrame:
     distinct = F.count(F.lit(1))
     values = F.sum("count")
@@ -256,7 +289,7 @@ def top_values(df: DataFrame, columns: list[str], n: int = TOP_VALUES) -> DataFr
 
 def identifier_flags(df: DataFrame, columns: list[str]) -> DataFrame:
     """``column, non_null, unique_values, identifier_like``."""
-    rolled = _rollup(value_frequencies(df, columns))
+    rolled = _rollup(hashed_frequencies(df, columns))
     return rolled.select(_named(df, columns), "non_null", "unique_values", "identifier_like")
 
 
@@ -269,9 +302,46 @@ def _summary(frequencies: DataFrame, n: int) -> DataFrame:
     return rolled.unionByName(top, allowMissingColumns=True)
 
 
-def _text_stats(df: DataFrame, columns: list[str], n: int) -> dict[str, dict]:
-    """Statistics of text columns, all from one frequency table."""
+def _varied_stats(df: DataFrame, columns: list[str], n: int) -> dict[str, dict]:
+    """Statistics of text columns whose values mostly differ.
+
+    Distinct values are counted by their hashes, exactly but for hashes of 128 bits that
+    meet. Most such columns are identifiers, which show no top values. For the others the
+    n-th highest count proves that no value below it can be listed; the values with that
+    count or more are looked up, and ranked with their texts. If too many have equal counts,
+    the column is counted by its texts."""
+    counts = hashed_frequencies(df, columns).persist()
+    try:
+        stats = {columns[int(r["column"])]: r.asDict() for r in _rollup(counts).collect()}
+        shown = [c for c in columns if c in stats and not stats[c]["identifier_like"]]
+        if shown:
+            ids = [str(columns.index(c)) for c in shown]
+            order = Window.partitionBy("column").orderBy(F.desc("count"))
+            ranked = counts.where(F.col("column").isin(ids)).withColumn("rank", F.row_number().over(order))
+            least = {r["column"]: r["least"] for r in ranked.where(F.col("rank") <= n).groupBy("column").agg(F.min("count").alias("least")).collect()}
+            bounds = F.create_map(*[x for k, v in least.items() for x in (F.lit(k), F.lit(v))])
+            found = counts.where(F.col("count") >= bounds[F.col("column")])
+            if found.count() <= MOST_CANDIDATES:
+                head = F.substring("value", 1, KEY_LENGTH).alias("head")
+                cells = _cells(df, columns).where(F.col("column").isin(ids)).select("column", head, _digest(), *_hashes())
+                frequencies = cells.join(found, ["column", "h1", "h2"]).select("column", "head", "digest", "count").distinct()
+                top = _top(frequencies, n).collect()
+            else:
+                named = value_frequencies(df, shown).withColumn("column", F.element_at(F.array(*map(F.lit, ids)), F.col("column").cast("int") + 1))
+                top = _top(named, n).collect()
+            for c, _, value, count in _listed(df, columns, top):
+                stats[c].setdefault("top_values", []).append((value, count))
+    finally:
+        counts.unpersist()
+    return stats
+
+
+def _text_stats(df: DataFrame, columns: list[str], n: int, varied: set[str]) -> dict[str, dict]:
+    """Statistics of text columns: of varied ones by hashes, of others from one frequency table."""
     stats: dict[str, dict] = {}
+    hashed, columns = [c for c in columns if c in varied], [c for c in columns if c not in varied]
+    for start in range(0, len(hashed), TEXT_COLUMNS_PER_JOB):
+        stats |= _varied_stats(df, hashed[start : start + TEXT_COLUMNS_PER_JOB], n)
     for start in range(0, len(columns), TEXT_COLUMNS_PER_JOB):
         chunk = columns[start : start + TEXT_COLUMNS_PER_JOB]
         rows = _summary(value_frequencies(df, chunk), n).collect()
@@ -318,7 +388,7 @@ def _profile_rows(df: DataFrame, name: str, top_n: int) -> list[dict]:
         ]
     )
     text = [c for c in columns if labels[c] == TEXT]
-    formats = text_shapes(df, text)
+    formats, varied = text_facts(df, text)
     numeric = [c for c in columns if labels[c] in (INTEGER, FLOAT)]
 
     # Texts without a date pattern are only read for their frequencies, which also count
@@ -327,7 +397,7 @@ def _profile_rows(df: DataFrame, name: str, top_n: int) -> list[dict]:
     scanned = [(c, labels[c], formats.get(c)) for c in columns if c not in listed]
     with ThreadPool(2) as pool:
         medians_job = pool.apply_async(exact_medians, (df, numeric))
-        texts_job = pool.apply_async(_text_stats, (df, listed, top_n))
+        texts_job = pool.apply_async(_text_stats, (df, listed, top_n, varied))
         rows, stats = _scan_stats(df, scanned)
         medians, texts = medians_job.get(), texts_job.get()
     stats |= {c: texts.get(c, {"non_null": 0}) for c in listed}
@@ -335,7 +405,7 @@ def _profile_rows(df: DataFrame, name: str, top_n: int) -> list[dict]:
         return [{"table": name, "row_count": 0, "column_count": 0, "note": NOTE_EMPTY}]
 
     dated = {c for c in formats if _is_dates(stats[c])}
-    texts |= _text_stats(df, [c for c in formats if c not in dated and c not in texts], top_n)
+    texts |= _text_stats(df, [c for c in formats if c not in dated and c not in texts], top_n, varied)
     overflown = [
         c for c in numeric if labels[c] == INTEGER and stats[c]["non_null"] and stats[c]["int_sum"] is None
     ]
