@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +31,38 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def materialize(frame: DataFrame) -> DataFrame:
+#: Folders written in each open scope of ``scratch``, the innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+def materialize(frame: DataFrame, outlive: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back: a cut in the lineage that
-    survives lost executors and is computed once."""
+    survives lost executors and is computed once. With ``outlive`` it stays when the
+    innermost scope of ``scratch`` ends."""
     path = shared_folder(frame.sparkSession)
+    scopes = _scopes.get()[: -1 if outlive else None]
+    if scopes:
+        scopes[-1].append(path)
     frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """A scope at whose end the tables that were materialised in it go; frames that read
+    them can't be used any more."""
+    paths: list[str] = []
+    token = _scopes.set((*_scopes.get(), paths))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        settings = spark._jsc.hadoopConfiguration()
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(settings).delete(place, True)
+
+
 def with_row_key(docs: DataFrame) -> DataFrame:
     """Add a key that is the same whenever the rows are read again.
 

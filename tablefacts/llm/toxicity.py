@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, in_batches, materialize, rows_of
+from .common import as_bytes, bounded_batches, in_batches, materialize, row_parts, rows_of, scratch, with_row_key
 from .linear import fit, held_out, linear, probability, sigmoid, training_labels
-from .near_dedup import without_near_duplicates
+from .near_dedup import near_dedup
 
 #: Fixed seed list of insults.
 SEEDS = ["idiot", "moron", "loser", "scum", "stupid", "pathetic", "worthless", "disgusting", "trash", "clown"]
@@ -132,14 +132,18 @@ COPIES = 80
 
 
 def different_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """(text, label) of the training documents, of copies of one label only the first.
+    """(text, label) of the training documents, of a group of copies the first of each label.
 
     Copies of one toxic document would make all of its rare words look like insults. A page
     with insults in it is no copy of the clean one."""
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(training), "doc_id")
     sample = materialize(sample.select("doc_id", "text", "label"))
-    toxic, clean = (without_near_duplicates(materialize(sample.where(F.col("label") == k)), COPIES) for k in (1, 0))
-    return toxic.unionByName(clean).select(as_bytes("text").alias("text"), "label")
+    keyed = with_row_key(sample).select(*row_parts(), "doc_id", "text", "label")
+    groups = near_dedup(sample, COPIES).select("rf", "ri", "component_id")
+    first = F.min(F.struct("doc_id", "rf", "ri")).alias("first")
+    first = keyed.select("rf", "ri", "doc_id", "label").join(groups, ["rf", "ri"]).groupBy("component_id", "label").agg(first)
+    kept = first.select(F.col("first.rf").alias("rf"), F.col("first.ri").alias("ri"))
+    return keyed.join(kept, ["rf", "ri"]).select(as_bytes("text").alias("text"), "label")
 
 
 def mine_lexicon(docs: DataFrame, training: DataFrame) -> list[str]:
@@ -148,7 +152,8 @@ def mine_lexicon(docs: DataFrame, training: DataFrame) -> list[str]:
     An entry must be in so many toxic documents, and so much more often used than once in
     each, that less than one entry of its kind would be there by chance; of a family of
     beginnings the shortest such one counts, at its full common length."""
-    sample = materialize(different_documents(docs, training))
+    with scratch(docs.sparkSession):
+        sample = materialize(different_documents(docs, training), outlive=True)
     n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
@@ -272,17 +277,20 @@ def features_of(m: Column) -> Column:
     )
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, DataFrame]:
-    """(entries, classifier weights, measures): the last has doc_id and measures of every row."""
+def train(docs: DataFrame, labels: DataFrame, whole: bool = False) -> tuple[np.ndarray, DataFrame]:
+    """(classifier weights, measures): the latter has doc_id and measures of every row and, if
+    ``whole``, all columns of ``docs`` as ``d_`` and their name, so that nothing need be joined
+    or measured again."""
     bounded_batches(docs.sparkSession)
     known = materialize(training_labels(labels, "toxic"))
     entries = mine_lexicon(docs, known) or list(SEEDS)
-    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), measured(docs, entries).alias("m")))
+    own = [F.col(f"`{c}`").alias(f"d_{c}") for c in docs.columns] if whole else []
+    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), measured(docs, entries).alias("m"), *own))
     # The sample of labels is bounded, so that it may go to every task.
     voted = rows.join(F.broadcast(known), "doc_id", "left").select("doc_id", "m", votes(F.col("m")).alias("v"), F.coalesce("label", F.lit(-1)).alias("label"))
     table = voted.groupBy("v", "label").agg(F.count(F.lit(1)).alias("n")).orderBy("v", "label").collect()
     if not table:
-        return entries, np.zeros(len(FEATURES) + 1), rows
+        return np.zeros(len(FEATURES) + 1), rows
     patterns = np.array([r["v"] for r in table])
     given, n = np.array([r["label"] for r in table]), np.array([r["n"] for r in table])
     prior = float((n[given == 1].sum() + 1) / (n[given >= 0].sum() + 10))
@@ -298,7 +306,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, Da
     sample.sort(key=lambda r: (r["x"], r["v"]))
     x, v = np.array([r["x"] for r in sample]), np.array([r["v"] for r in sample], dtype=float)
     weights = fit(x, sigmoid(v @ w + b), np.array([r["n"] for r in sample], dtype=float))
-    return entries, weights, rows
+    return weights, rows
 
 
 def score_of(m: Column, weights: np.ndarray) -> Column:
@@ -307,12 +315,12 @@ def score_of(m: Column, weights: np.ndarray) -> Column:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text)."""
-    _, weights, rows = train(docs, labels)
+    weights, rows = train(docs, labels)
     scored = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_of(F.col("m"), weights).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= REJECT).cast("int"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not rejected."""
-    entries, weights, _ = train(docs, labels)
-    return docs.where(score_of(measured(docs, entries), weights) < REJECT)
+    weights, rows = train(docs, labels, whole=True)
+    return rows.where(score_of(F.col("m"), weights) < REJECT).select(*[F.col(f"`d_{c}`").alias(c) for c in docs.columns])
