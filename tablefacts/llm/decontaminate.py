@@ -13,9 +13,14 @@ text that only has the same frame and breaks the map in more slots is not.
 
 Documents send only windows that pass a bitmap of the benchmark's hashes. The bitmap has a
 fixed size; with a benchmark too large for it more windows pass, and the join is the same.
+A document with 0.8 of an item's windows has at least one of any fifth of them (and one
+more), so documents and items first meet by each item's rarest windows, counted over all
+documents; a beginning that many items share brings no pairs. Of pairs that meet, all
+windows of the item are compared.
 
 Null and empty texts have no windows; texts and items of fewer than five words are one
-window. Windows of placeholders alone are left out of the first set; in the second, those of
+window. Items of three or four words are also looked for inside longer texts, by their own
+words without letter case; shorter ones only match whole texts. Windows of placeholders alone are left out of the first set; in the second, those of
 numbers and units alone have their values in place of placeholders. Ids may be null; equal items count
 once. Rows that repeat are judged each on its own. Other columns are not read.
 """
@@ -25,11 +30,12 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import (
@@ -48,6 +54,8 @@ from .common import (
 )
 
 WINDOW, SHARE = 5, 0.8
+#: Items of so many words are looked for inside longer texts, by their own words.
+SHORT = (3, 4)
 #: Slots that may break the map from item to document: this share, or one.
 BROKEN = 0.2
 NUMBER, UNIT, NAME = b"\x01number", b"\x01unit", b"\x01name"
@@ -130,12 +138,20 @@ def windows_of(own: np.ndarray, types: np.ndarray) -> list[tuple[np.ndarray, np.
     return [(found[at], at), (other, np.arange(len(other)))]
 
 
+def short_windows(own: np.ndarray, size: int) -> np.ndarray:
+    """The hashes of all runs of ``size`` words, by their own values."""
+    return window_hashes(own, size) ^ LITERAL if len(own) >= size else own[:0]
+
+
 WINDOWS = pa.schema([("f", pa.int64()), ("i", pa.int64()), ("way", pa.int64()), ("place", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))])
 WINDOWS_SQL = "f long, i long, way long, place long, hash long, slots array<string>"
 
 
-def _windows(bitmap: bytes | None):
-    """The windows of texts; given a bitmap, only those that pass it."""
+def _windows(bitmap: bytes | None, sizes: list[int] | None = None):
+    """The windows of texts; given a bitmap, only those that pass it.
+
+    Short windows are a set for each of ``sizes``, numbered by one less than their size; for
+    items, ``sizes`` is None, and those of three or four words have the one of their length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = TokenHashes()
@@ -143,12 +159,17 @@ def _windows(bitmap: bytes | None):
         def rows():
             for f, i, data in rows_of(batches):
                 tokens, own, types = typed(data.decode("utf-8", "replace"), hashes)
-                for way, (found, at) in enumerate(windows_of(own, types)):
+                sets = list(enumerate(windows_of(own, types)))
+                for size in [n for n in SHORT if n == len(own)] if sizes is None else sizes:
+                    runs = short_windows(own, size)
+                    sets.append((size - 1, (runs, np.arange(len(runs)))))
+                for way, (found, at) in sets:
                     if bitmap is not None and len(found):
                         passed = in_bitmap(bitmap, found)
                         found, at = found[passed], at[passed]
                     for h, p in zip(signed(found).tolist(), at.tolist()):
-                        kinds = types[p : p + WINDOW].tolist()
+                        # Short windows are equal in all values.
+                        kinds = types[p : p + WINDOW].tolist() if way < 2 else []
                         yield f, i, way, p, h, values_of(tokens[p : p + WINDOW], kinds, 3 if way else 0)
 
         return in_batches(rows(), WINDOWS)
@@ -188,6 +209,26 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return in_batches(rows(), LINES)
 
 
+def at_least(share: float, name: str) -> Column:
+    """Whether ``name`` is at least that share of the item's windows."""
+    return F.col(name) >= F.lit(float(share)) * F.col("windows") - F.lit(1e-9)
+
+
+def shared_windows(found: DataFrame, item_windows: DataFrame, sizes: DataFrame, share: float) -> DataFrame:
+    """All windows that an item shares with a document that has one of its rarest.
+
+    Of ``windows`` windows, less than ``least`` of them missing, any ``windows - least + 1``
+    hold one that is there. The order within an item goes by counts over all documents; the
+    window function has one item's rows, which its own length bounds."""
+    counts = found.groupBy("way", "hash").agg(F.count(F.lit(1)).alias("seen"))
+    order = Window.partitionBy("item", "way").orderBy(F.coalesce("seen", F.lit(0)), "hash", "at")
+    ranked = item_windows.select("item", "way", "hash", "at").join(counts, ["way", "hash"], "left").withColumn("rank", F.row_number().over(order))
+    least = F.ceil(F.lit(float(share)) * F.col("windows") - F.lit(1e-9))
+    rare = ranked.join(sizes, ["item", "way"]).where((F.col("rank") <= F.col("windows") - least + 1) & (F.col("seen") > 0))
+    met = found.select("rf", "ri", "way", "hash").join(rare.select("way", "hash", "item"), ["way", "hash"]).select("rf", "ri", "item", "way").distinct()
+    return met.join(item_windows, ["item", "way"]).join(found, ["rf", "ri", "way", "hash"])
+
+
 def matches(keyed: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """(rf, ri, item_id, hits, windows, agree) for every document (with a row key), item and
     set of windows of which it has at least ``share`` of the item's."""
@@ -198,10 +239,11 @@ def matches(keyed: DataFrame, benchmark: DataFrame, share: float = SHARE) -> Dat
     item_windows = materialize(item_windows.select(F.col("f").alias("item"), "way", F.col("place").alias("at"), "hash", F.col("slots").alias("own")))
     sizes = item_windows.groupBy("item", "way").agg(F.count(F.lit(1)).alias("windows"))
     bitmap = bitmap_of(item_windows.select("hash"))
-    found = keyed.select(*row_parts(), text).mapInArrow(_windows(bitmap), WINDOWS_SQL)
-    found = found.select(F.col("f").alias("rf"), F.col("i").alias("ri"), "way", "place", "hash", "slots")
-    pairs = materialize(found.join(item_windows, ["way", "hash"]))
-    most = lambda name: F.col(name) >= F.lit(float(share)) * F.col("windows") - F.lit(1e-9)
+    short = sorted(r["way"] + 1 for r in item_windows.where("way >= 2").select("way").distinct().collect())
+    found = keyed.select(*row_parts(), text).mapInArrow(_windows(bitmap, short), WINDOWS_SQL)
+    found = materialize(found.select(F.col("f").alias("rf"), F.col("i").alias("ri"), "way", "place", "hash", "slots"))
+    pairs = materialize(shared_windows(found, item_windows, sizes, share))
+    most = partial(at_least, share)
     literal = F.count_distinct(F.when(F.col("own") == F.col("slots"), F.col("at"))).alias("literal")
     enough = pairs.groupBy("rf", "ri", "item", "way").agg(F.count_distinct("at").alias("hits"), literal).join(sizes, ["item", "way"]).where(most("hits"))
     aligned = pairs.join(enough.where(~most("literal")).select("rf", "ri", "item", "way"), ["rf", "ri", "item", "way"], "left_semi")
@@ -238,10 +280,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, share: float = SHA
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """The rows of ``docs`` without the contaminated ones."""
+    """The rows of ``docs`` without the contaminated ones; columns may have any names."""
     bounded_batches(docs.sparkSession)
-    keyed = with_row_key(docs)
-    found = contaminated_rows(keyed, benchmark, share).select("rf", "ri")
     own = [F.col(f"`{c}`").alias(f"d_{c}") for c in docs.columns]
-    kept = keyed.select(*own, *row_parts()).join(found, ["rf", "ri"], "left_anti")
+    keyed = with_row_key(docs.select(*own, "text"))
+    found = contaminated_rows(keyed, benchmark, share).select("rf", "ri")
+    kept = keyed.select(*[f"`d_{c}`" for c in docs.columns], *row_parts()).join(found, ["rf", "ri"], "left_anti")
     return kept.select(*[F.col(f"`d_{c}`").alias(c) for c in docs.columns])

@@ -3,7 +3,8 @@
 import random
 
 from tablefacts.llm.common import materialize
-from tablefacts.llm.decontaminate import broken_slots, find_contamination
+from tablefacts.llm import decontaminate
+from tablefacts.llm.decontaminate import broken_slots, find_contamination, without_contaminated
 from tablefacts.llm.toxicity import RUN, WHOLE, Lexicon, different_documents, families, mine_lexicon
 
 DOCS = "doc_id long, text string, lang string, source string, score string"
@@ -41,6 +42,41 @@ def test_decontamination_in_another_letter_case(spark):
     assert got == [[1]] * 5 + [[2], [3], [1], [], [], []]
 
 
+def test_short_items_long_texts_and_clashing_columns(spark):
+    words = random.Random(12)
+    prose = lambda n: " ".join("".join(words.choice("klmnop") for _ in range(5)) for _ in range(n))
+    question = prose(30)
+    items = [(1, "quick Brown foxes"), (2, "seven 7 green rivers"), (3, "lonely pair"), (4, question)]
+    texts = [
+        f"{prose(20)} QUICK brown foxes {prose(20)}", "Quick brown foxes", f"{prose(5)} seven 7 green rivers", f"{prose(5)} seven 8 green rivers",
+        f"{prose(9)} lonely pair", "Lonely pair!", f"{prose(200_000)} {question} {prose(10)}", f"{prose(9)} quick brown", None, "",
+    ]
+    docs = spark.createDataFrame([(i, t, "a", "b", "c", "d", "e") for i, t in enumerate(texts)], "doc_id long, text string, item string, way string, rf string, __row string, d_text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = [r["items"] for r in find_contamination(docs, benchmark).orderBy("doc_id").collect()]
+    assert got == [[1], [1], [2], [], [], [3], [4], [], [], []]
+    left = without_contaminated(docs, benchmark)
+    assert left.columns == docs.columns
+    assert sorted(left.collect()) == sorted(r for r in docs.collect() if not got[r.doc_id])
+
+
+def test_a_beginning_that_many_items_share_brings_no_pairs(spark, monkeypatch):
+    words = random.Random(13)
+    prose = lambda n: " ".join("".join(words.choice("klmnop") for _ in range(5)) for _ in range(n))
+    stem = prose(12)
+    items = [(k, f"{stem} {prose(10)}") for k in range(200)]
+    rows = [(k, f"{stem} {prose(4)}") for k in range(100)] + [(100, f"{prose(3)} {items[5][1]} {prose(3)}")]
+    # 0.8 of the windows: 15 of 18 (the last three words are others), then 14.
+    edited = items[7][1].split()
+    rows += [(101, " ".join([*edited[:-3], "x", "y", "z"])), (102, " ".join([*edited[:-4], "w", "x", "y", "z"]))]
+    kept = []
+    monkeypatch.setattr(decontaminate, "shared_windows", lambda *a, of=decontaminate.shared_windows: kept.append(of(*a)) or kept[-1])
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r["items"] for r in find_contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect() if r.contaminated}
+    assert got == {100: [5], 101: [7]}
+    assert kept[0].count() < 2 * 2 * 3 * 18
+
+
 def test_lexicon_keeps_rare_and_short_insults(spark):
     words = random.Random(10)
     word = lambda letters, n: "".join(words.choice(letters) for _ in range(n))
