@@ -31,6 +31,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -70,8 +71,9 @@ UNITS = set(
     "dollar dollars euro euros cent cents meter meters metre metres kilometer kilometers kilometre kilometres mile "
     "miles gram grams kilogram kilograms liter liters litre litres degree degrees".split()
 )
-TOKEN = re.compile(r"([^\w]*)(\d+(?:[.,:/]\d+)*|[^\W\d_]+)")
-SENTENCE_END = re.compile(r"[.!?:\n\r|\"“”]")
+#: Words, numbers, and what ends a sentence.
+TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,:/]\d+)*|[.!?:\n\r|\"“”]+")
+SENTENCE_END = set(".!?:\n\r|\"“”")
 
 
 def folded(token: str) -> str:
@@ -81,30 +83,41 @@ def folded(token: str) -> str:
 
 class TokenHashes(WordHashes):
     """Hashes of tokens without letter case; the last three bits say what a token may be by
-    itself: 1 number, 2 unit, 4 name."""
+    itself: 1 number, 2 unit, 4 name, all of them the end of a sentence."""
 
     def __missing__(self, token: str) -> int:
         if len(self) >= self.MOST:
             self.clear()
+        if token[0] in SENTENCE_END:
+            h = self[token] = 7
+            return h
         low, name = folded(token), token[0].isupper() and not token.isupper()
         flags = (1 if token[0].isdecimal() else 0) | (2 if low in UNITS else 0) | (4 if name else 0)
         h = self[token] = self.of(low.encode()) >> 3 << 3 | flags
         return h
 
 
-def typed(text: str, hashes: TokenHashes) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The tokens of a text, their hashes and their types (places in TYPES)."""
-    found = TOKEN.findall(text)
-    tokens = [t for _, t in found]
-    own = hashes.all(tokens)
+def typed(texts: list[str], hashes: TokenHashes) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of texts one after the other, their hashes, their types (places in TYPES)
+    and where each text begins in them, with the end of the last."""
+    each = [TOKEN.findall(text) for text in texts]
+    parts = list(chain.from_iterable(each))
+    own = hashes.all(parts)
     flags = (own & np.uint64(7)).astype(np.int8)
-    types = flags & 1
-    types[1:][(flags[1:] & 2 > 0) & (types[:-1] == 1)] = 2
+    is_token = flags < 7
+    at = np.flatnonzero(is_token)
+    bounds = np.searchsorted(at, np.cumsum([0, *map(len, each)]))
     # The first word of a sentence is no name.
-    for k in np.flatnonzero((flags & 4 > 0) & (types == 0)).tolist():
-        if k and not SENTENCE_END.search(found[k][0]):
-            types[k] = 3
-    return tokens, own ^ flags.astype(np.uint64), types
+    within = np.ones(len(at), dtype=bool)
+    within[1:] = at[1:] == at[:-1] + 1
+    begins = np.zeros(len(at), dtype=bool)
+    begins[bounds[:-1][bounds[:-1] < len(at)]] = True
+    flags, own = flags[at], own[at]
+    types = flags & 1
+    types[1:][(flags[1:] & 2 > 0) & (types[:-1] == 1) & ~begins[1:]] = 2
+    types[(flags & 4 > 0) & (types == 0) & within & ~begins] = 3
+    tokens = parts if len(at) == len(parts) else [parts[k] for k in at.tolist()]
+    return tokens, own ^ flags.astype(np.uint64), types, bounds
 
 
 def values_of(tokens: list[str], types: list[int], but: int = 0) -> list[str]:
@@ -114,33 +127,78 @@ def values_of(tokens: list[str], types: list[int], but: int = 0) -> list[str]:
 
 def template(text: str) -> tuple[list[bytes], list[str]]:
     """The words of a text with typed placeholders, and the value of each ('' for words)."""
-    tokens, _, types = typed(text, TokenHashes())
+    tokens, _, types, _ = typed([text], TokenHashes())
     return [TYPES[k] or folded(t).encode() for t, k in zip(tokens, types)], values_of(tokens, types.tolist())
 
 
-def windows_of(own: np.ndarray, types: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def inside(bounds: np.ndarray, size: int) -> np.ndarray:
+    """Where runs of ``size`` tokens begin that lie within one text."""
+    if bounds[-1] < size:
+        return np.empty(0, dtype=np.int64)
+    fits = np.ones(bounds[-1] - size + 1, dtype=bool)
+    for back in range(1, size):
+        cut = bounds[1:-1] - back
+        fits[cut[(cut >= 0) & (cut < len(fits))]] = False
+    return np.flatnonzero(fits)
+
+
+def windows_of(own: np.ndarray, types: np.ndarray, bounds: np.ndarray, size: int = WINDOW) -> list[tuple[np.ndarray, np.ndarray]]:
     """For both sets of windows, their hashes and their first words.
 
     Set 0 has placeholders for numbers, units and names. Set 1 doesn't depend on letter
     case: names are words in it, and windows without a word have their values."""
+    at = inside(bounds, size)
+    if not len(at):
+        return [(own[:0], at), (own[:0], at)]
     plain = np.where((types == 1) | (types == 2), MARKS[types], own)
-    found, other = window_hashes(np.where(types == 3, MARKS[3], plain), WINDOW), window_hashes(plain, WINDOW) ^ FOLDED
-    ends = np.minimum(np.arange(len(found)) + WINDOW, len(own))
+    words = window_hashes(plain, size)[at]
+    found, other = words, words ^ FOLDED
+    if (types == 3).any():
+        found = window_hashes(np.where(types == 3, MARKS[3], plain), size)[at]
 
     def with_words(is_word: np.ndarray) -> np.ndarray:
         sums = np.concatenate([[0], np.cumsum(is_word)])
-        return sums[ends] - sums[: len(found)] > 0
+        return sums[at + size] - sums[at] > 0
 
-    at = np.flatnonzero(with_words(types == 0))
+    typed_only = ~with_words(types == 0)
     bare = ~with_words((types == 0) | (types == 3))
     if bare.any():
-        other[bare] = window_hashes(own, WINDOW)[bare] ^ LITERAL
-    return [(found[at], at), (other, np.arange(len(other)))]
-
-
-def short_windows(own: np.ndarray, size: int) -> np.ndarray:
-    """The hashes of all runs of ``size`` words, by their own values."""
-    return window_hashes(own, size) ^ LITERAL if len(own) >= size else own[:0]
+        other[bare] = window_hashes(own, size)[at][bare] ^ LITERAL
+    return [(found[~typed_only], at[~typed_only]), (other, at)]
+
+
+def all_windows(own: np.ndarray, types: np.ndarray, bounds: np.ndarray, sizes: list[int] | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(way, hashes, first words) of all sets of windows; texts of fewer than five words
+    are one window."""
+    yield from ((way, *w) for way, w in enumerate(windows_of(own, types, bounds)))
+    lengths = np.diff(bounds)
+    for k in np.flatnonzero((lengths > 0) & (lengths < WINDOW)).tolist():
+        n, part = int(lengths[k]), slice(bounds[k], bounds[k + 1])
+        for way, (hashes, at) in enumerate(windows_of(own[part], types[part], np.array([0, n]), n)):
+            yield way, hashes, at + bounds[k]
+        if sizes is None and n in SHORT:
+            yield n - 1, window_hashes(own[part], n) ^ LITERAL, bounds[k : k + 1]
+    for size in sizes or []:
+        at = inside(bounds, size)
+        if len(at):
+            yield size - 1, window_hashes(own, size)[at] ^ LITERAL, at
+
+
+#: Texts are looked at together up to so many characters, as most are short.
+TOGETHER = 1 << 15
+
+
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, str]]]:
+    """Rows in groups of about ``TOGETHER`` characters; longer texts by themselves."""
+    held, size = [], 0
+    for f, i, data in rows_of(batches):
+        held.append((f, i, data.decode("utf-8", "replace")))
+        size += len(data)
+        if size >= TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 WINDOWS = pa.schema([("f", pa.int64()), ("i", pa.int64()), ("way", pa.int64()), ("place", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))])
@@ -157,20 +215,17 @@ def _windows(bitmap: bytes | None, sizes: list[int] | None = None):
         hashes = TokenHashes()
 
         def rows():
-            for f, i, data in rows_of(batches):
-                tokens, own, types = typed(data.decode("utf-8", "replace"), hashes)
-                sets = list(enumerate(windows_of(own, types)))
-                for size in [n for n in SHORT if n == len(own)] if sizes is None else sizes:
-                    runs = short_windows(own, size)
-                    sets.append((size - 1, (runs, np.arange(len(runs)))))
-                for way, (found, at) in sets:
+            for group in together(batches):
+                tokens, own, types, bounds = typed([t for _, _, t in group], hashes)
+                for way, found, at in all_windows(own, types, bounds, sizes):
                     if bitmap is not None and len(found):
                         passed = in_bitmap(bitmap, found)
                         found, at = found[passed], at[passed]
-                    for h, p in zip(signed(found).tolist(), at.tolist()):
+                    texts = np.searchsorted(bounds, at, side="right") - 1
+                    for h, p, k in zip(signed(found).tolist(), at.tolist(), texts.tolist()):
                         # Short windows are equal in all values.
-                        kinds = types[p : p + WINDOW].tolist() if way < 2 else []
-                        yield f, i, way, p, h, values_of(tokens[p : p + WINDOW], kinds, 3 if way else 0)
+                        end = min(p + WINDOW, bounds[k + 1]) if way < 2 else p
+                        yield *group[k][:2], way, p - int(bounds[k]), h, values_of(tokens[p:end], types[p:end].tolist(), 3 if way else 0)
 
         return in_batches(rows(), WINDOWS)
 
