@@ -155,6 +155,12 @@ def file_starts(df: DataFrame) -> dict[str, int] | None:
     return starts
 
 
+def _place(starts: dict[str, int]) -> Column:
+    """The place of a row among those of all files, given the rows before each."""
+    start = F.create_map(*[x for file, n in starts.items() for x in (F.lit(file), F.lit(n).cast("bigint"))])
+    return start[F.col(ROW)["file"]] + F.col(ROW)["idx"]
+
+
 def positions(df: DataFrame, name: str) -> DataFrame:
     """``place, value``: a column by the positions 0, 1, 2, … of its rows in the order of
     ``_row``, a whole number or a struct that ends in one.
@@ -166,8 +172,7 @@ def positions(df: DataFrame, name: str) -> DataFrame:
     dtype, row = dtype_of(df, ROW), F.col(ROW)
     starts = file_starts(df)
     if starts:
-        start = F.create_map(*[x for file, n in starts.items() for x in (F.lit(file), F.lit(n).cast("bigint"))])
-        return df.select((start[row["file"]] + row["idx"]).alias("place"), col(name).alias("value"))
+        return df.select(_place(starts).alias("place"), col(name).alias("value"))
     if isinstance(dtype, T.StructType):
         *outer, last = dtype.fieldNames()
         block = F.struct(*[row[n].alias(n) for n in outer], F.shiftright(row[last].cast("bigint"), BLOCK_BITS).alias(last))
@@ -218,9 +223,15 @@ def table_cells(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def table_rows(df: DataFrame, columns: list[str], *spec_ids: str) -> DataFrame:
     """The table as ``spec_id, ord, names, cells``, the same shape for every table, once
-    for each spec that shows it."""
+    for each spec that shows it. Rows of whole parquet files get their order from their
+    places, without a sort."""
     ids = F.array(*[F.lit(s) for s in spec_ids or ("0",)])
-    numbered = table_cells(df, columns).select("*", F.monotonically_increasing_id().alias(ROW))
+    starts = file_starts(df) if ROW in df.columns else None
+    if starts and len(set(columns)) == len(columns):
+        cells = [cell_text(col(c), dtype_of(df, c)).alias(c) for c in columns]
+        numbered = df.select(*cells, _place(starts).alias(ROW))
+    else:
+        numbered = table_cells(df, columns).select("*", F.monotonically_increasing_id().alias(ROW))
     return numbered.select(
         F.explode(ids).alias("spec_id"),
         F.col(ROW).alias("ord"),

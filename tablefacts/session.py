@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -19,6 +22,10 @@ SETTINGS = {
 }
 
 
+#: Folders handed out in each open scope of ``temporary_folders``, the innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("folders", default=())
+
+
 def configure(builder: SparkSession.Builder, cores: int | None = None) -> SparkSession.Builder:
     """Apply the settings the operators are written for.
 
@@ -44,4 +51,22 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all machines share")
         root = tempfile.mkdtemp(prefix="tablefacts-")
-    return f"{root.rstrip('/')}/tablefacts-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/tablefacts-{uuid.uuid4().hex}"
+    if _scopes.get():
+        _scopes.get()[-1].append(folder)
+    return folder
+
+
+@contextmanager
+def temporary_folders(spark: SparkSession) -> Iterator[None]:
+    """A scope at whose end the folders handed out in it go, parsed text grids above all.
+    Frames that read them can't be used any more; land what is to stay in a folder of its own."""
+    folders: list[str] = []
+    token = _scopes.set((*_scopes.get(), folders))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for folder in folders:
+            place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

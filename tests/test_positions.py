@@ -48,3 +48,15 @@ def test_an_empty_table_and_other_orders(spark, table):
     numbered = spark.createDataFrame([(5, "a"), (2, "b")], f"{ROW} bigint, v string")
     assert S.file_starts(numbered) is None
     assert sorted(map(tuple, S.positions(numbered, "v").collect())) == [(0, "b"), (1, "a")]
+
+
+def test_shown_rows_keep_their_order_without_a_sort(table):
+    got = S.table_rows(table, ["v"], "a", "b")
+    assert "Exchange" not in plan(got) and "Sort" not in plan(got)
+    for spec in "ab":
+        shown = got.where(f"spec_id = '{spec}'").select("ord", "cells").collect()
+        by_order = [r["cells"][0] for r in sorted(shown, key=lambda r: r["ord"])]
+        sorted_cells = [r["v"] for r in S.table_cells(table, ["v"]).collect()]
+        assert by_order == sorted_cells
+    some = table.where("v is not null")
+    assert S.table_rows(some, ["v"]).count() == some.count()

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from tablefacts.operators.profile import profile_workspace
 from tablefacts.sources import cleanup as C
 from tablefacts.sources import grid as G
-from tablefacts.sources.sinks import land, write_frames, write_profile_json
+from tablefacts.session import temporary_folders
+from tablefacts.sources.sinks import _commit, land, landed, manifests, sweep, write_frames, write_profile_json
 from tablefacts.sources.workspace import list_tables, load_workspace
 
 MESSY = ''',,,
@@ -218,6 +219,48 @@ def test_landing(spark, folder, tmp_path):
         assert sorted(landed[n].collect(), key=str) == sorted(some[n].collect(), key=str)
 
 
+def test_a_landing_that_dies_leaves_the_one_before(spark, harvest, visits, tmp_path):
+    folder = str(tmp_path / "landed")
+    land(spark, {"t": harvest, "v": visits}, folder)
+    broken = visits.select(F.raise_error(F.lit("lost")).cast("string").alias("x"))
+    with pytest.raises(Exception, match="lost"):
+        land(spark, {"t": harvest.limit(1), "v": broken}, folder)
+    tables = landed(spark, folder)
+    assert sorted(tables) == ["t", "v"] and tables["t"].count() == 10
+    assert sweep(spark, folder) == []
+    assert len(sweep(spark, folder, grace=-60)) == 1
+    assert tables["t"].count() == 10 and len(manifests(spark, folder)) == 1
+
+
+def test_landings_switch_and_old_ones_go(spark, harvest, visits, tmp_path):
+    folder = str(tmp_path / "landed")
+    (tmp_path / "landed").mkdir()
+    (tmp_path / "landed" / "notes.txt").write_text("mine")
+    with pytest.raises(FileNotFoundError):
+        landed(spark, folder)
+    old = land(spark, {"t": harvest}, folder)["t"]
+    new = land(spark, {"t": harvest.where("Crates > 2500"), "v": visits}, folder)
+    assert old.count() == 10 and new["t"].count() == 4
+    assert landed(spark, folder, 1)["t"].count() == 10
+    with pytest.raises(FileExistsError):
+        _commit(spark, folder, {"number": 2, "folder": "x", "tables": []})
+    assert len(sweep(spark, folder)) == 1 and [m["number"] for m in manifests(spark, folder)] == [2]
+    assert land(spark, {"t": harvest.where("Crates > 5000")}, folder)["t"].count() == 1
+    assert sweep(spark, folder, keep=2) == [] and (tmp_path / "landed" / "notes.txt").exists()
+
+
+def test_parsed_text_goes_with_its_scope(spark, folder, tmp_path, monkeypatch):
+    shared = tmp_path / "shared"
+    monkeypatch.setattr("tablefacts.session.tempfile.mkdtemp", lambda prefix: str(shared))
+    with temporary_folders(spark):
+        tables = load_workspace(spark, folder)
+        rows = tables["Names"].count()
+        assert any(shared.iterdir())
+        kept = land(spark, {"Names": tables["Names"]}, str(tmp_path / "landed"))
+    assert not any(shared.iterdir())
+    assert kept["Names"].count() == rows
+
+
 def test_typed_sources_keep_their_order(spark, harvest, tmp_path):
     harvest.coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
     harvest.write.orc(str(tmp_path / "o.orc"))
