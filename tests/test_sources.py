@@ -1,4 +1,5 @@
 import gzip
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from tablefacts.operators.profile import profile_workspace
 from tablefacts.sources import cleanup as C
 from tablefacts.sources import grid as G
-from tablefacts.session import temporary_folders
+from tablefacts.session import shared_folder, temporary_folders
 from tablefacts.sources.sinks import _commit, land, landed, manifests, sweep, write_frames, write_profile_json
 from tablefacts.sources.workspace import list_tables, load_workspace
 
@@ -250,14 +251,14 @@ def test_landings_switch_and_old_ones_go(spark, harvest, visits, tmp_path):
 
 
 def test_parsed_text_goes_with_its_scope(spark, folder, tmp_path, monkeypatch):
-    shared = tmp_path / "shared"
-    monkeypatch.setattr("tablefacts.session.tempfile.mkdtemp", lambda prefix: str(shared))
+    handed = []
+    monkeypatch.setattr(G, "shared_folder", lambda session: handed.append(shared_folder(session)) or handed[-1])
     with temporary_folders(spark):
         tables = load_workspace(spark, folder)
         rows = tables["Names"].count()
-        assert any(shared.iterdir())
+        assert handed and all(map(os.path.exists, handed))
         kept = land(spark, {"Names": tables["Names"]}, str(tmp_path / "landed"))
-    assert not any(shared.iterdir())
+    assert not any(map(os.path.exists, handed))
     assert kept["Names"].count() == rows
 
 
