@@ -544,6 +544,7 @@ ORACLES = {
     "empty_table_profile": """SELECT 'nothing' AS "table", count(*) AS row_count, CAST(0 AS INTEGER) AS column_count,
       CAST(NULL AS VARCHAR) AS "column", 'table is empty or has no data rows' AS note FROM orders WHERE o_totalprice < 0""",
     "workspace_profile": workspace_profile(),
+    "refreshed_profile": table_profile("orders"),
     "value_texts": f"SELECT event_id, {four('value / 7')} AS seventh, {iso('ts')} AS ts FROM events",
     "condensed_profile": condensed("orders"),
     "json_profile": f"""SELECT 'customer' AS "table", CAST(count(*) AS VARCHAR) AS rows, '5' AS columns,

@@ -33,6 +33,7 @@ from tablefacts.sources.grid import (
     load_grid,
     promote_header,
 )
+from tablefacts.sources.refresh import refresh_profile
 from tablefacts.sources.workspace import load_workspace
 
 TABLES = [
@@ -389,6 +390,16 @@ def workspace_profile(spark, sf_dir):
     )
 
 
+def refreshed_profile(spark, sf_dir):
+    """The profile of orders that came in two landings; the second refresh reads the new files only."""
+    folder, orders = shared_folder(spark), read(spark, sf_dir, "orders")
+    done = F.coalesce(F.col("o_orderstatus") == "F", F.lit(False))
+    for part in (orders.where(done), orders.where(~done)):
+        part.write.mode("append").parquet(f"{folder}/tables/orders")
+        profile = refresh_profile(spark, f"{folder}/tables", f"{folder}/state")
+    return profile.drop("ordinal", "int_sum", "int_min", "int_max", "true_count", "false_count", "true_pct", "top_values", "note")
+
+
 def value_texts(spark, sf_dir):
     """Rounding to four digits and timestamps in ISO form, for every event."""
     return read(spark, sf_dir, "events").select(
@@ -890,6 +901,7 @@ QUERIES = {
     "table_profile": table_profile,
     "empty_table_profile": empty_table_profile,
     "workspace_profile": workspace_profile,
+    "refreshed_profile": refreshed_profile,
     "value_texts": value_texts,
     "condensed_profile": condensed_profile,
     "json_profile": json_profile,

@@ -17,6 +17,7 @@ from .operators.templates import fill_template, unfilled
 from .plans.run import Run, run_specs
 from .plans.specs import catalog, parse_specs, resolve_requests
 from .sources.cleanup import clean_table, normalize_missing, validate_workspace
+from .sources.refresh import refresh_profile
 from .sources.workspace import load_table, load_workspace
 
 __all__ = [
@@ -39,6 +40,7 @@ __all__ = [
     "profile_table",
     "profile_to_json",
     "profile_workspace",
+    "refresh_profile",
     "resolve_requests",
     "run_specs",
     "table_cells",

@@ -120,11 +120,16 @@ def float_sum(c: Column) -> Column:
     millions of such leading parts exactly, and the rests are too small for their rounding
     to show, so any partitioning gives the same, correctly rounded sum.
     """
+    lead, rest = float_parts(c)
+    return F.sum(lead) + F.coalesce(F.sum(rest), F.lit(0.0))
+
+
+def float_parts(c: Column) -> tuple[Column, Column]:
+    """The leading 24 bits of a double and the rest, null where the value is not split."""
     v = c.cast("double")
     splits = F.abs(v) < LARGEST_SPLIT
     lead = F.when(splits, v.cast("float").cast("double")).otherwise(v)
-    rest = F.when(splits, v - lead)
-    return F.sum(lead) + F.coalesce(F.sum(rest), F.lit(0.0))
+    return lead, F.when(splits, v - lead)
 
 
 def mean(c: Column, dtype: T.DataType) -> Column:

@@ -98,12 +98,21 @@ def text_facts(df: DataFrame, columns: list[str]) -> tuple[dict[str, str], set[s
             distinct = sum(r["distinct"] for r in own)
             if distinct >= max(VARIED_FROM, VARIED_RATIO * sum(r["values"] for r in own)):
                 varied.add(c)
-            dates = sorted((r for r in own if r["pattern"]), key=lambda r: (-r["values"], pattern_order(r["pattern"])))
-            if dates and sum(r["values"] for r in dates) >= DATE_MIN_RATIO * sum(r["values"] for r in own):
-                formats[c] = dates[0]["pattern"]
+        formats |= date_patterns(chunk, counts)
     return formats, varied
 
 
+def date_patterns(columns: list[str], counts: list) -> dict[str, str]:
+    """Pattern per column of dates, from ``column, pattern, values`` with columns by number."""
+    formats = {}
+    for i, c in enumerate(columns):
+        own = [r for r in counts if r["column"] == str(i)]
+        dates = sorted((r for r in own if r["pattern"]), key=lambda r: (-r["values"], pattern_order(r["pattern"])))
+        if dates and sum(r["values"] for r in dates) >= DATE_MIN_RATIO * sum(r["values"] for r in own):
+            formats[c] = dates[0]["pattern"]
+    return formats
+
+
 def datetime_ratio(df: DataFrame, formats: dict[str, str]) -> DataFrame:
     """Per text column how many of its values are dates in its one pattern."""
     parts = [
