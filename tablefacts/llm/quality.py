@@ -102,7 +102,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
             measures(F.col("text")).alias("m"),
         )
     )
-    sample = rows.join(F.broadcast(known), "doc_id").select("m", "label").limit(2 * known.count() + 1).collect()
+    # One row per labelled document: labels are bounded, rows that repeat an id are not.
+    sample = rows.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min("m").alias("m")).select("m", "label").collect()
     sample.sort(key=lambda r: (r["m"], r["label"]))
     x, y = np.array([r["m"] for r in sample]).reshape(-1, len(MEASURES)), np.array([r["label"] for r in sample], dtype=float)
     weights = fit(x, y)
@@ -124,7 +125,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     path_mean = (path_prior * F.col("host_post") + F.col("path_sum") - F.col("own")) / (path_prior + F.col("path_n") - 1)
     sited = rows.join(sites, ["host", "path"]).withColumn("host_post", host_mean).withColumn("site", path_mean)
     sited = sited.select("doc_id", "own", "site", _logit(F.col("own")).alias("a"), (_logit(F.col("site")) - _logit(prior)).alias("b"))
-    pairs = sited.join(F.broadcast(known), "doc_id").select("a", "b", "label").limit(2 * known.count() + 1).collect()
+    pairs = sited.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("a", "b")).alias("p")).select("p.*", "label").collect()
     pairs.sort()
     both = fit(np.array([(r["a"], r["b"]) for r in pairs]).reshape(-1, 2), np.array([r["label"] for r in pairs], dtype=float))
     score = probability(both[2] + F.col("a") * float(both[0]) + F.col("b") * float(max(both[1], 0.0)))

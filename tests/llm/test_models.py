@@ -143,3 +143,16 @@ def test_all_queries_run(spark):
     for name in ("op1_mixing", "op10_sharding", "op7_near_dedup"):
         rows = queries.QUERIES[name](spark, SF).collect()
         assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_quality_with_repeated_ids(spark):
+    """Rows that repeat a doc_id count once in the fit, so neither their number nor their order shows."""
+    good = "A calm report on rivers and how towns use them. It has whole sentences."
+    rows = [(i, good + f" Part {i}." if i % 2 else "!! buy | now | !! $$$ ### 111", "en", f"s{i % 3}") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows + [(3, "x | y", "en", "s0")] * 500, "doc_id long, text string, lang string, source string")
+    scores = [
+        sorted((r["doc_id"], round(r["score"], 9), r["kept"]) for r in quality.score_quality(d, labels).collect())
+        for d in (docs.repartition(5), docs.coalesce(1).orderBy(F.desc("doc_id")))
+    ]
+    assert len(scores[0]) == 560 and scores[0] == scores[1]
