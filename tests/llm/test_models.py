@@ -6,6 +6,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from checks import compare
@@ -152,7 +153,7 @@ def test_quality_with_repeated_ids(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
     docs = spark.createDataFrame(rows + [(3, "x | y", "en", "s0")] * 500, "doc_id long, text string, lang string, source string")
     scores = [
-        sorted((r["doc_id"], round(r["score"], 9), r["kept"]) for r in quality.score_quality(d, labels).collect())
+        sorted((r["doc_id"], round(r["score"], 9), r["kept"]) for r in score_quality(d, labels).collect())
         for d in (docs.repartition(5), docs.coalesce(1).orderBy(F.desc("doc_id")))
     ]
     assert len(scores[0]) == 560 and scores[0] == scores[1]
