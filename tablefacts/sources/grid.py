@@ -57,7 +57,7 @@ def _lines(spark: SparkSession, path: str, separator: str) -> tuple[DataFrame, i
 
 def _multiline(spark: SparkSession, path: str, separator: str) -> tuple[DataFrame, int]:
     """The same of records with line breaks in quoted cells."""
-    records = cut_records(kept_grid(load_chunks(spark, path, separator)), separator)
+    records = cut_records(kept_grid(load_chunks(spark, path, separator)))
     width = 1 + (records.agg(F.max(_separators("record", separator))).first()[0] or 0)
     cells = F.from_csv("record", _cell_schema(width), _options(separator, multiline=True))
     return records.select("file", "block", "place", cells.alias("x")).select("x.*", "file", "block", "place"), width

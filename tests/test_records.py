@@ -107,3 +107,23 @@ def test_many_cells_and_doubled_quotes_need_no_stack(spark, tmp_path):
     (tmp_path / "t.csv").write_text(f'"{doubled}",b\n')
     grid = G.load_grid(spark, str(tmp_path / "t.csv"), multiline=True).collect()
     assert [r["cells"] for r in grid] == [['"' * 200_000, "b"]]
+
+
+def test_python_holds_one_chunk_at_a_time(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    parts = ["\n", '""', ",", "é", "日本", "𝄞", " word"]
+    notes = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    rows = [f'{k},"{n}"' if rng.random() < 0.6 else f"{k},plain" for k, n in enumerate(notes)]
+    content = "id,note\n" + "\n".join(rows) + "\n"
+    (tmp_path / "t.csv").write_text(content, newline="")
+    monkeypatch.setattr(R, "CHUNK_LENGTH", 500)
+    chunks = G.kept_grid(R.load_chunks(spark, str(tmp_path / "t.csv")))
+    lengths = [r[0] for r in chunks.select(G.F.octet_length("text")).collect()]
+    longest = max(len(line.encode()) + 1 for line in content.split("\n"))
+    # all lines come in one batch, yet no chunk is as long as that
+    assert max(lengths) <= 500 + longest and sum(lengths) == len(content.encode())
+    records = R.cut_records(chunks)
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan and "Python" not in plan  # batches of many chunks would go to Python
+    got = [r["record"] for r in records.orderBy("file", "block", "place").collect()]
+    assert got == R.Cutter(",").cut(content)
